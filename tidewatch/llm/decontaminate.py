@@ -110,6 +110,16 @@ def contamination(
     return result.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep if c not in made], *made)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose text holds no window of an item, with all their columns.
+
+    Only numbers of contaminated rows are joined back to the texts, which are written once before.
+    """
+    numbered = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    hit = contamination(numbered.select("__number", text_col), items, text_col, **options).filter("contaminated").select("__number")
+    return numbered.join(written(hit, "contaminated"), "__number", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
