@@ -113,7 +113,7 @@ def strip_html(text: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for name, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(letter))
-    return F.trim(out)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def squeeze_tags(text: Column, most: int = 1500) -> Column:
