@@ -5,9 +5,10 @@ copies. Sets are split recursively: at a node, a pseudo-random choice that all s
 tokens, and a set follows each sampled token that it holds to a node below. Sets that share many
 tokens meet again and again; a node with few sets is compared by brute force, one with many is
 split again. Several runs with choices of their own make a missed pair unlikely: a pair of
-similarity 0.8 follows a path together with probability 1 - exp(-0.8 * SAMPLED * q) where q is
-that of the level below, about 0.7 a run, so RUNS = 6 miss less than 1 in 1000, and closer pairs
-less. Tokens are sampled from the 64 least hashes of a set, so a node's rows are small.
+similarity 0.8 meets below a node with probability 1 - exp(-0.8 * s * q), s being the tokens
+sampled there and q the probability below; RUNS = 6 find 0.9999 of such pairs at the first depth,
+0.99 at the fourth, and more of closer pairs. Tokens are sampled from the 64 least hashes of a set,
+so a node's rows are small. Of nodes with the same sets one is compared.
 
 What the paths find are candidates by sketch; the candidates' connected groups are disjoint, and in
 each group every pair is compared exactly, once. Groups larger than a block are cut into blocks and
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import connected_components, load, words_of, written
 
 SHINGLE, SKETCH = 5, 64
-RUNS, SAMPLED, DEPTH, LEAF, BLOCK = 6, 2.0, 4, 32, 256
+RUNS, SAMPLED, DEPTH, LEAF, BLOCK = 6, (2.0, 1.5, 1.5, 1.5), 4, 32, 256
 #: Sketches that share less are no candidates: far below what sets of similarity 0.8 share.
 LEAST_SHARED = 0.45
 #: The rows of candidate sets are found by broadcast up to this number of long integers.
@@ -116,7 +117,7 @@ def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
 
 def compare_sketches(bucket: pd.DataFrame) -> list[tuple]:
     """(a, b) edges of a tree over the sets of one node whose sketches share enough."""
-    ids, held = bucket["set"].tolist(), [set(s) for s in bucket["sketch"]]
+    ids, held = bucket["node"].tolist(), [set(s) for s in bucket["sketch"]]
     order = sorted(range(len(ids)), key=ids.__getitem__)
     close = []
     for i, x in enumerate(order):
@@ -152,12 +153,12 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def compare_exactly(similarity: tuple[int, int]) -> Callable[[pd.DataFrame], list[tuple]]:
-    """(set, linked texts, root) for the sets of a pair of blocks; similarity as a fraction."""
+    """(node, linked texts, root) for the sets of a pair of blocks; similarity as a fraction."""
     over, under = similarity
 
     def work(pair: pd.DataFrame) -> list[tuple]:
-        pair = pair.sort_values("set", kind="stable")
-        ids, copies, block = pair["set"].tolist(), pair["copies"].to_numpy(dtype=np.int64), pair["block"].to_numpy()
+        pair = pair.sort_values("node", kind="stable")
+        ids, copies, block = pair["node"].tolist(), pair["copies"].to_numpy(dtype=np.int64), pair["block"].to_numpy()
         first, second = int(pair["i"].iloc[0]), int(pair["j"].iloc[0])
         sets = [np.asarray(s) for s in pair["shingles"]]
         a = np.flatnonzero(block == first)
@@ -184,28 +185,30 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     """(a, b): trees over sets that met on a chosen path and whose sketches are close."""
     scale = 1 << 20
 
-    def follow(nodes: DataFrame) -> DataFrame:
+    def follow(nodes: DataFrame, sampled: float) -> DataFrame:
         # The choice depends on path and token; a set's share of its tokens is the same whatever its size.
-        sampled = F.filter("sketch", lambda t: F.pmod(F.xxhash64(F.col("path"), t), F.lit(scale)) * F.size("sketch") < F.lit(int(scale * SAMPLED)))
-        return nodes.select("set", "path", F.explode(sampled).alias("token")).select("set", F.xxhash64("path", "token").alias("path"))
+        chosen = F.filter("sketch", lambda t: F.pmod(F.xxhash64(F.col("path"), t), F.lit(scale)) * F.size("sketch") < F.lit(int(scale * sampled)))
+        return nodes.select("node", "path", F.explode(chosen).alias("token")).select("node", F.xxhash64("path", "token").alias("path"))
 
-    nodes = sets.select("set", "sketch", F.explode(F.array(*[F.lit(r).cast("long") for r in range(RUNS)])).alias("path"))
+    places = sets.select("node", "sketch", F.explode(F.array(*[F.lit(r).cast("long") for r in range(RUNS)])).alias("path"))
     leaves, edges = None, None
     for depth in range(1, DEPTH + 1):
-        nodes = written(follow(nodes), f"path-{depth}")
-        counts = written(nodes.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"nodes-{depth}")
-        small = nodes.join(counts.filter(F.col("n") <= LEAF), "path").select("set", "path")
+        places = written(follow(places, SAMPLED[depth - 1]), f"path-{depth}")
+        members = F.bit_xor(F.xxhash64("node", F.lit(1))), F.bit_xor(F.xxhash64("node", F.lit(2)))
+        counts = written(places.groupBy("path").agg(F.count("*").alias("n"), members[0].alias("m1"), members[1].alias("m2")).filter("n > 1"), f"counts-{depth}")
+        once = written(counts.groupBy("n", "m1", "m2").agg(F.min("path").alias("path")).select("path", "n"), f"once-{depth}")
+        small = places.join(once.filter(F.col("n") <= LEAF), "path").select("node", "path")
         leaves = small if leaves is None else leaves.union(small)
-        if counts.filter(F.col("n") > LEAF).isEmpty():
+        if once.filter(F.col("n") > LEAF).isEmpty():
             break
-        large = nodes.join(counts.filter(F.col("n") > LEAF), "path").select("set", "path")
+        large = places.join(once.filter(F.col("n") > LEAF), "path").select("node", "path")
         if depth < DEPTH:
-            nodes = large.join(sets.select("set", "sketch"), "set")
+            places = large.join(sets.select("node", "sketch"), "node")
         else:  # Sets that share all of a path's tokens are candidates together; the exact comparison decides.
-            least = written(nodes.groupBy("path").agg(F.min("set").alias("b"), F.count("*").alias("n")).filter(F.col("n") > LEAF), "least")
-            edges = nodes.join(least, "path").filter("`set` <> b").select(F.col("set").alias("a"), "b")
-    buckets = leaves.join(sets.select("set", "sketch"), "set").repartition("path").sortWithinPartitions("path")
-    close = buckets.mapInPandas(by_group(compare_sketches, ["path"], ["a", "b"]), "a string, b string")
+            least = written(large.groupBy("path").agg(F.min("node").alias("b")), "least")
+            edges = large.join(least, "path").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    buckets = written(leaves, "leaves").join(sets.select("node", "sketch"), "node").repartition("path").sortWithinPartitions("path")
+    close = buckets.mapInPandas(by_group(compare_sketches, ["path"], ["a", "b"]), "a long, b long")
     return close if edges is None else close.union(edges)
 
 
@@ -225,29 +228,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = written(rows.select("row", "kept", "id", "text", "s.*"), "rows")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     sets = rows.filter("n > 0").groupBy("set").agg(F.count("*").alias("copies"), F.min(order).alias("least"), F.first("sketch").alias("sketch"))
-    sets = written(sets, "sets")
+    # The number of the row that stands for a set names the set from here on.
+    sets = written(sets.withColumn("node", F.col("least.row")), "sets")
 
-    candidates = connected_components(candidate_edges(sets), "candidates").withColumnsRenamed({"node": "set", "component": "group"})
-    sizes = candidates.groupBy("group").agg(F.count("*").alias("size"))
+    candidates = connected_components(candidate_edges(sets), "candidates").withColumnRenamed("component", "group")
+    sizes = written(candidates.groupBy("group").agg(F.count("*").alias("size")), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = candidates.join(sizes, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    members = written(members.join(sets.select("set", "copies", "least.row"), "set").select("set", "group", "blocks", "block", "copies", "row"), "members")
+    members = candidates.join(sizes, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = written(members.join(sets.select("node", "copies"), "node").select("node", "group", "blocks", "block", "copies"), "members")
 
-    wanted = members.select("row", "set")
+    wanted = members.select(F.col("node").alias("row"))
     wanted = F.broadcast(wanted) if members.count() <= MOST_BROADCAST else wanted
     hashes_of = F.pandas_udf(_hashes_of, "array<long>")
-    texts = written(rows.select("row", "text").join(wanted, "row").select("set", hashes_of("text").alias("shingles")), "shingles")
+    texts = written(rows.select("row", "text").join(wanted, "row").select(F.col("row").alias("node"), hashes_of("text").alias("shingles")), "shingles")
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    pairs = members.select("set", "group", "copies", "block", F.explode(ends).alias("p")).select("set", "group", "copies", "block", "p.i", "p.j").join(texts, "set")
+    pairs = members.select("node", "group", "copies", "block", F.explode(ends).alias("p")).select("node", "group", "copies", "block", "p.i", "p.j").join(texts, "node")
     pairs = pairs.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    found = pairs.mapInPandas(by_group(compare_exactly(similarity), ["group", "i", "j"], ["set", "texts", "root"]), "set string, texts long, root string")
+    found = pairs.mapInPandas(by_group(compare_exactly(similarity), ["group", "i", "j"], ["node", "texts", "root"]), "node long, texts long, root long")
     found = written(found, "links")
 
-    links = found.groupBy("set").agg(F.sum("texts").alias("texts"))
-    classes = connected_components(found.filter("`set` <> root").select(F.col("set").alias("a"), F.col("root").alias("b")), "classes").withColumnsRenamed({"node": "set", "component": "class"})
-    joined = sets.select("set", "copies", "least").join(classes, "set", "left").join(links, "set", "left").withColumn("class", F.coalesce("class", "set"))
+    links = found.groupBy("node").agg(F.sum("texts").alias("texts"))
+    classes = connected_components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "classes").withColumnRenamed("component", "class")
+    joined = sets.select("set", "node", "copies", "least").join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
     joined = written(joined.filter("copies > 1 OR texts > 0").select("set", "class", "least", (F.col("copies") - 1 + F.coalesce("texts", F.lit(0))).alias("n_links")), "linked")
-    heads = joined.groupBy("class").agg(F.min("least").alias("head"))
+    heads = written(joined.groupBy("class").agg(F.min("least").alias("head")), "heads")
     linked = written(joined.join(heads, "class").select("set", "n_links", "head"), "set-classes")
     result = rows.join(linked, "set", "left").select(
         "kept", *[F.col("text").alias("__text")] * copy_text, F.when(F.col("head").isNotNull(), F.col("head.id")).otherwise(F.col("id")).alias("class_id"),
