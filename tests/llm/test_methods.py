@@ -58,6 +58,17 @@ def test_token_counts_by_brute_force():
             assert trie.insert(word) == brute(word), word
 
 
+def test_token_counts_grown_together():
+    scores = {"a": -1.0, "b": -1.0, "ab": -2.0, "bé": -1.5, "aba": -3.0, "x\x00": -1.0}
+    rng = random.Random(1)
+    words = {"".join(rng.choice("abéx\x00€😀") for _ in range(rng.randrange(90))) for _ in range(2000)}
+    for most in (64, 10_000):
+        trie = token_counts.ForwardTrie(scores, max_nodes=most)
+        assert trie.insert_all(list(words)) == {w: trie.cut(w) for w in words}
+    few, tokens = token_counts.ForwardTrie(scores, max_words=1), lambda *ws: sum(trie.cut(token_counts.START + w) for w in ws)
+    assert few.texts([None, "", "a a ab\x00b  c", "ab"]) == [(0, 0), (0, 0), (4, tokens("a", "a", "ab\x00b", "c")), (1, tokens("ab"))]
+
+
 def test_token_counts_equal_unigram_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
