@@ -126,3 +126,40 @@ def normalize_tags(tags: Column) -> Column:
 
 def primary_language(tag: Column) -> Column:
     return F.lower(F.get(F.split(tag, "[-_]"), F.lit(0)))
+
+
+#: Function words of six languages, each bare of signs; a parameter of detect_source_language.
+SOURCE_MARKERS = {
+    "es": "que el los las una para con son pero porque también como más cuando donde del por muy hay".split(),
+    "en": "the and of is are was to in for with that this from have not but you they which when".split(),
+    "fr": "le les des une et est pour avec que qui dans sur pas nous vous mais sont où cette du".split(),
+    "de": "der die das und ist nicht ein eine mit für sich auch auf von zu werden wird aber noch".split(),
+    "pt": "que não uma um para com os as do da dos das em por mais como mas foi são você".split(),
+    "it": "il che di una un per con non sono è anche più come ma questo gli le della nel dei".split(),
+}
+#: (language, letters, weight): letters that hint at a language.
+LETTER_HINTS = (("es", "[ñ¿¡]", 3), ("de", "ß", 3), ("pt", "[ãõ]", 3), ("fr", "œ", 3), ("fr", "ç", 1), ("pt", "ç", 1))
+
+
+def detect_source_language(text: Column, markers: dict[str, list[str]] = SOURCE_MARKERS, hints: tuple[tuple[str, str, int], ...] = LETTER_HINTS, least_chars: int = 12, least_points: int = 2) -> Column:
+    """The language with most points; null for short texts, few points, a tie, or a null text.
+
+    A marker in the text gives one point to each language that has it, two if only one has it.
+    """
+    lower = F.lower(F.trim(text))
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^\p{L}\s'-]+", " "), r"\s+", " ")), " "))
+    shared = [w for ws in markers.values() for w in ws]
+    points = {}
+    for lang, ws in markers.items():
+        total = F.lit(0)
+        for weight in (1, 2):
+            group = [w for w in dict.fromkeys(ws) if (shared.count(w) == 1) == (weight == 2)]
+            if group:
+                total = total + weight * F.size(F.array_intersect(words, F.array(*map(F.lit, group))))
+        for hinted, letters, weight in hints:
+            if hinted == lang:
+                total = total + F.when(lower.rlike(letters), weight).otherwise(0)
+        points[lang] = total
+    best = F.greatest(*points.values())
+    winners = F.filter(F.array(*[F.when(n == best, F.lit(lang)) for lang, n in points.items()]), lambda x: x.isNotNull())
+    return F.when((F.length(F.trim(text)) >= least_chars) & (best >= least_points) & (F.size(winners) == 1), F.get(winners, F.lit(0)))

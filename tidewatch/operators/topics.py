@@ -34,7 +34,8 @@ def similarity(words: tuple[Column, Column], hashes: tuple[Column, Column], enti
 
 def _terms(rows: DataFrame, key: str, words: str) -> DataFrame:
     """(key, kind, term): words and entities of each row."""
-    kinds = [F.transform(F.array_distinct(c), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("term"))) for k, c in ((1, words), (3, "entities"))]
+    marked = lambda kind, c: F.transform(F.array_distinct(c), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+    kinds = [marked(1, words), marked(3, "entities")]
     return rows.select(key, F.explode(F.concat(*kinds)).alias("t")).select(key, "t.*")
 
 
@@ -90,18 +91,26 @@ def roll_up(members: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, none) for c in ("keywords", "entities")})
 
 
+def _openers(posts: DataFrame) -> DataFrame:
+    """Posts that are the earliest with at least half of their keywords and with their set of entities; of any posts with keywords there is one."""
+    words = F.transform("keywords", lambda k: F.struct(F.lit("k").alias("kind"), F.xxhash64(k).alias("term")))
+    together = F.when(F.size("entities") > 0, F.array(F.struct(F.lit("e").alias("kind"), F.xxhash64(F.array_join(F.array_sort("entities"), "\n")).alias("term"))))
+    terms = posts.select("id", "published_at", F.explode(F.concat(words, F.coalesce(together, F.slice(words, 1, 0)))).alias("t"))
+    firsts = terms.groupBy("t").agg(F.min(F.struct("published_at", "id")).alias("first")).groupBy("first.id").agg(F.count_if(F.col("t.kind") == "k").alias("words"), F.count_if(F.col("t.kind") == "e").alias("sets"))
+    return posts.join(firsts, "id").filter("size(keywords) > 0 AND 2 * words >= size(keywords) AND (size(entities) = 0 OR sets > 0)").drop("words", "sets")
+
+
 def open_topics(posts: DataFrame, rounds: int = 4, join_at: float = JOIN_AT, active_ms: int = ACTIVE_MS) -> DataFrame:
     """(id, topic) for posts that no topic took; a topic bears the id of the post that opened it.
 
-    In each round the earliest post of each keyword opens a topic and the others join the topic
-    they resemble most; what joins none goes on to the next round. After the last round each post
+    In each round the posts that come before others with their words open topics and the others join
+    the topic they resemble most; what joins none goes on to the next round. After the last round each post
     left opens its own, and merge_topics unites twins. Work grows with the posts: no pairs of posts
     with a common word are made.
     """
     left, out = posts, None
     for step in range(rounds):
-        seeds = left.select(F.explode("keywords").alias("k"), "id", "published_at").groupBy("k").agg(F.min(F.struct("published_at", "id")).alias("first")).select("first.id").distinct()
-        opened = left.join(seeds, "id", "left_semi").select(F.col("id").alias("topic"), "keywords", "entities", F.col("simhash").alias("centroid"), F.col("published_at").alias("last_seen"))
+        opened = _openers(left).select(F.col("id").alias("topic"), "keywords", "entities", F.col("simhash").alias("centroid"), F.col("published_at").alias("last_seen"))
         opened = written(opened, f"opened-{step}")
         rest = left.join(opened.select(F.col("topic").alias("id")), "id", "left_anti")
         joined = assign_topics(rest, opened, join_at, active_ms).select("id", "topic")

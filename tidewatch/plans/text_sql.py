@@ -28,6 +28,10 @@ def guessed_languages(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("guess"))
 
 
+def source_languages(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", text.detect_source_language(F.col("text")).alias("guess"))
+
+
 def canonical_urls(spark, sf_dir):
     u = F.col("url")
     return load(spark, sf_dir, "pages").select("page_id", urls.canonical_url(u).alias("canonical"), urls.host_of(u).alias("host"), urls.is_safe(u).alias("safe"))
@@ -50,7 +54,7 @@ def page_networks(spark, sf_dir):
     return networks_of(load(spark, sf_dir, "pages").select("page_id", "url"), "url", domains, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (normalized_texts, text_tokens, headlines, guessed_languages, canonical_urls, url_ids, page_texts, page_networks)}
+QUERIES = {f.__name__: f for f in (normalized_texts, text_tokens, headlines, guessed_languages, source_languages, canonical_urls, url_ids, page_texts, page_networks)}
 
 _LINE = "trim(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ''))"
 _SLUG = "substring(regexp_replace(trim(regexp_replace(replace({0}, '''', ''), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 64)"
@@ -60,7 +64,14 @@ _URL = """u AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.
 c AS (SELECT *, list_aggregate(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_|ref|ref_src|fbclid|gclid|igshid|mc_cid|mc_eid|_hs)')), 'string_agg', '&') AS q FROM u),
 f AS (SELECT page_id, url, host, lower(scheme) || '://' || host || path || CASE WHEN coalesce(q, '') <> '' THEN '?' || q ELSE '' END AS canonical, lower(scheme) IN ('http', 'https') AS safe FROM c)"""
 _GUESSES = f"SELECT doc_id, CASE WHEN greatest(es, en) = 0 THEN 'und' WHEN es >= en THEN 'es' ELSE 'en' END AS guess FROM (SELECT doc_id, {_COUNT['es']} AS es, {_COUNT['en']} AS en FROM (SELECT doc_id, ' ' || {NORM.format('text')} || ' ' AS t FROM documents))"
+_MARKS = ", ".join(f"('{lang}', '{w}')" for lang, ws in text.SOURCE_MARKERS.items() for w in ws)
+_HINTS = ", ".join(f"('{lang}', '{letters}', {n})" for lang, letters, n in text.LETTER_HINTS)
 ORACLES = {
+    "source_languages": f"""WITH m(lang, word) AS (VALUES {_MARKS}), k AS (SELECT lang, word, CASE WHEN count(*) OVER (PARTITION BY word) = 1 THEN 2 ELSE 1 END AS n FROM m), h(lang, letters, n) AS (VALUES {_HINTS}),
+w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\s''-]+', ' ', 'g'), '\\s+')) AS word FROM documents WHERE length(trim(text)) >= 12),
+p AS (SELECT doc_id, lang, sum(n) AS n FROM (SELECT doc_id, k.lang, n FROM w JOIN k USING (word) UNION ALL SELECT doc_id, h.lang, n FROM documents JOIN h ON regexp_matches(lower(text), letters) WHERE length(trim(text)) >= 12) GROUP BY ALL),
+b AS (SELECT doc_id, max(n) AS best FROM p GROUP BY doc_id), o AS (SELECT doc_id, min(p.lang) AS guess FROM p JOIN b USING (doc_id) WHERE n = best AND best >= 2 GROUP BY doc_id HAVING count(*) = 1)
+SELECT doc_id, guess FROM documents LEFT JOIN o USING (doc_id)""",
     "normalized_texts": f"SELECT doc_id, md5({NORM.format('text')}) AS norm_md5 FROM documents",
     "text_tokens": f"SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text', 3)} AS t FROM documents)",
     "headlines": f"SELECT doc_id, line, {_SLUG.format(NORM.format('line'))} AS slug FROM (SELECT doc_id, CASE WHEN length(l) > 90 THEN rtrim(substring(l, 1, 89)) || '…' ELSE l END AS line FROM (SELECT doc_id, {_LINE} AS l FROM documents))",
