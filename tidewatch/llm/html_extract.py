@@ -7,7 +7,8 @@ of varying text. Aligning two wrappers works the same way, so each task folds th
 into one wrapper, and wrappers of tasks are folded in two steps; no task ever holds the pages of a
 host, and a wrapper's size depends on the host's layout, not on how many pages it has.
 
-The wrapper of a host says which of its slots are the article; texts in these slots are the result.
+The wrapper of a host says which of its slots can be the article, and how firmly; of these, each page
+gives the texts of the firmest kind it has. So hosts may mix templates.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -204,48 +206,49 @@ def _is_main(name: str) -> bool:
     return tag in ("article", "main") or bool(_words(marks) & _MAIN_WORDS)
 
 
+@lru_cache(100_000)
+def _level(path: tuple) -> int | None:
+    """How firmly a path stands for the article: 0 in an article element, 1 in a main element, 2 under a name like that, 3 elsewhere; None for chrome."""
+    main = False
+    for name in path:
+        main = main or _is_main(name)
+        if _is_chrome(name, main):
+            return None
+    tags = {name.partition(" ")[0] for name in path}
+    return 0 if "article" in tags else 1 if "main" in tags else 2 if main else 3
+
+
 def article_paths(wrapper: dict) -> list[tuple]:
-    """Paths of the slots that hold the article.
+    """Paths of the slots that can hold the article, of all levels; each page takes the firmest it has text at.
 
     Chrome is what stands in menus, headers, footers, asides, forms, or under a name that says so.
-    If the host has an article element (else a main element, else one named like that), only slots
-    inside it count. Outside of these, a slot with the same text on SAME_ON pages, or with most of
-    its letters in links, is chrome too.
+    At the last level, a slot with the same text on SAME_ON pages, or with most of its letters in
+    links, is chrome too.
     """
-    open_paths = []
-    for path, slot in slots(wrapper):
-        main, chrome = False, False
-        for name in path:
-            main = main or _is_main(name)
-            chrome = chrome or _is_chrome(name, main)
-        if not chrome:
-            open_paths.append((path, slot))
-    for kinds in (lambda n: n.partition(" ")[0] == "article", lambda n: n.partition(" ")[0] == "main", _is_main):
-        inside = [path for path, _ in open_paths if any(kinds(n) for n in path)]
-        if inside:
-            return inside
-    return [path for path, slot in open_paths if not (slot[0] >= SAME_ON and slot[3] is not None) and 2 * slot[2] <= slot[1]]
+    found = [(path, slot, _level(path)) for path, slot in slots(wrapper)]
+    return [path for path, slot, level in found if level is not None and (level < 3 or not (slot[0] >= SAME_ON and slot[3] is not None) and 2 * slot[2] <= slot[1])]
 
 
 def article_text(page: str | None, paths: set[tuple]) -> str:
-    """Blocks of the page at the given paths, joined by newlines."""
-    blocks: list[str] = []
+    """Blocks of the page at those of the given paths that are of the page's firmest level, joined by newlines."""
+    blocks: list[tuple[int, str]] = []
 
     def visit(node: list, path: tuple) -> None:
         path = (*path, node[0]) if node[0] else path
-        kept, pieces = path in paths, []
+        level, pieces = _level(path) if path in paths else None, []
         for child in [*node[1], None]:
             if child is not None and _is_text(child):
                 pieces.append(child[0])
                 continue
-            if kept and pieces and (text := _squeezed(pieces)):
-                blocks.append(text)
+            if level is not None and pieces and (text := _squeezed(pieces)):
+                blocks.append((level, text))
             pieces = []
             if child is not None:
                 visit(child, path)
 
     visit(page_tree(page), ())
-    return "\n".join(blocks)
+    firmest = min((level for level, _ in blocks), default=None)
+    return "\n".join(text for level, text in blocks if level == firmest)
 
 
 def host_of(url: Column) -> Column:
