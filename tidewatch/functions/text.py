@@ -116,8 +116,10 @@ def strip_html(text: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def squeeze_tags(text: Column, most: int = 1500) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " ")), 1, most)
+def squeeze_tags(text: Column, most: int | None = 1500) -> Column:
+    """Text without tags, in single blanks; whole if most is None."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " "))
+    return bare if most is None else F.substring(bare, 1, most)
 
 
 def normalize_tags(tags: Column) -> Column:

@@ -43,7 +43,7 @@ def url_ids(spark, sf_dir):
 
 
 def page_texts(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", F.md5(text.squeeze_tags(F.col("html")).cast("binary")).alias("body_md5"))
+    return load(spark, sf_dir, "pages").select("page_id", F.md5(text.squeeze_tags(F.col("html"), None).cast("binary")).alias("body_md5"))
 
 
 NETWORKS = [("example.com", "com"), ("example.org", "org"), ("blog.ththth.example.org", "blog"), ("ample.net", "none")]
