@@ -38,7 +38,7 @@ def hot_keywords(spark, sf_dir):
 
 
 def keyword_counts(spark, sf_dir):
-    return activity.hot_keywords(document_posts(spark, sf_dir).withColumn("topic", F.col("lang")), F.col("body"), limit=None).filter("posts >= 5")
+    return activity.hot_keywords(document_posts(spark, sf_dir).withColumn("topic", F.col("lang")), F.col("body"), limit=None)
 
 
 def post_tokens(spark, sf_dir):
