@@ -2,7 +2,8 @@
 
 Spans that look like secrets are found in each text; their values leave the scan only as hashes.
 For every hash the corpus is asked in how many repositories and under how many owners it occurs:
-what is copied widely is an example, what few owners hold looks live. The base kinds are always
+what many owners hold is an example, what few owners hold looks live, in however many of their
+repositories. The base kinds are always
 reported. Spans of further kinds, which match placeholders often, are added where the ownership
 says that the value is live.
 """
@@ -61,7 +62,7 @@ def find_spans(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["base", "further", "hashes"])
 
 
-def ownership(candidates: DataFrame, max_owners: int = 2, max_repositories: int = 20) -> DataFrame:
+def ownership(candidates: DataFrame, max_owners: int = 2) -> DataFrame:
     """(hash, n_repositories, n_owners, live) for rows of (hash, repository, owner).
 
     Counts are of distinct values; a null repository or owner counts as one value of its own.
@@ -70,7 +71,7 @@ def ownership(candidates: DataFrame, max_owners: int = 2, max_repositories: int
     pairs = candidates.select("hash", F.coalesce(F.col("repository").cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner")).distinct()
     by_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
-    return counts.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+    return counts.withColumn("live", F.col("n_owners") <= max_owners)
 
 
 def spans_text(spans: Column) -> Column:
@@ -78,7 +79,7 @@ def spans_text(spans: Column) -> Column:
 
 
 def secret_scan(
-    docs: DataFrame, text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_owners: int = 2, max_repositories: int = 20, copy_text: bool = False
+    docs: DataFrame, text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_owners: int = 2, copy_text: bool = False
 ) -> DataFrame:
     """Each row of docs with its spans; offsets are code points, the end exclusive.
 
@@ -92,8 +93,8 @@ def secret_scan(
     found = written(found.select("row", "kept", "repository", "owner", "found.*"), "secret-spans")
     values = F.concat(F.col("hashes"), F.transform("further", lambda s: s["hash"]))
     seen = found.select("row", "repository", "owner", F.explode(F.array_distinct(values)).alias("hash"))
-    owned = written(ownership(seen, max_owners, max_repositories), "ownership")
-    # Live values have max_repositories rows at most, so collecting them by text can't grow hot.
+    owned = written(ownership(seen, max_owners), "ownership")
+    # A hash of very many texts is split by adaptive execution; lists are bounded by a text's own spans.
     live = seen.select("row", "hash").join(owned.filter("live").select("hash"), "hash", "left_semi")
     live = written(live.groupBy("row").agg(F.collect_set("hash").alias("live")), "live")
     joined = found.join(live, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
