@@ -11,3 +11,11 @@ def texts(spark, pages, host="h.example"):
 def test_host_mixes_templates(spark):
     pages = ["<body><article class=teaser><p>a</p></article>out</body>", "<body><main><p>b</p></main><p>out</p></body>", "<body><div class=content><p>c</p></div></body>", "<body><div><p>d</p></div></body>"]
     assert texts(spark, pages) == ["a", "b", "c", "d"]
+
+
+def test_skipped_elements_end(spark):
+    pages = ["<article><p>a<svg viewBox='0 0 1 1'/>b</p><svg><title/><path d='M0'/></svg><p>c</article>"]
+    pages += [f"<article><p>a<{t}>skipped</p><p>b</p></article><p>out" for t in ("button", "select", "object", "noscript", "svg", "template")]
+    pages += [f"<article><p>a</p><{t}><div>skipped</{t}><p>b</p></article>" for t in ("button", "object", "noscript")]
+    pages += ["<article><p>a</p><script>'<p>x</p>'</script><textarea><p>y</textarea><p>b</p></article>"]
+    assert texts(spark, pages) == ["a\nb\nc"] + ["a\nb"] * 10

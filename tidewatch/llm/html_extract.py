@@ -26,7 +26,10 @@ from .common import load, written
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SKIPPED = {t: re.compile(f"</{t}", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "select", "button", "object", "title")}
+#: Elements whose content is raw text up to their end tag.
+_RAW = {t: re.compile(f"</{t}(?![^\\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+#: Elements that are no text of the page; left open, they end with the element around them.
+_SKIPPED = frozenset("noscript template svg select button object".split())
 #: Elements that belong to the text around them; all others are blocks.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math meter output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr input area base link meta col embed param track".split())
 _VOID = frozenset("br hr img input area base link meta col embed param source track wbr".split())
@@ -71,12 +74,13 @@ def page_tree(page: str | None) -> list:
             if tag not in _INLINE and tag in tags:
                 at = len(tags) - 1 - tags[::-1].index(tag)
                 # An end tag closes what is open inside, but doesn't reach out of an article for a stray p.
-                if tag in _SCOPES or not _SCOPES & set(tags[at + 1 :]):
+                if tag in _SCOPES or tag in _SKIPPED or not _SCOPES & set(tags[at + 1 :]):
                     del stack[at:], tags[at:]
             continue
-        if tag in _SKIPPED:
-            end = _SKIPPED[tag].search(page, pos)
-            pos = end.start() if end else len(page)
+        if tag in _RAW:
+            if not ("svg" in tags and m.group(3).endswith("/")):  # only inside an svg these close themselves
+                end = _RAW[tag].search(page, pos)
+                pos = end.start() if end else len(page)
             stack[-1][1].append([tag, []])
             continue
         if tag in _INLINE:
@@ -90,7 +94,7 @@ def page_tree(page: str | None) -> list:
             if tags[i] in ends:
                 del stack[i:], tags[i:]
                 break
-            if tags[i] in _SCOPES:
+            if tags[i] in _SCOPES or tags[i] in _SKIPPED:
                 break
         marks = " ".join(sorted(f"{k.lower()}={a or b or c}" for k, a, b, c in _MARK.findall(m.group(3)))) if m.group(3) else ""
         node: list = [f"{tag} {marks}".strip(), []]
@@ -116,6 +120,8 @@ def _squeezed(pieces: list[str]) -> str:
 
 def wrapper_of(tree: list) -> dict:
     """The wrapper that one page is an instance of."""
+    if tree[0].partition(" ")[0] in _SKIPPED:
+        return {"n": tree[0], "k": [], "o": False, "r": False, "t": None}
     texts = [c for c in tree[1] if _is_text(c)]
     kids = [wrapper_of(c) for c in tree[1] if not _is_text(c)]
     text = _squeezed([c[0] for c in texts])
@@ -198,7 +204,7 @@ def slots(node: dict, path: tuple = ()) -> Iterator[tuple[tuple, list]]:
 
 def _is_chrome(name: str, inside_main: bool) -> bool:
     tag, _, marks = name.partition(" ")
-    return tag in _CHROME or tag in _SKIPPED or (tag == "header" and not inside_main) or bool(_words(marks) & _CHROME_WORDS)
+    return tag in _CHROME or tag in _RAW or tag in _SKIPPED or (tag == "header" and not inside_main) or bool(_words(marks) & _CHROME_WORDS)
 
 
 def _is_main(name: str) -> bool:
