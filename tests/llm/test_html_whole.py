@@ -19,3 +19,21 @@ def test_skipped_elements_end(spark):
     pages += [f"<article><p>a</p><{t}><div>skipped</{t}><p>b</p></article>" for t in ("button", "object", "noscript")]
     pages += ["<article><p>a</p><script>'<p>x</p>'</script><textarea><p>y</textarea><p>b</p></article>"]
     assert texts(spark, pages) == ["a\nb\nc"] + ["a\nb"] * 10
+
+
+def test_names_of_page_and_article(spark):
+    pages = [
+        "<html class=no-ads><body class='single-post no-sidebar'><header>h</header><article class='post has-comments'><p>a</p></article><div class=comments><article class=comment>c</article></div></body></html>",
+        "<body class='sidebar-right menu'><div id=content class='with-menu'><p>a</p></div><div class=sidebar>s</div></body>",
+        "<body><div class='sidebar'><article>s</article></div><div class='page social'><article class='post sponsored'><p>a</p><div class=share>x</div></article></div></body>",
+        "<body><main class='menu widget'><p>a</p><div class=related-content>r</div></main></body>",
+    ]
+    assert texts(spark, pages) == ["a"] * 4
+
+
+def test_shared_blocks_are_template(spark):
+    notice = "we use many words for consent " * 20
+    pages = [f"<body><div>{notice}</div><div>story {i}</div><div>short</div></body>" for i in range(12)]
+    assert texts(spark, pages) == [f"story {i}" for i in range(12)]
+    copied = ["<body><div>one long story</div></body>"] * 12
+    assert texts(spark, copied) == ["one long story"] * 12

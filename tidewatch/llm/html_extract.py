@@ -3,16 +3,19 @@
 A wrapper is a union-free regular expression over block-level tags: a sequence of elements, any
 of them optional or repeated, with slots for text. It starts as the first page of a host; each
 further page is aligned with it, and mismatches become optional elements, repeated groups or slots
-of varying text. Aligning two wrappers works the same way, so each task folds the pages of a host
+of text. Aligning two wrappers works the same way, so each task folds the pages of a host
 into one wrapper, and wrappers of tasks are folded in two steps; no task ever holds the pages of a
 host, and a wrapper's size depends on the host's layout, not on how many pages it has.
 
 The wrapper of a host says which of its slots can be the article, and how firmly; of these, each page
-gives the texts of the firmest kind it has. So hosts may mix templates.
+gives the texts of the firmest kind it has. So hosts may mix templates. Where a page has nothing
+firmer than plain elements, blocks that many pages of the host share are left out; they are counted
+as rows by host, path and text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -41,8 +44,12 @@ _CHROME = frozenset("head nav aside footer form menu dialog".split())
 _CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements without text of the article, whatever they are named.
+_NO_TEXT = _CHROME | _SKIPPED | frozenset(_RAW)
 _MAIN_WORDS = frozenset("article content entry main post story".split())
-#: A slot outside an article counts as template if so many pages of a host have the same text there.
+#: Words like has-comments or comments-open say what state a page is in, not what an element is.
+_STATE = re.compile(r"(?:no|has|is|with|without)[-_].*|.*[-_](?:open|closed|enabled|disabled)", re.I)
+#: A text outside an article counts as template if so many different pages of a host have it at the same path.
 SAME_ON = 10
 
 
@@ -50,6 +57,59 @@ def _words(mark: str) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", mark.lower()))
 
 
+def _name(tag: str, attributes: str) -> str:
+    """The tag and its class, id and role; html and body have no others, and what is main for sure has no words of chrome."""
+    if not attributes or tag in ("html", "body"):
+        return tag
+    marks = [(k.lower(), word) for k, *values in _MARK.findall(attributes) for word in "".join(values).split()]
+    main = tag == "main" or any(k == "role" and word.lower() == "main" or k == "id" and _words(word) <= _MAIN_WORDS for k, word in marks)
+    kept = [f"{k}={word}" for k, word in marks if not _words(word) & _CHROME_WORDS or not (main or _STATE.fullmatch(word))]
+    return " ".join([tag, *sorted(kept)])
+
+
+def _free_article(root: list) -> None:
+    """Take words of chrome off the article, and off what holds it together with half of the page's letters.
+
+    The article is the first article element that isn't in chrome, or one with half of the letters.
+    """
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+
+    def measure(node: list) -> int:
+        total = 0
+        for child in node[1]:
+            if _is_text(child):
+                total += len(child[0].strip())
+            elif child[0].partition(" ")[0] not in _NO_TEXT:
+                total += measure(child)
+                if id(child) in holds:
+                    holds.add(id(node))
+        if _is_firm(node[0]):
+            holds.add(id(node))
+        size[id(node)] = total
+        return total
+
+    whole, seen = measure(root), False
+
+    def visit(node: list) -> None:
+        nonlocal seen
+        tag = node[0].partition(" ")[0]
+        if tag in _NO_TEXT:
+            return
+        if _has_chrome_words(node[0]):
+            large = id(node) in holds and 2 * size[id(node)] >= whole
+            if not (tag == "article" and not seen or large and (tag == "article" or not seen)):
+                return
+            node[0] = " ".join([tag, *[mark for mark in node[0].split()[1:] if not _words(mark) & _CHROME_WORDS]])
+        seen = seen or tag == "article"
+        for child in node[1]:
+            if not _is_text(child):
+                visit(child)
+
+    if holds:
+        visit(root)
+
+
 def page_tree(page: str | None) -> list:
     """The page as [name, children]; a child is an element, or [text, inside a link] of one piece of text.
 
@@ -96,13 +156,13 @@ def page_tree(page: str | None) -> list:
                 break
             if tags[i] in _SCOPES or tags[i] in _SKIPPED:
                 break
-        marks = " ".join(sorted(f"{k.lower()}={a or b or c}" for k, a, b, c in _MARK.findall(m.group(3)))) if m.group(3) else ""
-        node: list = [f"{tag} {marks}".strip(), []]
+        node: list = [_name(tag, m.group(3)), []]
         stack[-1][1].append(node)
         if tag not in _VOID and not m.group(3).endswith("/"):
             stack.append(node)
             tags.append(tag)
             links = 0 if tag in _SCOPES else links
+    _free_article(root)
     return root
 
 
@@ -115,7 +175,7 @@ def _squeezed(pieces: list[str]) -> str:
 
 
 # A wrapper node is {"n": name, "k": [nodes], "o": optional, "r": repeated, "t": slot or None}; a group of nodes that
-# repeat together has the name "(" + its names + ")". A slot is [pages, letters, letters in links, text or None if it varies].
+# repeat together has the name "(" + its names + ")". A slot is [pages, letters, letters in links].
 
 
 def wrapper_of(tree: list) -> dict:
@@ -125,14 +185,14 @@ def wrapper_of(tree: list) -> dict:
     texts = [c for c in tree[1] if _is_text(c)]
     kids = [wrapper_of(c) for c in tree[1] if not _is_text(c)]
     text = _squeezed([c[0] for c in texts])
-    slot = [1, len(text), len(_squeezed([c[0] for c in texts if c[1]])), text if len(text) <= 200 else None] if text else None
+    slot = [1, len(text), len(_squeezed([c[0] for c in texts if c[1]]))] if text else None
     return {"n": tree[0], "k": fold_repeats(kids), "o": False, "r": False, "t": slot}
 
 
 def _merge_slots(a: list | None, b: list | None) -> list | None:
     if not a or not b:
         return a or b
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None]
+    return [a[0] + b[0], a[1] + b[1], a[2] + b[2]]
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -202,9 +262,21 @@ def slots(node: dict, path: tuple = ()) -> Iterator[tuple[tuple, list]]:
         yield from slots(k, path)
 
 
-def _is_chrome(name: str, inside_main: bool) -> bool:
+@lru_cache(100_000)
+def _has_chrome_words(name: str) -> bool:
+    return bool(_words(name.partition(" ")[2]) & _CHROME_WORDS)
+
+
+@lru_cache(100_000)
+def _is_firm(name: str) -> bool:
+    """An article or main element, or one whose id or role says so."""
     tag, _, marks = name.partition(" ")
-    return tag in _CHROME or tag in _RAW or tag in _SKIPPED or (tag == "header" and not inside_main) or bool(_words(marks) & _CHROME_WORDS)
+    return tag in ("article", "main") or any(k == "role" and v == "main" or k == "id" and _words(v) <= _MAIN_WORDS for k, _, v in (m.partition("=") for m in marks.split()))
+
+
+def _is_chrome(name: str, inside_main: bool) -> bool:
+    tag = name.partition(" ")[0]
+    return tag in _NO_TEXT or (tag == "header" and not inside_main) or _has_chrome_words(name)
 
 
 def _is_main(name: str) -> bool:
@@ -228,33 +300,55 @@ def article_paths(wrapper: dict) -> list[tuple]:
     """Paths of the slots that can hold the article, of all levels; each page takes the firmest it has text at.
 
     Chrome is what stands in menus, headers, footers, asides, forms, or under a name that says so.
-    At the last level, a slot with the same text on SAME_ON pages, or with most of its letters in
-    links, is chrome too.
+    At the last level, slots with most of their letters in links are chrome too.
     """
-    found = [(path, slot, _level(path)) for path, slot in slots(wrapper)]
-    return [path for path, slot, level in found if level is not None and (level < 3 or not (slot[0] >= SAME_ON and slot[3] is not None) and 2 * slot[2] <= slot[1])]
+    letters: dict[tuple, list[int]] = {}
+    for path, slot in slots(wrapper):
+        known = letters.setdefault(path, [0, 0])
+        known[0] += slot[1]
+        known[1] += slot[2]
+    return [path for path, (n, linked) in letters.items() if (level := _level(path)) is not None and (level < 3 or 2 * linked <= n)]
 
 
-def article_text(page: str | None, paths: set[tuple]) -> str:
-    """Blocks of the page at those of the given paths that are of the page's firmest level, joined by newlines."""
-    blocks: list[tuple[int, str]] = []
+def _blocks(page: str | None, paths: set[tuple] | None) -> list[tuple[int, tuple, str]]:
+    """(level, path, text) of the page's blocks, but for chrome; only those at the given paths, if any are given."""
+    blocks: list[tuple[int, tuple, str]] = []
 
     def visit(node: list, path: tuple) -> None:
         path = (*path, node[0]) if node[0] else path
-        level, pieces = _level(path) if path in paths else None, []
+        level, pieces = _level(path) if paths is None or path in paths else None, []
         for child in [*node[1], None]:
             if child is not None and _is_text(child):
                 pieces.append(child[0])
                 continue
             if level is not None and pieces and (text := _squeezed(pieces)):
-                blocks.append((level, text))
+                blocks.append((level, path, text))
             pieces = []
             if child is not None:
                 visit(child, path)
 
     visit(page_tree(page), ())
-    firmest = min((level for level, _ in blocks), default=None)
-    return "\n".join(text for level, text in blocks if level == firmest)
+    return blocks
+
+
+def _key(path: tuple, text: str) -> str:
+    return hashlib.blake2b(repr((path, text)).encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def article_text(page: str | None, paths: set[tuple], template: frozenset | set = frozenset()) -> str:
+    """Blocks of the page at those of the given paths that are of the page's firmest level, joined by newlines.
+
+    template: keys of blocks that are left out at the last level.
+    """
+    blocks = _blocks(page, paths)
+    firmest = min((level for level, _, _ in blocks), default=None)
+    return "\n".join(text for level, path, text in blocks if level == firmest and not (level == 3 and template and _key(path, text) in template))
+
+
+def loose_keys(page: str | None) -> list[str]:
+    """Keys of the blocks of a page that has no text above the last level; none for other pages."""
+    blocks = _blocks(page, None)
+    return [] if any(level < 3 for level, _, _ in blocks) else sorted({_key(path, text) for _, path, text in blocks})
 
 
 def host_of(url: Column) -> Column:
@@ -306,6 +400,24 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return written(whole.mapInPandas(finish, kind + ", expression string, paths string"), "wrappers")
 
 
+def template_blocks(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, template): for a page, by its digest, the keys of its blocks that SAME_ON different pages of the host have.
+
+    Copies of a page count once. Only blocks of the last level make rows, counted by host and key.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.assign(key=[loose_keys(page) for page in batch["html"]])[["host", "page", "key"]]
+            yield batch[batch["key"].map(len) > 0].explode("key")
+
+    named = pages.select(host_of(F.col(url_col)).alias("host"), F.md5(F.col(html_col).cast("binary")).alias("page"), F.col(html_col).alias("html"))
+    found = written(named.mapInPandas(rows, "host string, page string, key string"), "blocks")
+    found = found.distinct()
+    same = written(found.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= SAME_ON).select("host", "key"), "template")
+    return written(found.join(same, ["host", "key"], "left_semi").groupBy("host", "page").agg(F.collect_list("key").alias("template")), "template-blocks")
+
+
 def extract_articles(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Each row of pages, but for the html, with text (empty if none) and n_chars, its code points.
 
@@ -313,19 +425,21 @@ def extract_articles(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     Repeated rows are extracted alike. Columns that clash with the made ones are replaced.
     """
     wrappers = infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
-    joined = pages.withColumn("__of", host_of(F.col(url_col))).join(wrappers, F.col("__of") == F.col("__host"), "left")
+    template = template_blocks(pages, url_col, html_col).select(F.col("host").alias("__host2"), F.col("page").alias("__page2"), F.col("template").alias("__template"))
+    joined = pages.withColumn("__of", host_of(F.col(url_col))).withColumn("__page", F.md5(F.col(f"`{html_col}`").cast("binary"))).join(wrappers, F.col("__of") == F.col("__host"), "left")
+    joined = joined.join(template, (F.col("__of") == F.col("__host2")) & (F.col("__page") == F.col("__page2")), "left")
 
-    def texts(html: pd.Series, paths: pd.Series) -> pd.Series:
+    def texts(html: pd.Series, paths: pd.Series, template: pd.Series) -> pd.Series:
         known: dict[str, set[tuple]] = {}
         out = []
-        for page, listed in zip(html, paths):
+        for page, listed, left_out in zip(html, paths, template):
             if listed not in known:
                 known[listed] = {tuple(p) for p in json.loads(listed)} if listed else set()
-            out.append(article_text(page, known[listed]))
+            out.append(article_text(page, known[listed], set(left_out) if left_out is not None else frozenset()))
         return pd.Series(out, dtype=object)
 
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    made = joined.select(*[F.col(f"`{c}`") for c in keep], F.pandas_udf(texts, "string")(F.col(f"`{html_col}`"), F.col("__paths")).alias("text"))
+    made = joined.select(*[F.col(f"`{c}`") for c in keep], F.pandas_udf(texts, "string")(F.col(f"`{html_col}`"), F.col("__paths"), F.col("__template")).alias("text"))
     return made.withColumn("n_chars", F.length("text").cast("long"))
 
 
