@@ -37,3 +37,17 @@ def test_shared_blocks_are_template(spark):
     assert texts(spark, pages) == [f"story {i}" for i in range(12)]
     copied = ["<body><div>one long story</div></body>"] * 12
     assert texts(spark, copied) == ["one long story"] * 12
+
+
+def test_names_of_each_page_align(spark):
+    pages = [f"<body><article id=post-{i} class='post-{i} post tag-t{chr(97 + i % 26)}'><p class=css-{i}x{i}>{i}</p></article></body>" for i in range(60)]
+    rows = [(f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "url string, html string")
+    one, all_ = (html_extract.infer_wrappers(f).first() for f in (frame.limit(1), frame))
+    assert all_.n_pages == 60 and all_.expression == one.expression and all_.paths == one.paths
+    assert texts(spark, pages) == [str(i) for i in range(60)]
+
+
+def test_shared_blocks_under_own_ids(spark):
+    pages = [f"<body><div id=p{i}x><p>shared words</p><p>story {i}</p></div></body>" for i in range(12)]
+    assert texts(spark, pages) == [f"story {i}" for i in range(12)]

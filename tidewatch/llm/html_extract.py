@@ -5,7 +5,8 @@ of them optional or repeated, with slots for text. It starts as the first page o
 further page is aligned with it, and mismatches become optional elements, repeated groups or slots
 of text. Aligning two wrappers works the same way, so each task folds the pages of a host
 into one wrapper, and wrappers of tasks are folded in two steps; no task ever holds the pages of a
-host, and a wrapper's size depends on the host's layout, not on how many pages it has.
+host. Names leave out ids, numbers and further classes, which pages have of their own, so a
+wrapper's size depends on the host's layout, not on how many pages it has.
 
 The wrapper of a host says which of its slots can be the article, and how firmly; of these, each page
 gives the texts of the firmest kind it has. So hosts may mix templates. Where a page has nothing
@@ -58,12 +59,22 @@ def _words(mark: str) -> set[str]:
 
 
 def _name(tag: str, attributes: str) -> str:
-    """The tag and its class, id and role; html and body have no others, and what is main for sure has no words of chrome."""
+    """The tag and the words of its class, id and role that say what it is, so pages of one layout have equal names.
+
+    These are words of chrome or main, and the first word without digits of the first class. What is
+    main for sure has no words of chrome, and "!" if its id or role says so; html and body have none.
+    """
     if not attributes or tag in ("html", "body"):
         return tag
     marks = [(k.lower(), word) for k, *values in _MARK.findall(attributes) for word in "".join(values).split()]
     main = tag == "main" or any(k == "role" and word.lower() == "main" or k == "id" and _words(word) <= _MAIN_WORDS for k, word in marks)
-    kept = [f"{k}={word}" for k, word in marks if not _words(word) & _CHROME_WORDS or not (main or _STATE.fullmatch(word))]
+    kept = {"!"} if main and tag != "main" else set()
+    for k, word in marks:
+        if not (_words(word) & _CHROME_WORDS and (main or _STATE.fullmatch(word))):
+            kept |= _words(word) & (_CHROME_WORDS | _MAIN_WORDS)
+    classes = [word for k, word in marks if k == "class" and not _STATE.fullmatch(word)]
+    first = [w for w in re.split(r"[^a-z0-9]+", classes[0].lower()) if w.isalpha()][:1] if classes else []
+    kept |= {w for w in first if not (main and w in _CHROME_WORDS)}
     return " ".join([tag, *sorted(kept)])
 
 
@@ -113,7 +124,7 @@ def _free_article(root: list) -> None:
 def page_tree(page: str | None) -> list:
     """The page as [name, children]; a child is an element, or [text, inside a link] of one piece of text.
 
-    name is the tag and its class, id and role. Tags that are never closed end with the element
+    name is the tag and what its class, id and role say it is (_name). Tags that are never closed end with the element
     around them or where HTML ends them.
     """
     root: list = ["", []]
@@ -271,7 +282,7 @@ def _has_chrome_words(name: str) -> bool:
 def _is_firm(name: str) -> bool:
     """An article or main element, or one whose id or role says so."""
     tag, _, marks = name.partition(" ")
-    return tag in ("article", "main") or any(k == "role" and v == "main" or k == "id" and _words(v) <= _MAIN_WORDS for k, _, v in (m.partition("=") for m in marks.split()))
+    return tag in ("article", "main") or "!" in marks
 
 
 def _is_chrome(name: str, inside_main: bool) -> bool:
