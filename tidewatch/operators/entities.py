@@ -14,19 +14,21 @@ def aliases_of(dictionary: DataFrame) -> DataFrame:
     return rows.filter(F.length("alias") > 0).distinct()
 
 
-def extract_entities(posts: DataFrame, aliases: DataFrame, text: Column, longest: int = 3) -> DataFrame:
+def extract_entities(posts: DataFrame, aliases: DataFrame, text: Column) -> DataFrame:
     """(id, entities): the sorted slugs whose alias stands as whole words in the text.
 
-    Runs of 1 to `longest` words are matched by an equi-join, so the dictionary may be of any size.
+    Runs of as many words as some alias has are matched by an equi-join, so the dictionary may be of
+    any size, and its aliases of any length.
     """
-    words = F.split(normalize_text(text), " ")
+    lengths = aliases.agg(F.collect_set(F.size(F.split("alias", " "))).alias("lengths"))  # one row
     start = F.sequence(F.lit(1), F.size("w"))
 
-    def runs_of(n: int) -> Column:
+    def runs_of(n: Column) -> Column:
         return F.transform(F.filter(start, lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    grams = F.array_distinct(F.flatten(F.array(*map(runs_of, range(1, longest + 1)))))
-    runs = posts.select("id", words.alias("w")).select("id", F.explode(grams).alias("alias"))
+    grams = F.array_distinct(F.flatten(F.transform("lengths", runs_of)))
+    words = posts.select("id", F.split(normalize_text(text), " ").alias("w"))
+    runs = words.crossJoin(F.broadcast(lengths)).select("id", F.explode(grams).alias("alias"))
     return runs.join(aliases, "alias").groupBy("id").agg(F.array_sort(F.collect_set("slug")).alias("entities"))
 
 
