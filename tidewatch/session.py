@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,17 +39,46 @@ def shared_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
+#: Folders that written() made and that were not released yet, in the order they were made.
+_LIVE: dict[str, None] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    import uuid
+    """df, written to the shared folder and read again: cuts the lineage and survives lost executors.
 
+    The folder stays until release() or release_since() is called for it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}"
+    _LIVE[path] = None
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _delete(spark: SparkSession, path: str) -> None:
+    _LIVE.pop(path, None)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of frames that written() made; nothing that reads them may run any more."""
+    for df in frames:
+        _delete(df.sparkSession, df.written_to)
 
 
+def live_folders() -> frozenset[str]:
+    return frozenset(_LIVE)
+
+
+def release_since(spark: SparkSession, before: frozenset[str], keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what written() has made since live_folders() gave `before`, but for the frames to keep."""
+    kept = {df.written_to for df in keep}
+    for path in [p for p in _LIVE if p not in before and p not in kept]:
+        _delete(spark, path)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
