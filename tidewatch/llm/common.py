@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import load, shared_dir, written
+from ..session import live_folders, load, release, release_since, shared_dir, written
 
-__all__ = ["load", "shared_dir", "written", "words_column", "words_of", "nth", "connected_components", "sha256_hex"]
+__all__ = ["load", "shared_dir", "written", "release", "release_since", "live_folders", "free_name", "words_column", "words_of", "nth", "connected_components", "sha256_hex"]
 
 #: A run of characters that separate words, after A-Z are lower-cased: all ASCII but 0-9 and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,8 +37,16 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to clash with no column, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
-    """(node, component) for edges (a, b) of one comparable type; component is the least node of it.
+    """(node, before, component) for edges (a, b) of one comparable type; component is the least node of it.
 
     Each round takes the least label among a node's neighbours, then follows labels one step
     (pointer jumping), and is written to the shared folder. It ends when no label changes.
@@ -55,6 +63,8 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = nearer.join(jump, "component").select("node", "before", F.least("component", "further").alias("component"))
         after = written(after, f"{label}-{step}")
-        labels = after.select("node", "component")
+        release(labels)
+        labels = after
         if after.filter("before <> component").isEmpty():
+            release(both)
             return labels
