@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm.bpe_codec import bpe_encode
 from tidewatch.llm.common import load, written
 from tidewatch.llm.decontaminate import drop_contaminated
-from tidewatch.llm.jaccard_join import jaccard_join
+from tidewatch.llm.jaccard_join import drop_near_copies
 from tidewatch.llm.quality_rules import quality_verdicts
 from tidewatch.llm.secret_scan import redact
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join(docs, copy_text=True).filter("first").select(*docs.columns)
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
