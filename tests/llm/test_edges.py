@@ -28,7 +28,7 @@ def items(spark):
 CASES = {
     "license": lambda d, i: license_scan.license_scan(d),
     "tokens": lambda d, i: token_counts.token_counts(d),
-    "quality": lambda d, i: quality_rules.quality_verdicts(d, min_rows=1),
+    "quality": lambda d, i: quality_rules.quality_verdicts(d, prior=1),
     "benchmark": lambda d, i: decontaminate.contamination(d, i),
     "benchmark_blocks": lambda d, i: decontaminate.contamination(d, i, block=2),
     "clean": lambda d, i: decontaminate.drop_contaminated(d, i),

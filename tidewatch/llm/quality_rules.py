@@ -3,8 +3,9 @@
 Each text gets a few counts. For every language and source, each measure of them is summed up in a
 histogram with bins of bounded relative width, a quantile sketch: the lower edge of a bin keeps the
 six highest bits of a value, so a quantile is off by 1/32 at most, and sketches merge by adding
-counts. Sketches of small groups are merged to that of the language, and these to that of the
-corpus. Fences around the quartiles replace fixed cutoffs; they are joined to the texts by group.
+counts. Sketches of groups are merged to that of the language, and these to that of the corpus.
+Fences beyond the tails replace fixed cutoffs: those of a group are weighed by its rows with those
+above it, without a switch at some size, and joined to the texts by group.
 Whatever the size of a source, its sketch has a few hundred bins, counted before the shuffle.
 """
 
@@ -16,7 +17,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import load, written
+from .common import load, release, written
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
@@ -47,21 +48,22 @@ def counts_of(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_counts(x) for x in text], columns=[c.split()[0] for c in COUNTS.split(", ")])
 
 
-#: Measures in whole numbers: name, expression, whether a low and a high fence hold, and the least distance of a fence.
+#: Measures in whole numbers: name, expression, whether a low and a high fence hold, the tail in percent, and the reach in tenths.
+#: A single symbol decides nothing.
 MEASURES = {
-    "word_length": ("100 * word_chars div greatest(n_words, 1)", True, True, 200),
-    "symbols": ("10000 * n_symbols div greatest(word_chars, 1)", False, True, 500),
-    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", False, True, 5000),
-    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", False, True, 3500),
+    "word_length": ("100 * word_chars div greatest(n_words, 1)", True, True, 90, 50),
+    "symbols": ("10000 * greatest(n_symbols - 1, 0) div greatest(word_chars, 1)", False, True, 90, 50),
+    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", False, True, 99, 15),
+    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", False, True, 99, 15),
 }
 
 
-def fences(counted: DataFrame, group: tuple[str, str], min_rows: int, reach: float) -> DataFrame:
-    """Low and high fence of each measure for each group, each first column of a group, and the corpus.
+def fences(counted: DataFrame, group: tuple[str, str], prior: int) -> DataFrame:
+    """(the group's columns, rows, <measure>_low, <measure>_high) for each group with texts that pass the fixed rules.
 
-    Columns: level (2: group, 1: its first column, 0: corpus), the group's columns, rows, and
-    <measure>_low, <measure>_high. A fence lies `reach` quartile distances, and the measure's least
-    distance, outside the quartiles. Only texts that pass the fixed rules are summed up.
+    A fence of a group, a first column or the corpus lies `reach` times the distance from the median to the
+    tail beyond the median. A group's fence is weighed with that of its first column, and this with the
+    corpus's, by rows against `prior`: a group of few rows has nearly the fence above it, one of many its own.
     """
     first, second = group
     stack = ", ".join(f"'{name}', {m[0]}" for name, m in MEASURES.items())
@@ -70,56 +72,66 @@ def fences(counted: DataFrame, group: tuple[str, str], min_rows: int, reach: flo
     drop = "greatest(length(bin(value)) - 6, 0)"
     bins = values.groupBy(first, second, "measure", F.expr(f"shiftleft(shiftright(value, {drop}), {drop})").alias("edge")).agg(F.count("*").alias("n"))
     bins = written(bins, "sketches")
-    levels = bins.select(F.lit(2).alias("level"), first, second, "measure", "edge", "n")
-    null = lambda c: F.lit(None).cast(counted.schema[c].dataType).alias(c)
-    levels = levels.union(bins.select(F.lit(1), first, null(second), "measure", "edge", "n")).union(bins.select(F.lit(0), null(first), null(second), "measure", "edge", "n"))
-    levels = levels.groupBy("level", first, second, "measure", "edge").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("level", first, second, "measure")
-    ranked = levels.withColumn("upto", F.sum("n").over(own.orderBy("edge"))).withColumn("rows", F.sum("n").over(own))
-    low, high = F.min(F.when(F.col("upto") * 4 >= F.col("rows"), F.col("edge"))), F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("edge")))
-    quartiles = ranked.groupBy("level", first, second, "measure").agg(F.max("rows").alias("rows"), low.alias("q1"), high.alias("q3"))
-    far = F.col("q3") - F.col("q1")
-    pick = lambda name, c: F.max(F.when(F.col("measure") == name, c))
-    made = []
-    for name, (_, _, _, least) in MEASURES.items():
-        made += [pick(name, F.col("q1") - reach * far - least).alias(f"{name}_low"), pick(name, F.col("q3") + reach * far + least).alias(f"{name}_high")]
-    out = quartiles.groupBy("level", first, second).agg(F.max("rows").alias("rows"), *made)
-    return written(out.filter((F.col("level") == 0) | (F.col("rows") >= min_rows)), "fences")
-
-
-def quality_verdicts(docs: DataFrame, text_col: str = "text", group: tuple[str, str] = ("lang", "source"), min_rows: int = 200, reach: float = 3.0, copy_text: bool = False) -> DataFrame:
+    tail, reach = (F.create_map(*[F.lit(x) for name, m in MEASURES.items() for x in (name, m[i])])[F.col("measure")] for i in (3, 4))
+
+    def level(*keys: str) -> DataFrame:
+        """The fences of one level by its own rows; its sketches are sums of those of the groups."""
+        own = Window.partitionBy(*keys, "measure")
+        merged = bins.groupBy(*keys, "measure", "edge").agg(F.sum("n").alias("n"))
+        ranked = merged.withColumn("upto", F.sum("n").over(own.orderBy("edge"))).withColumn("all", F.sum("n").over(own))
+        at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("edge")))
+        out = ranked.groupBy(*keys, "measure").agg(F.max("all").alias("rows"), at(100 - tail).alias("down"), at(F.lit(50)).alias("mid"), at(tail).alias("up"))
+        out = out.withColumn("reach", reach)
+        low, high = F.expr("greatest(mid - reach * (mid - down) div 10, 0)"), F.expr("mid + reach * (up - mid) div 10")
+        return out.select(*keys, "measure", "rows", low.cast("long").alias("low"), high.cast("long").alias("high"))
+
+    def weighed(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+        up = above.select(*[F.col(k).alias(f"{k}_up") for k in keys], F.col("measure").alias("measure_up"), F.col("low").alias("low_up"), F.col("high").alias("high_up"))
+        same = F.col("measure") == F.col("measure_up")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_up"))
+        mixed = [F.expr(f"(rows * {c} + {prior} * {c}_up) div (rows + {prior})").alias(c) for c in ("low", "high")]
+        return own.join(up, same).select(*[c for c in own.columns if c not in ("low", "high")], *mixed)
+
+    by_first = weighed(level(first), level(), [])
+    whole = weighed(level(first, second), by_first, [first])
+    pick = lambda name, c: F.max(F.when(F.col("measure") == name, F.col(c))).alias(f"{name}_{c}")
+    out = written(whole.groupBy(first, second).agg(F.max("rows").alias("rows"), *[pick(name, c) for name in MEASURES for c in ("low", "high")]), "fences")
+    release(bins)
+    return out
+
+
+def quality_verdicts(docs: DataFrame, text_col: str = "text", group: tuple[str, str] = ("lang", "source"), prior: int = 200, copy_text: bool = False) -> DataFrame:
     """Each row of docs with the counts of its text, base_failed, kept and the names of failed measures.
 
     base_failed: fewer than 50 words, or over half of the words in three-word windows found twice
-    or more. kept: not base_failed, and each measure within the fences of the row's group; a group
-    of fewer than min_rows rows takes the fences of its first column, then of the corpus. A null
-    or empty text has counts of 0 and fails. Null group values form a group of their own. Repeated
-    rows are judged alike. Columns that clash with the made ones are replaced; copy_text keeps the text.
+    or more. kept: not base_failed, and each measure within the fences of the row's group (fences());
+    a value equal to its fence is within. A null or empty text has counts of 0 and fails. Null group
+    values form a group of their own. Repeated rows are judged alike; no rows give no rows. Columns
+    that clash with the made ones, in any case of letters, are replaced. With copy_text the text is
+    kept, and counted twice in place of being written.
     """
     first, second = group
-    made = [c.split()[0] for c in COUNTS.split(", ")] + ["base_failed"]
+    made = [c.split()[0] for c in COUNTS.split(", ")] + ["base_failed", "failed", "kept"]
     keep = [c for c in docs.columns if c != text_col or copy_text]
-    both = docs.select(F.struct(*keep).alias("row"), F.col(first).alias("g1"), F.col(second).alias("g2"), F.pandas_udf(counts_of, COUNTS)(F.col(text_col)).alias("counts"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
+    both = docs.select(row.alias("row"), F.col(f"`{first}`").alias("g1"), F.col(f"`{second}`").alias("g2"), F.pandas_udf(counts_of, COUNTS)(F.col(f"`{text_col}`")).alias("counts"))
     counted = both.select("row", "g1", "g2", "counts.*").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    counted = written(counted, "counted")
-    limits = fences(counted, ("g1", "g2"), min_rows, reach)
-    names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    at = lambda level, keys: limits.filter(F.col("level") == level).select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.struct(*names).alias(f"fences_{level}"))
-    same = lambda c, level: F.col(c).eqNullSafe(F.col(f"{c}_{level}"))
-    judged = counted.join(at(2, ["g1", "g2"]), same("g1", 2) & same("g2", 2), "left").join(at(1, ["g1"]), same("g1", 1), "left").join(F.broadcast(at(0, [])), F.lit(True), "left")
-    fence = lambda name: F.coalesce(*[F.col(f"fences_{i}.{name}") for i in (2, 1, 0)])
+    if not copy_text:
+        counted = written(counted, "counted")
+    limits = fences(counted.drop("row"), ("g1", "g2"), prior).withColumnsRenamed({"g1": "of1", "g2": "of2"}).drop("rows")
+    judged = counted.join(limits, F.col("g1").eqNullSafe(F.col("of1")) & F.col("g2").eqNullSafe(F.col("of2")), "left")
     failed = []
-    for name, (value, low, high, _) in MEASURES.items():
+    for name, (value, low, high, _, _) in MEASURES.items():
         out = F.lit(False)
         if low:
-            out = out | (F.expr(value) < fence(f"{name}_low"))
+            out = out | (F.expr(value) < F.col(f"{name}_low"))
         if high:
-            out = out | (F.expr(value) > fence(f"{name}_high"))
+            out = out | (F.expr(value) > F.col(f"{name}_high"))
         failed.append(F.when(out, F.lit(name)))
     judged = judged.withColumn("failed", F.array_compact(F.array(*failed)))
-    made += ["failed", "kept"]
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in keep if c not in made], *made)
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in keep if c.lower() not in made], *made)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,20 +149,22 @@ x AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2])
 c AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda a: length(a))), 0)::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN x USING (r)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * word_chars // greatest(n_words, 1) AS word_length, 10000 * n_symbols // greatest(word_chars, 1) AS symbols,
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * word_chars // greatest(n_words, 1) AS word_length, 10000 * greatest(n_symbols - 1, 0) // greatest(word_chars, 1) AS symbols,
   10000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 10000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM c),
 v AS (SELECT lang, source, m.n AS measure, m.v AS value FROM (SELECT lang, source, unnest([{{'n': 'word_length', 'v': word_length}}, {{'n': 'symbols', 'v': symbols}}, {{'n': 'dup_lines', 'v': dup_lines}}, {{'n': 'repeats', 'v': repeats}}]) AS m FROM b WHERE NOT base_failed)),
 e AS (SELECT lang, source, measure, ((value >> {_EDGE}) << {_EDGE}) AS edge FROM v),
 l AS (SELECT 2 AS level, lang, source, measure, edge FROM e UNION ALL SELECT 1, lang, NULL, measure, edge FROM e UNION ALL SELECT 0, NULL, NULL, measure, edge FROM e),
-q AS (SELECT level, lang, source, measure, count(*) AS n, quantile_disc(edge, 0.25) AS q1, quantile_disc(edge, 0.75) AS q3 FROM l GROUP BY ALL),
-f AS (SELECT level, lang, source, measure, q1 - 3 * (q3 - q1) AS low, q3 + 3 * (q3 - q1) AS high FROM q WHERE level = 0 OR n >= 200),
-j AS (SELECT b.r, b.doc_id, m.measure, coalesce(f2.low, f1.low, f0.low) AS low, coalesce(f2.high, f1.high, f0.high) AS high
-  FROM b CROSS JOIN (SELECT unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure) m
-  LEFT JOIN f f2 ON f2.level = 2 AND f2.measure = m.measure AND f2.lang IS NOT DISTINCT FROM b.lang AND f2.source IS NOT DISTINCT FROM b.source
-  LEFT JOIN f f1 ON f1.level = 1 AND f1.measure = m.measure AND f1.lang IS NOT DISTINCT FROM b.lang LEFT JOIN f f0 ON f0.level = 0 AND f0.measure = m.measure),
-k AS (SELECT r, max(CASE WHEN measure = 'word_length' THEN low END) AS wl, max(CASE WHEN measure = 'word_length' THEN high END) AS wh, max(CASE WHEN measure = 'symbols' THEN high END) AS sh,
-  max(CASE WHEN measure = 'dup_lines' THEN high END) AS dh, max(CASE WHEN measure = 'repeats' THEN high END) AS rh FROM j GROUP BY r)
+h AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY edge) AS i, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM l),
+q AS (SELECT level, lang, source, measure, max(n) AS n, CASE WHEN measure IN ('word_length', 'symbols') THEN 90 ELSE 99 END AS tail, CASE WHEN measure IN ('word_length', 'symbols') THEN 50 ELSE 15 END AS reach,
+  min(edge) FILTER (i * 100 >= n * (100 - (CASE WHEN measure IN ('word_length', 'symbols') THEN 90 ELSE 99 END))) AS down, min(edge) FILTER (i * 2 >= n) AS mid,
+  min(edge) FILTER (i * 100 >= n * (CASE WHEN measure IN ('word_length', 'symbols') THEN 90 ELSE 99 END)) AS up FROM h GROUP BY level, lang, source, measure),
+f AS (SELECT level, lang, source, measure, n, greatest(mid - reach * (mid - down) // 10, 0) AS low, mid + reach * (up - mid) // 10 AS high FROM q),
+f1 AS (SELECT a.lang, a.measure, (a.n * a.low + 200 * z.low) // (a.n + 200) AS low, (a.n * a.high + 200 * z.high) // (a.n + 200) AS high FROM f a JOIN f z ON z.level = 0 AND z.measure = a.measure WHERE a.level = 1),
+f2 AS (SELECT a.lang, a.source, a.measure, (a.n * a.low + 200 * z.low) // (a.n + 200) AS low, (a.n * a.high + 200 * z.high) // (a.n + 200) AS high
+  FROM f a JOIN f1 z ON z.measure = a.measure AND z.lang IS NOT DISTINCT FROM a.lang WHERE a.level = 2),
+k AS (SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN low END) AS wl, max(CASE WHEN measure = 'word_length' THEN high END) AS wh, max(CASE WHEN measure = 'symbols' THEN high END) AS sh,
+  max(CASE WHEN measure = 'dup_lines' THEN high END) AS dh, max(CASE WHEN measure = 'repeats' THEN high END) AS rh FROM f2 GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_length BETWEEN wl - 200 AND wh + 200 AND symbols <= sh + 500 AND dup_lines <= dh + 5000 AND repeats <= rh + 3500 AS kept
-FROM b JOIN k USING (r)
+  NOT base_failed AND coalesce(word_length BETWEEN wl AND wh AND symbols <= sh AND dup_lines <= dh AND repeats <= rh, false) AS kept
+FROM b LEFT JOIN k ON k.lang IS NOT DISTINCT FROM b.lang AND k.source IS NOT DISTINCT FROM b.source
 """
