@@ -6,19 +6,21 @@ holds a window holds all of its shingles, so the join needs one prefix token of
 rarest shingle. A match fixes where the window would start; bounds on position and length drop
 what can't fit, and the words are compared one by one.
 
-The corpus is read once: its shingles are met with those of the benchmark, and what meets is
-written with the few words around it, so that counting, prefix join and verification need no
-text again. The benchmark's shingles are broadcast in blocks whose size is counted beforehand.
+The corpus is read twice. A narrow pass counts the benchmark's shingles in it, and hands on counts
+only; the join then meets each window's rarest shingle alone and checks the words in the scan, so
+nothing but occurrences leaves it. What is broadcast comes in blocks whose size is counted beforehand.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import load, sha256_hex, words_column, written
+from .common import free_name, load, release, sha256_hex, words_column, written
 
-#: The broadcast holds so many shingles at most; more are taken in blocks.
-BLOCK = 1_000_000
+#: A broadcast holds so many shingles or windows at most; more are taken in blocks.
+BLOCK = 500_000
+#: Digests of contaminated texts are broadcast up to this number, and joined by a shuffle beyond.
+MOST_DIGESTS = 500_000
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -41,13 +43,13 @@ def contamination(
     items with occurring windows; n_items; contaminated: n_hit > 0. An occurrence is exact, word
     for word. A null text has no words. Items that repeat under one id count once; an item whose
     id is null hits words but isn't listed. An empty benchmark or corpus gives no hits or no rows.
-    Columns of docs that clash with the made ones are replaced by these.
+    Repeated rows are judged alike. Columns of docs that clash with the made ones, in any case of
+    letters, are replaced by these.
     """
     keep = [c for c in docs.columns if c != text_col]
     # Windows that several items share are one window; shingles of it start at each offset.
     owners = written(benchmark_windows(items, id_col, item_text_col, window), "windows")
     windows = written(owners.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"), "window-ids")
-    n_windows = windows.count()
     offsets = windows.select("window", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).alias("offset"))
     offsets = offsets.withColumn("k", F.least(F.size("words"), F.lit(shingle)))
     by_size = F.lit(None).cast("long")
@@ -56,68 +58,86 @@ def contamination(
     offsets = written(offsets.withColumn("hash", by_size), "shingles")
     tokens = written(offsets.select("k", "hash").distinct(), "tokens")
     sizes = sorted(r.k for r in tokens.select("k").distinct().collect())  # at most `shingle` values
-    blocks = max(1, -(-tokens.count() // block))
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept"), F.concat(F.array(F.lit("")), words_column(F.col(text_col))).alias("words"))
-    if blocks > 1:  # rows keep their numbers over several readings
-        texts = written(texts, "texts")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), F.concat(F.array(F.lit("")), words_column(F.col(f"`{text_col}`"))).alias("words"))
     # The empty word before each text keeps it in the result.
-    rows = texts.select("row", "kept", "words", F.posexplode_outer("words").alias("pos", "word"))
     n_words = F.size("words") - 1
     key = lambda k: F.struct(F.lit(k).alias("k"), F.when((F.col("pos") > 0) & (F.col("pos") + k - 1 <= n_words), _hash("words", F.col("pos"), k)).alias("hash"))
-    keys = [F.struct(F.lit(0).alias("k"), F.when(F.col("pos") == 0, F.lit(0)).cast("long").alias("hash"))] + [key(k) for k in sizes]
-    if len(sizes) == 1:
-        rows = rows.withColumn("key", F.when(F.col("pos") == 0, keys[0]).otherwise(keys[1]))
-    else:
-        rows = rows.withColumn("key", F.explode_outer(F.array(*keys)))
-    before, around = F.greatest(F.col("pos") - (window - 1), F.lit(1)), 2 * window - 1
-    own = docs.sparkSession.sql("SELECT 0 AS k, 0L AS hash")
-    met = None
-    for b in range(blocks):
-        part = tokens if blocks == 1 else tokens.filter(F.pmod(F.col("hash"), F.lit(blocks)) == b)
-        part = own.union(part) if b == 0 else part
-        one = rows.join(F.broadcast(part.withColumnsRenamed({"k": "met_k", "hash": "met_hash"})), (F.col("key.hash") == F.col("met_hash")) & (F.col("key.k") == F.col("met_k")))
-        one = one.select(
-            "row", F.when(F.col("pos") == 0, F.col("kept")).alias("kept"), n_words.alias("n_words"), F.col("met_k").alias("k"), F.col("met_hash").alias("hash"), (F.col("pos") - 1).alias("pos"),
-            (before - 1).alias("from"), F.when(F.col("pos") > 0, F.slice("words", before + 1, F.lit(around))).alias("near"),
-        )
-        met = one if met is None else met.unionByName(one)
-    met = written(met, "met")
 
-    found = met.filter("pos >= 0")
-    often = found.groupBy("k", "hash").agg(F.count("*").alias("often"))
+    def places(texts: DataFrame, own: bool) -> DataFrame:
+        """texts by word, with the key of the shingle that starts there; with own, also a key of the text itself."""
+        by_word = F.posexplode_outer("words").alias("pos", "word")
+        rows = texts.select(*[c for c in texts.columns if own or c == "words"], by_word)
+        keys = [F.struct(F.lit(0).alias("k"), F.when(F.col("pos") == 0, F.lit(0)).cast("long").alias("hash"))] * own + [key(k) for k in sizes]
+        if len(keys) == 2 and own:
+            return rows.withColumn("key", F.when(F.col("pos") == 0, keys[0]).otherwise(keys[1]))
+        if not keys:
+            return rows.limit(0).withColumn("key", F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("hash")))
+        return rows.withColumn("key", keys[0]) if len(keys) == 1 else rows.withColumn("key", F.explode_outer(F.array(*keys)))
+
+    def in_blocks(table: DataFrame, number: str) -> list[DataFrame]:
+        n = max(1, -(-table.count() // block))
+        return [table if n == 1 else table.filter(F.pmod(F.col(number), F.lit(n)) == i) for i in range(n)]
+
+    meets = (F.col("key.hash") == F.col("met_hash")) & (F.col("key.k") == F.col("met_k"))
+    often = None
+    for part in in_blocks(tokens, "hash"):
+        one = places(texts, False).join(F.broadcast(part.withColumnsRenamed({"k": "met_k", "hash": "met_hash"})), meets)
+        one = one.groupBy(F.col("met_k").alias("k"), F.col("met_hash").alias("hash")).agg(F.count("*").alias("often"))
+        often = one if often is None else often.union(one)
+    often = written(often, "often")
+
+    # Windows without an occurrence of their rarest shingle occur nowhere.
     rarest = Window.partitionBy("window").orderBy(F.coalesce("often", F.lit(0)), "hash", "offset")
     prefix = offsets.join(often, ["k", "hash"], "left").withColumn("rank", F.row_number().over(rarest)).filter("rank = 1 AND often > 0")
-    prefix = written(prefix.select("window", "k", "hash", "offset", F.col("words").alias("wanted")), "prefix")
-    prefix = F.broadcast(prefix) if n_windows <= block else prefix
-    start = F.col("pos") - F.col("offset")
-    places = found.join(prefix, ["k", "hash"]).filter((start >= 0) & (start + F.size("wanted") <= F.col("n_words")))
-    places = places.filter(F.slice("near", start - F.col("from") + 1, F.size("wanted")) == F.col("wanted"))
-    places = places.select("row", "window", start.alias("start"), (start + F.size("wanted")).alias("end"))
+    prefix = written(prefix.select(F.col("k").alias("met_k"), F.col("hash").alias("met_hash"), "window", "offset", F.col("words").alias("wanted")), "prefix")
+    parts = in_blocks(prefix, "window")
+    if len(parts) > 1:  # rows keep their numbers over several readings
+        texts = written(texts, "texts")
+    start = F.col("pos") - 1 - F.col("offset")
+    met = None
+    for i, part in enumerate(parts):
+        if i == 0:
+            whole = docs.sparkSession.sql("SELECT 0 AS met_k, 0L AS met_hash")
+            part = whole.select("met_k", "met_hash", *[F.lit(None).cast(t).alias(c) for c, t in prefix.dtypes[2:]]).union(part)
+        one = places(texts, i == 0).join(F.broadcast(part), meets) if i == 0 else places(texts, True).filter("pos > 0").join(F.broadcast(part), meets)
+        fits = (start >= 0) & (start + F.size("wanted") <= n_words) & (F.slice("words", start + 2, F.size("wanted")) == F.col("wanted"))
+        one = one.filter((F.col("pos") == 0) | fits)
+        one = one.select("row", F.when(F.col("pos") == 0, F.col("kept")).alias("kept"), n_words.alias("n_words"), "window", start.alias("start"), (start + F.size("wanted")).alias("end"))
+        met = one if met is None else met.unionByName(one)
+    met = written(met, "met")
+    places_ = met.filter("window IS NOT NULL").select("row", "window", "start", "end")
 
     ids = windows.join(owners, "words").select("window", F.col("item").cast("string").alias("item"))
-    listed = places.select("row", "window").distinct().join(ids, "window").select("row", "item").distinct()
+    listed = places_.select("row", "window").distinct().join(ids, "window").select("row", "item").distinct()
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     kind = met.schema["kept"].dataType
-    parts = met.filter("pos < 0").select("row", "kept", "n_words", none("span", "struct<start:int,end:int>"), none("item", "string"))
-    parts = parts.union(places.select("row", F.lit(None).cast(kind), none("n_words", "int"), F.struct("start", "end"), none("item", "string")).distinct())
+    parts = met.filter("window IS NULL").select("row", "kept", "n_words", none("span", "struct<start:int,end:int>"), none("item", "string"))
+    parts = parts.union(places_.select("row", F.lit(None).cast(kind), none("n_words", "int"), F.struct("start", "end"), none("item", "string")).distinct())
     parts = parts.union(listed.select("row", F.lit(None).cast(kind), none("n_words", "int"), none("span", "struct<start:int,end:int>"), "item"))
     per_text = parts.groupBy("row").agg(F.max("n_words").cast("long").alias("n_words"), F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list("span")).alias("spans"), F.array_sort(F.collect_list("item")).alias("items"))
     step = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["end"]), F.lit(0))).alias("n"))
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"].cast("long"))
     result = per_text.select("kept", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("spans") > 0).alias("contaminated"))
     made = [c for c in result.columns if c != "kept"]
-    return result.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep if c not in made], *made)
+    release(offsets, tokens, often, prefix)
+    return result.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep if c.lower() not in made], *made)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose text holds no window of an item, with all their columns.
 
-    Only numbers of contaminated rows are joined back to the texts, which are written once before.
+    Whether a text is contaminated follows from the text, so digests of contaminated texts are joined back,
+    by broadcast if they are few; no text is written or shuffled. A null or empty text stays, repeated rows
+    stay or go together, an empty benchmark drops none, and columns of any name are kept.
     """
-    numbered = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
-    hit = contamination(numbered.select("__number", text_col), items, text_col, **options).filter("contaminated").select("__number")
-    return numbered.join(written(hit, "contaminated"), "__number", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.md5(F.col(f"`{text_col}`").cast("binary"))
+    name = free_name(docs.columns, "digest")
+    hit = contamination(docs.select(digest.alias(name), F.col(f"`{text_col}`").alias("text")), items, "text", **options)
+    hit = written(hit.filter("contaminated").select(name).distinct(), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= MOST_DIGESTS else hit
+    return docs.withColumn(name, digest).join(hit, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
