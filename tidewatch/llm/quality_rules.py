@@ -101,23 +101,13 @@ def fences(counted: DataFrame, group: tuple[str, str], prior: int) -> DataFrame:
     return out
 
 
-def quality_verdicts(docs: DataFrame, text_col: str = "text", group: tuple[str, str] = ("lang", "source"), prior: int = 200, copy_text: bool = False) -> DataFrame:
-    """Each row of docs with the counts of its text, base_failed, kept and the names of failed measures.
-
-    base_failed: fewer than 50 words, or over half of the words in three-word windows found twice
-    or more. kept: not base_failed, and each measure within the fences of the row's group (fences());
-    a value equal to its fence is within. A null or empty text has counts of 0 and fails. Null group
-    values form a group of their own. Repeated rows are judged alike; no rows give no rows. Columns
-    that clash with the made ones, in any case of letters, are replaced. With copy_text the text is
-    kept, and counted twice in place of being written.
-    """
+def _judged(docs: DataFrame, text_col: str, group: tuple[str, str], prior: int, keep: list[str], twice: bool) -> DataFrame:
+    """row (a struct of keep), the counts, base_failed, failed and kept; counted again in place of being written with twice."""
     first, second = group
-    made = [c.split()[0] for c in COUNTS.split(", ")] + ["base_failed", "failed", "kept"]
-    keep = [c for c in docs.columns if c != text_col or copy_text]
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
     both = docs.select(row.alias("row"), F.col(f"`{first}`").alias("g1"), F.col(f"`{second}`").alias("g2"), F.pandas_udf(counts_of, COUNTS)(F.col(f"`{text_col}`")).alias("counts"))
     counted = both.select("row", "g1", "g2", "counts.*").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    if not copy_text:
+    if not twice:
         counted = written(counted, "counted")
     limits = fences(counted.drop("row"), ("g1", "g2"), prior).withColumnsRenamed({"g1": "of1", "g2": "of2"}).drop("rows")
     judged = counted.join(limits, F.col("g1").eqNullSafe(F.col("of1")) & F.col("g2").eqNullSafe(F.col("of2")), "left")
@@ -130,10 +120,30 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", group: tuple[str,
             out = out | (F.expr(value) > F.col(f"{name}_high"))
         failed.append(F.when(out, F.lit(name)))
     judged = judged.withColumn("failed", F.array_compact(F.array(*failed)))
-    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def quality_verdicts(docs: DataFrame, text_col: str = "text", group: tuple[str, str] = ("lang", "source"), prior: int = 200) -> DataFrame:
+    """Each row of docs, but for the text, with the counts of its text, base_failed, kept and the names of failed measures.
+
+    base_failed: fewer than 50 words, or over half of the words in three-word windows found twice
+    or more. kept: not base_failed, and each measure within the fences of the row's group (fences());
+    a value equal to its fence is within. A null or empty text has counts of 0 and fails. Null group
+    values form a group of their own. Repeated rows are judged alike; no rows give no rows. Columns
+    that clash with the made ones, in any case of letters, are replaced.
+    """
+    made = [c.split()[0] for c in COUNTS.split(", ")] + ["base_failed", "failed", "kept"]
+    keep = [c for c in docs.columns if c != text_col]
+    judged = _judged(docs, text_col, group, prior, keep, False)
     return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in keep if c.lower() not in made], *made)
 
 
+def keep_passing(docs: DataFrame, text_col: str = "text", group: tuple[str, str] = ("lang", "source"), prior: int = 200) -> DataFrame:
+    """The rows of docs that quality_verdicts() keeps, with all columns; texts are counted twice and never written."""
+    judged = _judged(docs, text_col, group, prior, docs.columns, True).filter("kept")
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_verdicts(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
