@@ -102,10 +102,13 @@ def fences(counted: DataFrame, group: tuple[str, str], prior: int) -> DataFrame:
 
 
 def _judged(docs: DataFrame, text_col: str, group: tuple[str, str], prior: int, keep: list[str], twice: bool) -> DataFrame:
-    """row (a struct of keep), the counts, base_failed, failed and kept; counted again in place of being written with twice."""
+    """row (a struct of keep), the counts, base_failed, failed and kept; counted again in place of being written with twice.
+
+    Marked as nondeterministic, the counting is run once in each of the two passes and not again for a filter.
+    """
     first, second = group
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
-    both = docs.select(row.alias("row"), F.col(f"`{first}`").alias("g1"), F.col(f"`{second}`").alias("g2"), F.pandas_udf(counts_of, COUNTS)(F.col(f"`{text_col}`")).alias("counts"))
+    both = docs.select(row.alias("row"), F.col(f"`{first}`").alias("g1"), F.col(f"`{second}`").alias("g2"), F.pandas_udf(counts_of, COUNTS).asNondeterministic()(F.col(f"`{text_col}`")).alias("counts"))
     counted = both.select("row", "g1", "g2", "counts.*").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     if not twice:
         counted = written(counted, "counted")
