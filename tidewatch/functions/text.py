@@ -7,12 +7,23 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-#: Words that carry no topic, in English and Spanish, without accents. A parameter everywhere.
-STOP_WORDS = tuple(
-    "a about after all also am an and any are as at be been but by can did do does for from get had has have he her him his how i if in into is it its just me more most my no not now of on one or our out over she so some such than that the their them then there these they this to too under up us very was we were what when which who why will with would you your "
-    "al algo ante antes asi aun bien cada como con cual cuando de del desde donde dos el ella ellos en entre era es esa ese eso esta este esto fue ha hace han hasta hay la las le les lo los mas me mi mis muy nada ni nos nuestra nuestro o os otra otro para pero poco por porque pues que quien se sea ser si sin sobre solo son su sus tal tambien te tiene toda todo tras tu un una uno unos y ya yo".split()
+# They have to be these for equal results. Words that carry no topic, as they read without accents.
+SPANISH_STOP_WORDS = tuple(
+    "de la que el en y a los del se las por un para con una su al es lo como mas pero sus le ya o este si porque esta entre cuando muy sin sobre tambien hasta hay donde quien desde todo nos durante todos uno les "
+    "ni contra otros ese eso ante ellos e esto antes algunos unos yo otro otras otra tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros mi mis te ti tu tus ellas nosotras vosotros vosotras os "
+    "ser son fue era han ha he hemos estan tiene tienen hacer hace hacen puede pueden solo ahi asi cada tan sera va van ir ver dice dijo".split()
 )
-LANGUAGE_MARKERS = {"es": (" que ", " los ", " las ", " una ", " para ", " por ", " del ", " esta "), "en": (" the ", " and ", " of ", " that ", " with ", " this ", " from ", " was ")}
+ENGLISH_STOP_WORDS = tuple(
+    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up out if about who get which go me when make can like time "
+    "no just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most us is are was "
+    "were been has had does did doing here should very much more still being too such via per own same am it's don't you're http https www com".split()
+)
+STOP_WORDS = tuple(dict.fromkeys(SPANISH_STOP_WORDS + ENGLISH_STOP_WORDS))
+# Marks of the two-language detector, in the order that ties follow. No text has the accent of the ninth.
+LANGUAGE_MARKERS = {
+    "es": (" que ", " de ", " la ", " el ", " los ", " para ", " con ", " una ", " está ", " pero ", " porque "),
+    "en": (" the ", " and ", " for ", " with ", " that ", " this ", " from ", " have ", " will ", " are "),
+}
 
 
 @lru_cache(1)
@@ -38,11 +49,19 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9'\s-]", " "), r"\s+", " "))
 
 
+def raw_tokens(text: Column) -> Column:
+    """What stands between blanks, without hyphens and quotes at its ends; all in one pass over the text."""
+    return F.split(F.regexp_replace(normalize_text(text), "(?<![^ ])[-']+|[-']+(?![^ ])", ""), " ")
+
+
+def is_token(raw: Column, min_length: int = 3, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    found = (F.length(raw) >= min_length) & ~raw.rlike(r"^\d$")
+    return found & ~raw.isin(*stop_words) if stop_words else found
+
+
 def tokenize(text: Column, min_length: int = 3, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Tokens of a text in order, with repeats; a null text gives null."""
-    bare = F.transform(F.split(normalize_text(text), " "), lambda t: F.regexp_replace(t, r"^[-']+|[-']+$", ""))
-    stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    return F.filter(bare, lambda t: (F.length(t) >= min_length) & ~F.array_contains(stops, t) & ~t.rlike(r"^\d$"))
+    """Tokens of a text in order, with repeats; a null text gives null. Where rows will do, explode raw_tokens and filter them."""
+    return F.filter(raw_tokens(text), lambda t: is_token(t, min_length, stop_words))
 
 
 def fnv1a64(text: Column) -> Column:
@@ -130,14 +149,14 @@ def primary_language(tag: Column) -> Column:
     return F.lower(F.get(F.split(tag, "[-_]"), F.lit(0)))
 
 
-#: Function words of six languages, each bare of signs; a parameter of detect_source_language.
+# Function words of six languages, the default of detect_source_language.
 SOURCE_MARKERS = {
-    "es": "que el los las una para con son pero porque también como más cuando donde del por muy hay".split(),
-    "en": "the and of is are was to in for with that this from have not but you they which when".split(),
-    "fr": "le les des une et est pour avec que qui dans sur pas nous vous mais sont où cette du".split(),
-    "de": "der die das und ist nicht ein eine mit für sich auch auf von zu werden wird aber noch".split(),
-    "pt": "que não uma um para com os as do da dos das em por mais como mas foi são você".split(),
-    "it": "il che di una un per con non sono è anche più come ma questo gli le della nel dei".split(),
+    "es": "que de la el los las un una para con es son está esta este pero porque muy también desde hasta como más fue han tiene puede donde cuando entre sobre sin hay todo todos su al del se por y o ya lo nos".split(),
+    "en": "the and of is are was were to in for with that this from have has will not but you they we it as at on by or an be been their there what which when where who how because about into more most some such can could would should very also than then them these those".split(),
+    "fr": "le les des une un et est pour avec que qui dans sur plus pas nous vous je il elle ce cette au aux du son sa ses mais ou où être sont été votre notre leur leurs ainsi donc comme tout tous bien fait de la".split(),
+    "de": "der die das und ist nicht ein eine einen mit für sich den dem des auch auf aus bei nach werden wird sind von zu im zur zum dass wie aber noch nur kann muss über unter zwischen wenn als sein seine diese dieser dieses".split(),
+    "pt": "que não nao uma um para com os as do da dos das em por mais como mas foi são sao está esta isso ele ela você voce nós nos também tambem já ja até ate muito quando onde seu sua seus suas ao aos todos".split(),
+    "it": "il che di una un per con non sono è e anche più piu come ma questo questa gli le lo dei delle della nel nella si ha hanno molto quando dove suo sua loro essere stato dopo prima senza tra fra dal dalla la".split(),
 }
 #: (language, letters, weight): letters that hint at a language.
 LETTER_HINTS = (("es", "[ñ¿¡]", 3), ("de", "ß", 3), ("pt", "[ãõ]", 3), ("fr", "œ", 3), ("fr", "ç", 1), ("pt", "ç", 1))
@@ -151,17 +170,24 @@ def detect_source_language(text: Column, markers: dict[str, list[str]] = SOURCE_
     lower = F.lower(F.trim(text))
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^\p{L}\s'-]+", " "), r"\s+", " ")), " "))
     shared = [w for ws in markers.values() for w in ws]
-    points = {}
-    for lang, ws in markers.items():
-        total = F.lit(0)
-        for weight in (1, 2):
-            group = [w for w in dict.fromkeys(ws) if (shared.count(w) == 1) == (weight == 2)]
-            if group:
-                total = total + weight * F.size(F.array_intersect(words, F.array(*map(F.lit, group))))
-        for hinted, letters, weight in hints:
-            if hinted == lang:
-                total = total + F.when(lower.rlike(letters), weight).otherwise(0)
-        points[lang] = total
-    best = F.greatest(*points.values())
-    winners = F.filter(F.array(*[F.when(n == best, F.lit(lang)) for lang, n in points.items()]), lambda x: x.isNotNull())
-    return F.when((F.length(F.trim(text)) >= least_chars) & (best >= least_points) & (F.size(winners) == 1), F.get(winners, F.lit(0)))
+    bound = lambda value, made: F.get(F.transform(F.array(value), made), F.lit(0))  # noqa: E731  value is computed once
+
+    def points(seen: Column) -> Column:
+        every = []
+        for lang, ws in markers.items():
+            total = F.lit(0)
+            for weight in (1, 2):
+                group = [w for w in dict.fromkeys(ws) if (shared.count(w) == 1) == (weight == 2)]
+                if group:
+                    total = total + weight * F.size(F.array_intersect(seen["words"], F.array(*map(F.lit, group))))
+            for hinted, letters, weight in hints:
+                if hinted == lang:
+                    total = total + F.when(seen["lower"].rlike(letters), weight).otherwise(0)
+            every.append(total)
+        return F.array(*every)
+
+    def winner(n: Column) -> Column:
+        best = F.array_max(n)
+        return F.when((best >= least_points) & (F.size(F.filter(n, lambda x: x == best)) == 1), F.get(F.array(*map(F.lit, markers)), F.array_position(n, best).cast("int") - 1))
+
+    return F.when(F.length(F.trim(text)) >= least_chars, bound(bound(F.struct(words.alias("words"), lower.alias("lower")), points), winner))

@@ -25,6 +25,12 @@ def canonical_url(url: Column) -> Column:
     return F.coalesce(F.when(_part(url, "HOST").isNotNull(), whole), F.trim(url))
 
 
+def normalize_host(host: Column) -> Column:
+    """A host as people write it: without blanks, scheme, www, path, port and last dot, in lower case."""
+    bare = F.regexp_replace(F.lower(F.trim(host)), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[/?#:].*$", ""), r"^www\.", ""), r"\.$", "")
+
+
 def is_safe(url: Column) -> Column:
     """Only http and https with a host."""
     return F.coalesce(F.lower(_part(url, "PROTOCOL")).isin("http", "https") & (_part(url, "HOST") != ""), F.lit(False))

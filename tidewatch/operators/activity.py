@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import is_token, raw_tokens
+from .posts import moment
+from .trends import highlights
 
 LIVE_S, RECENT_S, STALE_S = 90, 600, 3600
 SCAN_MS = 6 * 3_600_000
@@ -16,7 +18,7 @@ def level_of(age_s: Column) -> Column:
 
 def rates(posts: DataFrame, now_ms: int, scale: int = 1) -> DataFrame:
     """One row: posts, sources, topics, first and last time, counts of the last 1, 5 and 60 minutes, level. scale lengthens the minutes."""
-    since = lambda minutes: F.count_if(F.unix_millis("published_at") >= now_ms - minutes * 60_000 * scale)
+    since = lambda minutes: F.count_if(F.col("published_at") >= moment(now_ms - minutes * 60_000 * scale))
     one = posts.agg(
         F.count("*").alias("posts"), F.count_distinct("source").alias("sources"), F.count_distinct("topic").alias("topics"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest"),
         since(1).alias("last_minute"), since(5).alias("last_five_minutes"), since(60).alias("last_hour"),
@@ -26,7 +28,7 @@ def rates(posts: DataFrame, now_ms: int, scale: int = 1) -> DataFrame:
 
 def hot_keywords(posts: DataFrame, text: Column, limit: int | None = 12, min_length: int = 4) -> DataFrame:
     """Words by the number of posts that have them, with their sources and topics; a post counts once for a word."""
-    words = posts.select("source", "topic", F.explode(F.array_distinct(tokenize(text, min_length))).alias("word"))
+    words = posts.select("source", "topic", F.explode(F.array_distinct(raw_tokens(text))).alias("word")).filter(is_token(F.col("word"), min_length))
     # Counts by source and topic come first, so a word that all posts have is no hot key.
     parts = words.groupBy("word", "source", "topic").agg(F.count("*").alias("n"))
     out = parts.groupBy("word").agg(F.sum("n").alias("posts"), F.size(F.collect_set("source")).alias("sources"), F.size(F.collect_set("topic")).alias("topics"))
@@ -35,7 +37,7 @@ def hot_keywords(posts: DataFrame, text: Column, limit: int | None = 12, min_len
 
 def source_liveness(posts: DataFrame, configs: DataFrame, now_ms: int, hour_ms: int = 3_600_000) -> DataFrame:
     """configs (source, enabled, last_error) with the count of the last hour; sources without posts have 0."""
-    recent = posts.filter(F.unix_millis("published_at") >= now_ms - hour_ms).groupBy("source").agg(F.count("*").alias("recent"))
+    recent = posts.filter(F.col("published_at") >= moment(now_ms - hour_ms)).groupBy("source").agg(F.count("*").alias("recent"))
     return configs.join(recent, "source", "left").withColumn("recent", F.coalesce("recent", F.lit(0))).withColumn("ok", F.col("last_error").isNull())
 
 
@@ -51,3 +53,35 @@ def shares(posts: DataFrame, key: str) -> DataFrame:
     counts = posts.groupBy(key).agg(F.count("*").alias("posts"))
     whole = counts.agg(F.sum("posts").alias("whole"))
     return counts.crossJoin(F.broadcast(whole)).select(key, "posts", (F.col("posts") / F.col("whole")).alias("share"))  # whole is one row
+
+
+def source_health(liveness: DataFrame) -> DataFrame:
+    """One row: enabled sources, those of them that work, and their share (1 if none is enabled)."""
+    out = liveness.agg(F.count_if("enabled").alias("enabled"), F.count_if(F.col("enabled") & F.col("ok")).alias("ok"))
+    return out.withColumn("ratio", F.when(F.col("enabled") > 0, F.col("ok") / F.col("enabled")).otherwise(F.lit(1.0)))
+
+
+def keyword_weights(trends: DataFrame, limit: int | None = 18) -> DataFrame:
+    """(keyword, weight): volume over the trends that have the word among their first three keywords; the report of the heaviest."""
+    out = trends.select(F.explode(F.slice("keywords", 1, 3)).alias("keyword"), "volume").groupBy("keyword").agg(F.sum("volume").alias("weight")).orderBy(F.desc("weight"), "keyword")
+    return out.limit(limit) if limit is not None else out
+
+
+def activity_snapshot(posts: DataFrame, text: Column, trends: DataFrame, configs: DataFrame, now_ms: int, scale: int = 1, scan_ms: int = SCAN_MS) -> DataFrame:
+    """One row: time, level, note, rates, totals, hot keywords, sources by recent posts, and highlights.
+
+    Only posts of the last scan_ms count for rates, keywords and sources. scale lengthens minutes and hours.
+    """
+    inside = posts.filter(F.col("published_at") >= moment(now_ms - scan_ms * scale))
+    rate = rates(inside, now_ms, scale)
+    live = source_liveness(inside, configs, now_ms, 3_600_000 * scale)
+    note = activity_note(live, rate.select("posts", "level"))
+    listed = lambda rows, order, name: rows.agg(F.array_sort(F.collect_list(F.struct(*order, *rows.columns))).alias(name))  # noqa: E731  short reports
+    words = listed(hot_keywords(inside, text).select("word", "posts"), [(-F.col("posts")).alias("order")], "keywords")
+    sources = listed(live.select("source", "recent", "ok", "enabled"), [(-F.col("recent")).alias("order")], "sources")
+    best = highlights(trends).select("topic", "state", "score", "velocity", "coverage", "volume")
+    best = listed(best, [(-F.col("score")).alias("o1"), (-F.col("volume")).alias("o2")], "highlights")
+    totals = posts.agg(F.count("*").alias("items"), F.count_distinct("topic").alias("clusters")).crossJoin(trends.agg(F.count("*").alias("trends")))
+    one = rate.select("newest", "level", F.struct("last_minute", "last_five_minutes", "last_hour").alias("rate")).crossJoin(note.select("note"))
+    one = one.crossJoin(totals.select(F.struct("items", "clusters", "trends").alias("totals"))).crossJoin(words).crossJoin(sources).crossJoin(best)  # one row each
+    return one.select(F.lit(now_ms).alias("at_ms"), "*")

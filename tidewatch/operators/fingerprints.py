@@ -19,9 +19,12 @@ def simhash(posts: DataFrame, text: str = "body") -> DataFrame:
     """(id, simhash) of each post with a token. Each distinct token of the corpus is hashed once."""
     counts = token_rows(posts, text)
     hashes = counts.select("token").distinct().select("token", fnv1a64(F.col("token")).alias("h"))
-    votes = [F.sum(F.when(F.bit_get("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{b}") for b in range(64)]
-    summed = counts.join(hashes, "token").groupBy("id").agg(*votes)
-    return summed.select("id", _assembled([F.col(f"v{b}") > 0 for b in range(64)]).alias("simhash"))
+    # Two bits are counted in one sum, each in a half of a long.
+    pair = F.lit(0x100000001)
+    votes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(pair) * F.col("n")).alias(f"v{b}") for b in range(32)]
+    summed = counts.join(hashes, "token").groupBy("id").agg(F.sum("n").alias("n"), *votes)
+    ones = [F.col(f"v{b}").bitwiseAND(F.lit(0xFFFFFFFF)) for b in range(32)] + [F.shiftrightunsigned(f"v{b}", 32) for b in range(32)]
+    return summed.select("id", _assembled([2 * x > F.col("n") for x in ones]).alias("simhash"))
 
 
 def centroids(members: DataFrame) -> DataFrame:
@@ -31,11 +34,17 @@ def centroids(members: DataFrame) -> DataFrame:
     return summed.select("topic", _assembled([F.col(f"v{b}") * 2 >= F.col("n") for b in range(64)]).alias("centroid"))
 
 
-def top_keywords(posts: DataFrame, k: int = 6, text: str = "body") -> DataFrame:
-    """The k tokens of each post that are frequent in it and rare in the corpus; ties by token."""
+def top_keywords(posts: DataFrame, k: int = 6, text: str = "body", corpus: DataFrame | None = None) -> DataFrame:
+    """The k tokens of each post that are frequent in it and rare in the corpus; ties by token.
+
+    corpus: (token, df) of another corpus; tokens that it hasn't count as never seen there. Without it, posts are the corpus.
+    """
     counts = token_rows(posts, text)
-    corpus = counts.groupBy("token").agg(F.count("*").alias("df"))
+    if corpus is None:
+        corpus = counts.groupBy("token").agg(F.count("*").alias("df"))
+    else:
+        counts, corpus = counts.join(corpus, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))), None
     score = F.col("n") * (0.35 + 0.65 / (1 + F.log1p("df"))) + F.length("token") * 0.02
-    scored = counts.join(corpus, "token").withColumn("score", F.round(score, 9))
+    scored = (counts.join(corpus, "token") if corpus is not None else counts).withColumn("score", F.round(score, 9))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "token"))
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("id", "token", "n", "df", "score", "place")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scores import engagement_key
-from ..functions.text import normalize_text, tokenize
+from ..functions.text import is_token, normalize_text, raw_tokens
 from ..session import load
 
 METRICS = ("likes", "replies", "reposts", "score", "comments", "stars")
@@ -85,22 +85,73 @@ def feed(posts: DataFrame, query: FeedQuery, bookmarked: DataFrame | None = None
     return out.limit(query.limit) if query.limit is not None else out
 
 
-def search_tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normalize_text(text), " "), lambda t: F.length(t) >= 2))
+def search_words(spark: SparkSession, words: str) -> list[str]:
+    """The distinct words of a query of two letters or more, accents and case aside."""
+    tokens = F.array_distinct(F.filter(F.split(normalize_text(F.lit(words)), " "), lambda t: F.length(t) >= 2))
+    return spark.range(1).select(tokens.alias("t")).first().t
 
 
 def search(posts: DataFrame, words: str, text: Column, limit: int | None = None) -> DataFrame:
-    """Posts in which all words of the query occur, accents and case aside, newest first; an empty query finds none."""
-    wanted = posts.sparkSession.range(1).select(search_tokens(F.lit(words)).alias("t")).first().t
-    if not wanted:
-        return posts.limit(0)
-    tokens = search_tokens(text)
-    out = posts.filter(F.size(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))) == len(wanted)).orderBy(F.desc("published_at"), "id")
+    """Posts in which all words of the query occur, accents and case aside, newest first; an empty query finds none.
+
+    It reads every text; for many searches keep a search_index().
+    """
+    wanted = search_words(posts.sparkSession, words)
+    padded = F.concat(F.lit(" "), normalize_text(text), F.lit(" "))
+    out = posts.withColumn("padded_", padded)
+    for w in wanted:
+        out = out.filter(F.contains("padded_", F.lit(f" {w} ")))
+    out = (out if wanted else out.limit(0)).drop("padded_").orderBy(F.desc("published_at"), "id")
     return out.limit(limit) if limit is not None else out
 
 
-def retain(posts: DataFrame, now_ms: int, days: float = 30) -> DataFrame:
-    return posts.filter(F.unix_millis("published_at") >= now_ms - int(days * 86_400_000))
+def search_index(posts: DataFrame, text: Column) -> DataFrame:
+    """(head, token, id, published_at), a row for each post and distinct word; write it with partitionBy("head")."""
+    words = posts.select("id", "published_at", F.explode(F.array_distinct(F.split(normalize_text(text), " "))).alias("token")).filter(F.length("token") >= 2)
+    return words.select(F.substring("token", 1, 2).alias("head"), "token", "id", "published_at")
+
+
+def search_in(index: DataFrame, words: str, limit: int | None = None) -> DataFrame:
+    """(id, published_at) of the posts of a search_index() that have all words, newest first; only the words' folders are read."""
+    wanted = search_words(index.sparkSession, words)
+    hits = index.filter(F.col("head").isin(*{w[:2] for w in wanted}) & F.col("token").isin(*wanted)) if wanted else index.limit(0)
+    out = hits.groupBy("id", "published_at").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).drop("n").orderBy(F.desc("published_at"), "id")
+    return out.limit(limit) if limit is not None else out
+
+
+def entity_timeline(posts: DataFrame, entity: str, limit: int | None = None) -> DataFrame:
+    """The posts that name an entity, newest first."""
+    return feed(posts, FeedQuery(entities=(entity,), limit=limit))
+
+
+def posts_of_list(posts: DataFrame, members: DataFrame) -> DataFrame:
+    """Posts by the members (list, handle) of user lists, with the list; handles match without case and a leading @."""
+    bare = lambda c: F.lower(F.regexp_replace(c, "^@", ""))
+    named = members.select("list", bare(F.col("handle")).alias("handle_")).distinct()
+    return posts.withColumn("handle_", bare(F.col("handle"))).join(named, "handle_").drop("handle_")
+
+
+def moment(ms: int) -> Column:
+    """A time as a literal, so that filters on a bare column reach the files."""
+    return F.timestamp_millis(F.lit(ms))
+
+
+def retain(rows: DataFrame, now_ms: int, days: float = 30, at: str = "published_at") -> DataFrame:
+    """Rows (posts, topics by last_seen, trend points by minute) that are not older than so many days."""
+    return rows.filter(F.col(at) >= moment(now_ms - int(days * 86_400_000)))
+
+
+def unread_counts(posts: DataFrame, read: DataFrame, since_ms: int = 0, key: str = "source") -> DataFrame:
+    """(key, unread): posts from a time on that are not in read (id)."""
+    fresh = posts.filter(F.col("published_at") >= moment(since_ms)).join(read.select("id"), "id", "left_anti")
+    return fresh.groupBy(key).agg(F.count("*").alias("unread"))
+
+
+def set_flags(flags: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """A table of flagged keys after changes (key, at, on): the last change of each key decides; without any a key stays as it is."""
+    last = changes.groupBy(key).agg(F.max_by("on", F.struct("at", "on")).alias("on"))
+    kept = flags.select(key).distinct().join(last.select(key), key, "left_anti")
+    return kept.union(last.filter("on").select(key))
 
 
 def upsert_posts(stored: DataFrame, fresh: DataFrame, replace: tuple[str, ...] = ("title", "body", "topic")) -> DataFrame:
@@ -129,7 +180,7 @@ def last_write_wins(stored: DataFrame, fresh: DataFrame, keys: list[str], at: st
 
 def token_rows(posts: DataFrame, text: str = "body", min_length: int = 3) -> DataFrame:
     """(id, token, n): how often each token occurs in each post."""
-    tokens = posts.select("id", F.explode(tokenize(F.col(text), min_length)).alias("token"))
+    tokens = posts.select("id", F.explode(raw_tokens(F.col(text))).alias("token")).filter(is_token(F.col("token"), min_length))
     return tokens.groupBy("id", "token").agg(F.count("*").alias("n"))
 
 

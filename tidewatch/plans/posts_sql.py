@@ -91,7 +91,7 @@ def archive_trends(spark, sf_dir):
 
 def ingest_counts(spark, sf_dir):
     posts = document_posts(spark, sf_dir)
-    return ingest_report(posts.filter("doc_id % 2 = 0"), posts.filter("doc_id % 3 = 0"))
+    return ingest_report(posts.filter("doc_id % 2 = 0"), posts.filter("doc_id % 3 = 0")).drop("touched")
 
 
 def translation_list(spark, sf_dir):
@@ -104,7 +104,7 @@ _ALL = (feed_recent, feed_bookmarked, search_posts, conversation_topics, hot_key
 QUERIES = {f.__name__: f for f in _ALL}
 
 NORM = "trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(strip_accents({0})), 'https?://[^\\s]+', ' ', 'g'), '‘’“”', ''''''''''), '[^a-z0-9''\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+_STOPS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 TOKENS = f"list_filter(list_transform(string_split({NORM}, ' '), lambda t: regexp_replace(t, '^[-'']+|[-'']+$', '', 'g')), lambda t: length(t) >= {{1}} AND NOT list_contains({_STOPS}, t) AND NOT regexp_matches(t, '^\\d$'))"
 _DOCS = "d AS (SELECT *, source || ':' || doc_id AS id, n_chars % 97 AS likes, 1706659200000 - (doc_id * 7919 % 43200) * 1000 AS ms FROM documents)"
 _TOK = f"{_DOCS}, k AS (SELECT id, lang, token, count(*) AS n FROM (SELECT id, lang, unnest({TOKENS.format('text', 3)}) AS token FROM d) GROUP BY ALL)"
@@ -120,7 +120,7 @@ ORACLES = {
     "search_posts": f"WITH {_DOCS} SELECT doc_id FROM d WHERE len(list_intersect(string_split({NORM.format('text')}, ' '), ['the', 'ertion', 'and'])) = 3",
     "conversation_topics": "SELECT conv_id, count(*) AS turns, count(DISTINCT role)::INT AS roles, length(arg_min(text, turn))::BIGINT AS first_chars FROM conversations GROUP BY conv_id",
     "hot_keywords": f"WITH {_DOCS} SELECT word, posts, sources::INT AS sources, topics::INT AS topics FROM ({_HOT}) ORDER BY posts DESC, sources DESC, word LIMIT 12",
-    "keyword_counts": f"WITH {_DOCS} SELECT word, posts, sources::INT AS sources, topics::INT AS topics FROM ({_HOT}) WHERE posts >= 5",
+    "keyword_counts": f"WITH {_DOCS} SELECT word, posts, sources::INT AS sources, topics::INT AS topics FROM ({_HOT})",
     "post_tokens": f"WITH {_TOK} SELECT id, token, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, token) AS place FROM k) WHERE place <= 5",
     "post_keywords": f"WITH {_TOK}, c AS (SELECT token, count(*) AS df FROM k GROUP BY token), s AS (SELECT id, token, df, row_number() OVER (PARTITION BY id ORDER BY round(n * (0.35::DOUBLE + 0.65::DOUBLE / (1 + ln(1 + df))) + length(token) * 0.02::DOUBLE, 9) DESC, token) AS place FROM k JOIN c USING (token)) SELECT id, token, df, place::INT AS place FROM s WHERE place <= 6",
     "simhashes": f"WITH {_BITS}, w AS (SELECT id, sum(CASE WHEN on_ THEN (2::HUGEINT ** b)::HUGEINT ELSE 0 END)::HUGEINT AS s FROM v GROUP BY id) SELECT id, {_WHOLE} AS simhash FROM w",

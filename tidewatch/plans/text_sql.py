@@ -80,7 +80,7 @@ SELECT doc_id, guess FROM documents LEFT JOIN o USING (doc_id)""",
     "canonical_urls": f"WITH {_URL} SELECT page_id, canonical, host, safe FROM f",
     "url_ids": f"""WITH {_URL} SELECT page_id, 'web:' || lower(printf('%x', (h - CASE WHEN h >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END)::BIGINT)) AS id FROM (SELECT page_id,
   list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(canonical, ''), lambda c: ascii(c)::HUGEINT)), lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM f)""",
-    "page_texts": "SELECT page_id, md5(substring(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 1500)) AS body_md5 FROM pages",
+    "page_texts": "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body_md5 FROM pages",
     "page_networks": f"""WITH {_URL}, n(domain, network) AS (VALUES ('example.com', 'com'), ('example.org', 'org'), ('blog.ththth.example.org', 'blog'), ('ample.net', 'none'))
 SELECT page_id, domain, network FROM (SELECT page_id, domain, network, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC) AS k FROM f JOIN n ON host = domain OR ends_with(host, '.' || domain)) WHERE k = 1""",
 }
