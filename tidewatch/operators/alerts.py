@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 RULE = "id string, kind string, enabled boolean, query string, min_growth double, min_sources int, sources array<string>, cooldown_ms long"
+# The three rules that everyone starts with.
 DEFAULT_RULES = [
-    ("many-sources", "multi_source", True, None, 1.0, 3, None, None),
-    ("breaking-now", "global_breaking", True, None, 1.0, None, None, None),
-    ("fast-project", "project_velocity", True, None, 1.0, None, None, 3_600_000),
+    ("multi-source", "multi_source", True, None, 2.5, 3, None, 45 * 60_000),
+    ("global-breaking", "global_breaking", True, None, 4.0, 4, None, 30 * 60_000),
+    ("project-velocity", "project_velocity", False, None, 0.8, None, None, 6 * 3_600_000),
 ]
 COOLDOWN_MS, FORGET_MS = 1_800_000, 86_400_000
 
@@ -27,43 +28,87 @@ def rules_of_watched(watched: DataFrame) -> DataFrame:
 
 
 def applies(has_text: Column | None = None) -> Column:
-    """Whether rule r fires for trend t; has_text says that a post of the topic holds a keyword rule's query."""
+    """Whether rule r fires for trend t (with title, keywords, entities); has_text says that a post of the topic holds a keyword rule's query."""
     r, t = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"t.{c}"))
     needle = F.lower(F.trim(r("query")))
     gates = r("enabled") & (t("growth") >= F.coalesce(r("min_growth"), F.lit(1.0))) & (t("coverage") >= F.coalesce(r("min_sources"), F.lit(1)))
     own = F.transform(t("sources"), lambda s: s["source"])
     gates = gates & (r("sources").isNull() | (F.size(r("sources")) == 0) | F.arrays_overlap(own, r("sources")))
-    in_text = F.contains(F.lower(t("topic")), needle)
-    in_text = in_text | has_text if has_text is not None else in_text
+    holds = lambda c: F.exists(t(c), lambda x: F.contains(x, needle))
+    in_text = F.contains(F.lower(t("title")), needle) | holds("keywords") | holds("entities")
+    in_text = in_text | F.coalesce(has_text, F.lit(False)) if has_text is not None else in_text
     kind = (
         F.when(r("kind") == "multi_source", t("coverage") >= F.coalesce(r("min_sources"), F.lit(3)))
         .when(r("kind") == "global_breaking", t("state").isin("breaking", "emerging"))
         .when(r("kind") == "topic_surge", t("state") != "quiet")
-        .when(r("kind") == "watched_entity", F.coalesce(F.lower(t("topic")) == needle, F.lit(False)))
-        .when(r("kind") == "keyword", F.coalesce(in_text, F.lit(False)))
+        .when(r("kind") == "watched_entity", F.coalesce(F.array_contains(t("entities"), needle), F.lit(False)))
+        .when(r("kind") == "keyword", F.coalesce(r("query") != "", F.lit(False)) & F.coalesce(in_text, F.lit(False)))
         .when(r("kind") == "project_velocity", t("volume") >= 5)
         .otherwise(True)
     )
     return gates & kind
 
 
-def evaluate_rules(rules: DataFrame, trends: DataFrame, now_ms: int, fired: DataFrame | None = None) -> DataFrame:
-    """Events of the rules that fire now. fired: (rule_id, topic, at_ms) of what fired before.
+def text_hits(rules: DataFrame, posts: DataFrame) -> DataFrame:
+    """(rule_id, topic) where a post of the topic has the query of an enabled keyword rule in its title, body or tags."""
+    words = rules.filter("enabled AND kind = 'keyword' AND trim(query) <> ''").select(F.col("id").alias("rule_id"), F.lower(F.trim("query")).alias("needle"))
+    columns = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in ("title", "body") if c in posts.columns]
+    columns += [F.coalesce(F.array_join("tags", "\n"), F.lit(""))] if "tags" in posts.columns else []
+    text = posts.select("topic", F.concat_ws("\n", *columns).alias("text"))
+    return text.join(_checked(words), F.contains("text", F.col("needle"))).select("rule_id", "topic").distinct()
 
-    Rules are a table that people write; it is broadcast, the trends stay where they are.
+
+#: Rules are broadcast up to this number; what people write stays far below. More are dealt by kind.
+MOST_RULES = 100_000
+
+
+def _checked(rules: DataFrame) -> DataFrame:
+    if rules.count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules; evaluate them in parts")
+    return F.broadcast(rules)
+
+
+def evaluate_rules(rules: DataFrame, trends: DataFrame, now_ms: int, fired: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
+    """Events of the rules that fire now. fired: (rule_id, topic, at_ms) of what fired before. posts: texts for keyword rules.
+
+    Rules that watch an entity, one for each, meet trends by that entity; the others are few, are counted and broadcast.
+    A trend without a title has its topic for one; without keywords or entities it has none.
     """
-    pairs = trends.alias("t").join(F.broadcast(rules.alias("r")), applies())
+    none = F.array().cast("array<string>")
+    missing = {"title": F.col("topic"), "keywords": none, "entities": none}
+    trends = trends.withColumns({c: v for c, v in missing.items() if c not in trends.columns})
+    exact = rules.filter("kind = 'watched_entity'").withColumn("needle", F.lower(F.trim("query")))
+    others = rules.filter("kind <> 'watched_entity' OR kind IS NULL")
+    by_entity = trends.withColumn("entity_", F.explode(F.array_distinct("entities")))
+    watched = by_entity.alias("t").join(exact.alias("r"), (F.col("t.entity_") == F.col("r.needle")) & applies())
+    has_text = None
+    left = trends.alias("t")
+    rest = left.crossJoin(_checked(others).alias("r"))
+    if posts is not None:
+        rest = rest.join(text_hits(rules, posts).withColumn("hit", F.lit(True)).alias("h"), (F.col("h.rule_id") == F.col("r.id")) & (F.col("h.topic") == F.col("t.topic")), "left")
+        has_text = F.col("h.hit")
+    rest = rest.filter(applies(has_text))
     key = F.concat_ws("::", "r.id", "t.topic")
-    events = pairs.select(
-        F.concat(F.lit("alert:"), key, F.lit(f":{now_ms}")).alias("id"), F.col("r.id").alias("rule_id"), F.col("r.kind").alias("kind"), F.col("t.topic").alias("topic"), F.col("t.reason").alias("reason"), F.lit(now_ms).alias("created_ms"),
-        F.struct("t.score", "t.velocity", "t.growth", "t.coverage", "t.volume").alias("snapshot"), F.coalesce("r.cooldown_ms", F.lit(COOLDOWN_MS)).alias("cooldown_ms"),
-    )
+    made = [
+        F.concat(F.lit("alert:"), key, F.lit(f":{now_ms}")).alias("id"), F.col("r.id").alias("rule_id"), F.col("r.kind").alias("kind"), F.col("t.topic").alias("topic"), F.col("t.title").alias("title"), F.col("t.reason").alias("reason"),
+        F.lit(now_ms).alias("created_ms"), F.lit(False).alias("read"), F.struct("t.score", "t.velocity", "t.growth", "t.coverage", "t.volume", "t.sources").alias("snapshot"), F.coalesce("r.cooldown_ms", F.lit(COOLDOWN_MS)).alias("cooldown_ms"),
+    ]
+    events = watched.select(*made).union(rest.select(*made))
     if fired is not None:
         last = fired.groupBy("rule_id", "topic").agg(F.max("at_ms").alias("at_ms"))
         events = events.join(last, ["rule_id", "topic"], "left").filter(F.col("at_ms").isNull() | (F.lit(now_ms) - F.col("at_ms") >= F.col("cooldown_ms"))).drop("at_ms")
     return events.drop("cooldown_ms")
 
 
+def alert_log(stored: DataFrame, events: DataFrame, read_ids: DataFrame | None = None, limit: int | None = 100) -> DataFrame:
+    """The log with new events, newest first; read_ids (id) are marked as read. An event that is stored stays as it is."""
+    out = stored.unionByName(events.join(stored.select("id"), "id", "left_anti"))
+    if read_ids is not None:
+        out = out.join(read_ids.select("id").distinct().withColumn("now_read", F.lit(True)), "id", "left").withColumn("read", F.col("read") | F.coalesce("now_read", F.lit(False))).drop("now_read")
+    out = out.orderBy(F.desc("created_ms"), "id")
+    return out.limit(limit) if limit is not None else out
+
+
 def fired_after(fired: DataFrame, events: DataFrame, now_ms: int, forget_ms: int = FORGET_MS) -> DataFrame:
     """The cool-down table after an evaluation; what is older than a day is forgotten."""
     both = fired.select("rule_id", "topic", "at_ms").union(events.select("rule_id", "topic", F.col("created_ms")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize_text
 from ..functions.urls import domain_suffixes, host_of
@@ -39,6 +39,30 @@ def networks_of(pages: DataFrame, url: str, domains: DataFrame, key: str) -> Dat
     return best.select(key, "m.domain", "m.network")
 
 
+def with_names(rows: DataFrame, names: DataFrame, slug: str = "entity") -> DataFrame:
+    """Rows with the display name of their entity (slug, name); those without one keep the slug."""
+    found = names.select(F.col("slug").alias(slug), "name")
+    return rows.join(found, slug, "left").withColumn("name", F.coalesce("name", slug))
+
+
+def listed_entities(names: DataFrame, text: str = "", watched_only: bool = False) -> DataFrame:
+    """Entities (slug, name, watch) whose name has the text, whatever the case, watched first, then by name.
+
+    With watched_only only watched ones, if any is watched at all.
+    """
+    out = names.filter(F.contains(F.lower("name"), F.lit(text.lower())))
+    if watched_only and not names.filter("watch").isEmpty():
+        out = out.filter("watch")
+    return out.orderBy(F.desc("watch"), "name", "slug")
+
+
+def translation_batches(texts: DataFrame, size: int = 16) -> DataFrame:
+    """texts (text) with the number of their batch of `size`, numbered within 256 parts by hash, so that no task numbers all."""
+    part = F.pmod(F.xxhash64("text"), F.lit(256))
+    own = Window.partitionBy("part").orderBy("text")
+    return texts.withColumn("part", part).withColumn("batch", F.floor((F.row_number().over(own) - 1) / size).cast("long"))
+
+
 def untranslated(texts: DataFrame, cache: DataFrame, source_language: Column, target: str) -> DataFrame:
     """Distinct texts that the cache hasn't and that aren't in the target language already."""
     todo = texts.select("text", source_language.alias("lang")).filter(F.col("lang").isNull() | (F.col("lang") != target)).select("text").distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import jaccard, simhash_similarity
-from ..session import written
+from ..session import release, written
 from .fingerprints import centroids, simhash
 from .posts import token_rows
 
@@ -142,15 +142,23 @@ def twin_pairs(topics: DataFrame, merge_at: float = MERGE_AT) -> DataFrame:
 
 
 def merge_topics(topics: DataFrame, merge_at: float = MERGE_AT) -> DataFrame:
-    """(topic, merged): every topic and the least topic of those it is one with, over all links."""
+    """(topic, merged): every topic and the least topic of those it is one with, over all links.
+
+    Each round takes the least label of a topic's neighbours and then the label of that label, so a chain
+    of n topics takes about log n rounds.
+    """
     pairs = twin_pairs(topics, merge_at)
     links = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "twins")
-    labels = written(topics.select("topic", F.col("topic").alias("merged")), "merged-0")
+    labels = written(links.select(F.col("a").alias("topic")).distinct().withColumn("merged", F.col("topic")), "merged-0")
     step = 0
     while True:
         step += 1
         least = links.join(labels.select(F.col("topic").alias("b"), "merged"), "b").groupBy(F.col("a").alias("topic")).agg(F.min("merged").alias("seen"))
-        after = written(labels.withColumnRenamed("merged", "before").join(least, "topic", "left").select("topic", "before", F.least("before", "seen").alias("merged")), f"merged-{step}")
-        labels = after.select("topic", "merged")
+        nearer = labels.select("topic", F.col("merged").alias("before")).join(least, "topic").withColumn("merged", F.least("before", "seen"))
+        jump = labels.select(F.col("topic").alias("merged"), F.col("merged").alias("further"))
+        after = written(nearer.join(jump, "merged").select("topic", "before", F.least("merged", "further").alias("merged")), f"merged-{step}")
+        release(labels)
+        labels = after
         if after.filter("before <> merged").isEmpty():
-            return labels
+            release(links)
+            return topics.select("topic").join(labels.select("topic", "merged"), "topic", "left").withColumn("merged", F.coalesce("merged", "topic"))

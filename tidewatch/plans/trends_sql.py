@@ -26,10 +26,27 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.score_topics(posts, _now(posts), OPTIONS)
 
 
+def _shown(t: DataFrame) -> list:
+    sources = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["count"])), ",")
+    return ["topic", "score", "state", "reason", "velocity", "growth", "volume", "coverage", "engagement", "novelty", "cohesion", F.array_join("sparkline", ",").alias("sparkline"), sources.alias("sources")]
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of topics that last a day, so that some are new."""
+    posts = event_posts(spark, sf_dir).withColumn("topic", F.concat_ws("-", "topic", F.date_format("published_at", "dd")))
+    return trends.score_topics(posts, _now(posts), OPTIONS)
+
+
 def radar(spark, sf_dir):
+    """The report of the forty best topics."""
+    t = trends.radar(_scored(spark, sf_dir))
+    return t.select(*_shown(t))
+
+
+def trend_ranks(spark, sf_dir):
+    """All topics with their rank."""
     t = trends.ranked(_scored(spark, sf_dir))
-    sources = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["count"])), ",")
-    return t.select("rank", "topic", "score", "state", "reason", "velocity", "growth", "volume", "coverage", "engagement", "novelty", "cohesion", F.array_join("sparkline", ",").alias("sparkline"), sources.alias("sources"))
+    return t.select("rank", *_shown(t))
 
 
 def trend_sources(spark, sf_dir):
@@ -41,7 +58,7 @@ def trend_series(spark, sf_dir):
 
 
 def hot_trends(spark, sf_dir):
-    return _scored(spark, sf_dir).filter(F.col("state").isin("breaking", "emerging", "rising")).select("topic", "state", "score")
+    return trends.hot(_daily(spark, sf_dir)).select("topic", "state", "score")
 
 
 def trend_points(spark, sf_dir):
@@ -52,13 +69,21 @@ def newest_posts(spark, sf_dir):
     return trends.newest_posts(_topics(spark, sf_dir)).select("topic", "id", "place")
 
 
+MORE_RULES = [
+    ("surge", "topic_surge", True, None, 0.2, None, None, None), ("one-entity", "watched_entity", True, " Click", -1.0, None, None, None), ("word", "keyword", True, "PURCHASE", 0.1, 2, ["s1", "s2"], None),
+    ("in-text", "keyword", True, "user 14 ", -1.0, None, None, None), ("off", "topic_surge", False, None, -1.0, None, None, None),
+]
+
+
 def alert_events(spark, sf_dir):
-    """Rules of every kind against the trends; one has fired an hour ago and is cooling down."""
-    now = _now(event_posts(spark, sf_dir))
-    more = [("surge", "topic_surge", True, None, 0.2, None, None, None), ("one-topic", "watched_entity", True, "click-3", -1.0, None, None, None), ("word", "keyword", True, "purchase", 0.1, 2, ["s1", "s2"], None), ("off", "topic_surge", False, None, -1.0, None, None, None)]
-    rules = alerts.default_rules(spark).union(spark.createDataFrame(more, alerts.RULE))
-    fired = _scored(spark, sf_dir).filter("topic LIKE '%-1'").select(F.lit("surge").alias("rule_id"), "topic", F.lit(now - 3_600_000 // 4).alias("at_ms"))
-    return alerts.evaluate_rules(rules, _scored(spark, sf_dir), now, fired).select("rule_id", "kind", "topic", "reason", "snapshot.score", "snapshot.volume")
+    """Rules of every kind against the trends and the texts of their posts; one has fired a while ago and is cooling down."""
+    posts = _topics(spark, sf_dir).withColumn("title", F.concat(F.lit("user "), F.col("author").cast("string"), F.lit(" came")))
+    now = _now(posts)
+    rules = alerts.default_rules(spark).union(spark.createDataFrame(MORE_RULES, alerts.RULE))
+    scored = trends.score_topics(posts, now, OPTIONS).withColumns({"title": F.col("topic"), "keywords": F.split("topic", "-"), "entities": F.array(F.substring_index("topic", "-", 1))})
+    fired = posts.filter("topic LIKE '%-1'").select(F.lit("surge").alias("rule_id"), "topic", F.lit(now - 3_600_000 // 4).alias("at_ms")).distinct()
+    events = alerts.evaluate_rules(rules, scored, now, fired, posts)
+    return events.select("rule_id", "kind", "topic", "title", "reason", "snapshot.score", "snapshot.volume", F.size("snapshot.sources").cast("long").alias("sources"))
 
 
 def activity_rates(spark, sf_dir):
@@ -98,7 +123,7 @@ def hourly_counts(spark, sf_dir):
     return w.select(F.unix_millis("window.start").alias("start_ms"), "topic", "source", "posts")
 
 
-QUERIES = {f.__name__: f for f in (radar, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
+QUERIES = {f.__name__: f for f in (radar, trend_ranks, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
 
 _POSTS = """p AS (SELECT event_id AS id, event_type AS kind, event_type || '-' || (json_extract_string(props, '$.k')::BIGINT % 20) AS topic, 's' || (user_id % 6) AS source, user_id AS author, epoch_us(ts) // 1000 AS ms, floor(value)::BIGINT AS likes FROM events),
 n AS (SELECT max(ms) AS now FROM p)"""
@@ -116,21 +141,27 @@ t AS (SELECT topic, items, volume, coverage, baseline, gr, ve, age_min, first_ms
   CASE WHEN items < 2 THEN 1.0 ELSE floor(least(greatest(1 - items / greatest(span, 1) / 12, 0), 1) * 100 + 0.5) / 100 END::DOUBLE AS cohesion FROM s),
 parts AS (SELECT topic, source, count(*) AS c FROM a WHERE inside GROUP BY ALL),
 buckets AS (SELECT topic, i AS bucket, coalesce(c, 0)::BIGINT AS posts FROM (SELECT topic, unnest(range(15)) AS i FROM t) LEFT JOIN (SELECT topic AS tt, b, count(*) AS c FROM a WHERE inside AND age >= 0 GROUP BY ALL) ON tt = topic AND b = i)"""
+_DAILY = _SCORED.replace("(json_extract_string(props, '$.k')::BIGINT % 20)", "strftime(ts, '%d')")
 ORACLES = {
     "radar": f"""WITH {_SCORED}
+SELECT topic, score, state, reason, velocity, growth, volume, coverage, engagement, novelty, cohesion,
+  (SELECT string_agg(posts::VARCHAR, ',' ORDER BY bucket) FROM buckets b WHERE b.topic = t.topic) AS sparkline, coalesce((SELECT string_agg(source || ':' || c, ',' ORDER BY c DESC, source) FROM parts q WHERE q.topic = t.topic), '') AS sources
+FROM (SELECT * FROM t ORDER BY score DESC, last_ms DESC, topic LIMIT 40) t WHERE volume > 0""",
+    "trend_ranks": f"""WITH {_SCORED}
 SELECT row_number() OVER (ORDER BY score DESC, volume DESC, topic) AS rank, topic, score, state, reason, velocity, growth, volume, coverage, engagement, novelty, cohesion,
   (SELECT string_agg(posts::VARCHAR, ',' ORDER BY bucket) FROM buckets b WHERE b.topic = t.topic) AS sparkline, coalesce((SELECT string_agg(source || ':' || c, ',' ORDER BY c DESC, source) FROM parts q WHERE q.topic = t.topic), '') AS sources FROM t""",
     "trend_sources": f"WITH {_SCORED} SELECT topic, source, round(c / volume, 9) AS share, c AS posts FROM parts JOIN t USING (topic)",
     "trend_series": f"WITH {_SCORED} SELECT topic, bucket, posts FROM buckets",
-    "hot_trends": f"WITH {_SCORED} SELECT topic, state, score FROM t WHERE state IN ('breaking', 'emerging', 'rising')",
+    "hot_trends": f"WITH {_DAILY} SELECT topic, state, score FROM t WHERE state IN ('breaking', 'emerging')",
     "trend_points": f"WITH {_POSTS} SELECT topic, minute_ms, volume, engagement FROM (SELECT topic, ms // 60000 * 60000 AS minute_ms, count(*) AS volume, round(sum(likes)::DOUBLE, 6) AS engagement, row_number() OVER (PARTITION BY topic ORDER BY ms // 60000 DESC) AS k FROM p GROUP BY topic, ms // 60000) WHERE k <= 720",
     "newest_posts": f"WITH {_POSTS} SELECT topic, id, place FROM (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY ms DESC, id) AS place FROM p) WHERE place <= 8",
     "alert_events": f"""WITH {_SCORED},
-r(rule_id, kind, query, min_growth, min_sources, sources) AS (VALUES ('many-sources', 'multi_source', NULL, 1.0, 3, NULL), ('breaking-now', 'global_breaking', NULL, 1.0, NULL, NULL), ('fast-project', 'project_velocity', NULL, 1.0, NULL, NULL),
-  ('surge', 'topic_surge', NULL, 0.2, NULL, NULL), ('one-topic', 'watched_entity', 'click-3', -1.0, NULL, NULL), ('word', 'keyword', 'purchase', 0.1, 2, ['s1', 's2']))
-SELECT rule_id, kind, topic, reason, score, volume FROM r, t WHERE growth >= min_growth AND coverage >= coalesce(min_sources, 1)
+r(rule_id, kind, query, min_growth, min_sources, sources) AS (VALUES ('multi-source', 'multi_source', NULL, 2.5, 3, NULL), ('global-breaking', 'global_breaking', NULL, 4.0, 4, NULL),
+  ('surge', 'topic_surge', NULL, 0.2, NULL, NULL), ('one-entity', 'watched_entity', 'click', -1.0, NULL, NULL), ('word', 'keyword', 'purchase', 0.1, 2, ['s1', 's2']), ('in-text', 'keyword', 'user 14', -1.0, NULL, NULL))
+SELECT rule_id, kind, topic, topic AS title, reason, score, volume, coverage AS sources FROM r, t WHERE growth >= min_growth AND coverage >= coalesce(min_sources, 1)
   AND (r.sources IS NULL OR EXISTS (SELECT 1 FROM parts q WHERE q.topic = t.topic AND list_contains(r.sources, q.source)))
-  AND CASE kind WHEN 'multi_source' THEN coverage >= coalesce(min_sources, 3) WHEN 'global_breaking' THEN state IN ('breaking', 'emerging') WHEN 'topic_surge' THEN state <> 'quiet' WHEN 'watched_entity' THEN topic = query WHEN 'keyword' THEN contains(topic, query) ELSE volume >= 5 END
+  AND CASE kind WHEN 'multi_source' THEN coverage >= coalesce(min_sources, 3) WHEN 'global_breaking' THEN state IN ('breaking', 'emerging') WHEN 'topic_surge' THEN state <> 'quiet'
+    WHEN 'watched_entity' THEN split_part(topic, '-', 1) = query WHEN 'keyword' THEN contains(topic, query) OR EXISTS (SELECT 1 FROM p WHERE p.topic = t.topic AND contains('user ' || author || ' came', query)) ELSE volume >= 5 END
   AND NOT (rule_id = 'surge' AND topic LIKE '%-1')""",
     "activity_rates": f"""WITH {_POSTS} SELECT count(*) AS posts, count(DISTINCT source) AS sources, count(DISTINCT kind) AS topics, min(ms) AS oldest_ms, max(ms) AS newest_ms, count(*) FILTER (ms >= now - 3600000) AS last_minute,
   count(*) FILTER (ms >= now - 18000000) AS last_five_minutes, count(*) FILTER (ms >= now - 216000000) AS last_hour, 'live' AS level FROM p, n""",
