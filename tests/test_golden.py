@@ -92,7 +92,7 @@ def test_retention_and_search(spark):
 
 def test_cooldown(spark):
     hot = trends.score_topics(make_posts(spark, [i * 0.25 for i in range(40)]), NOW_MS)
-    rules = alerts.default_rules(spark).filter("id = 'breaking-now'")
+    rules = alerts.default_rules(spark).filter("id = 'global-breaking'").withColumn("min_sources", F.lit(1)).withColumn("min_growth", F.lit(0.0))
     events = alerts.evaluate_rules(rules, hot, NOW_MS)
     assert events.count() == 1
     fired = alerts.fired_after(spark.createDataFrame([], "rule_id string, topic string, at_ms long"), events, NOW_MS)

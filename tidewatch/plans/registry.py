@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import posts_sql, text_sql, topics_sql, trends_sql
+from . import posts_sql, reports_sql, text_sql, topics_sql, trends_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (trends_sql, posts_sql, text_sql, topics_sql):
+for part in (trends_sql, posts_sql, text_sql, topics_sql, reports_sql):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

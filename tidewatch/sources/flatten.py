@@ -138,9 +138,17 @@ def merge_ranked_ids(lists: DataFrame, limit: int) -> DataFrame:
 
 
 def ingest_report(fresh: DataFrame, stored: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One row: fetched, inserted and duplicate posts, and errors."""
+    """One row: fetched, inserted and duplicate posts, errors, and the topics touched (sorted) if fresh has a topic."""
     known = fresh.select("id").join(stored.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("known"))
-    total = fresh.agg(F.count("*").alias("fetched"), F.count_distinct("id").alias("ids"))
+    touched = F.array_sort(F.collect_set("topic")) if "topic" in fresh.columns else F.array().cast("array<string>")
+    total = fresh.agg(F.count("*").alias("fetched"), F.count_distinct("id").alias("ids"), touched.alias("touched"))
     new = fresh.select("id").distinct().join(stored.select("id"), "id", "left_anti").agg(F.count("*").alias("inserted"))
     failed = errors.agg(F.count("*").alias("errors")) if errors is not None else fresh.sparkSession.range(1).select(F.lit(0).alias("errors"))
-    return total.crossJoin(new).crossJoin(known).crossJoin(failed).select("fetched", "inserted", (F.col("fetched") - F.col("inserted")).alias("duplicates"), "errors")  # one row each
+    made = total.crossJoin(new).crossJoin(known).crossJoin(failed)  # one row each
+    return made.select("fetched", "inserted", (F.col("fetched") - F.col("inserted")).alias("duplicates"), "errors", "touched")
+
+
+def ingest_totals(reports: DataFrame) -> DataFrame:
+    """One row: the sums of the reports of several sources, and all topics they touched."""
+    sums = [F.sum(c).alias(c) for c in ("fetched", "inserted", "duplicates", "errors")]
+    return reports.agg(*sums, F.array_sort(F.array_distinct(F.flatten(F.collect_list("touched")))).alias("touched"))
