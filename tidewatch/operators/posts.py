@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -98,10 +99,9 @@ def search(posts: DataFrame, words: str, text: Column, limit: int | None = None)
     """
     wanted = search_words(posts.sparkSession, words)
     padded = F.concat(F.lit(" "), normalize_text(text), F.lit(" "))
-    out = posts.withColumn("padded_", padded)
-    for w in wanted:
-        out = out.filter(F.contains("padded_", F.lit(f" {w} ")))
-    out = (out if wanted else out.limit(0)).drop("padded_").orderBy(F.desc("published_at"), "id")
+    # Bound in a lambda, the text is normalised once for all words.
+    found = F.exists(F.array(padded), lambda t: reduce(lambda a, b: a & b, [F.contains(t, F.lit(f" {w} ")) for w in wanted])) if wanted else F.lit(False)
+    out = posts.filter(found).orderBy(F.desc("published_at"), "id")
     return out.limit(limit) if limit is not None else out
 
 
