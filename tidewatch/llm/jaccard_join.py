@@ -209,18 +209,20 @@ def candidate_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
     """(a, b, run, similarity): trees over sets that met on a chosen path of these runs and whose sketches are close."""
     scale = 1 << 20
 
-    def follow(nodes: DataFrame, sampled: float) -> DataFrame:
+    def follow(nodes: DataFrame, sampled: float, first: bool) -> DataFrame:
+        """The places below; those of the first depth are most of all, and leave out the sketch."""
         # The choice depends on path and token; a set's share of its tokens is the same whatever its size.
         fresh = F.array_except("sketch", "used")
         chosen = F.filter(fresh, lambda t: F.pmod(F.xxhash64(F.col("path"), t), F.lit(scale)) * F.size("sketch") < F.lit(int(scale * sampled)))
-        below = nodes.select("node", "run", "path", "used", F.explode(chosen).alias("token"))
-        return below.select("node", "run", F.xxhash64("path", "token").alias("path"), F.concat("used", F.array("token")).alias("used"))
+        kept = [] if first else ["sketch"]
+        below = nodes.select("node", "run", "path", "used", *kept, F.explode(chosen).alias("token"))
+        return below.select("node", "run", F.xxhash64("path", "token").alias("path"), F.concat("used", F.array("token")).alias("used"), *kept)
 
     start = F.explode(F.array(*[F.lit(r) for r in runs])).alias("run")
     places = sets.select("node", "sketch", start).select("node", "sketch", "run", F.col("run").cast("long").alias("path"), F.array().cast("array<int>").alias("used"))
     leaves, edges, scratch = [], [], []
     for depth in range(DEPTH):
-        places = written(follow(places, SAMPLED[min(depth, len(SAMPLED) - 1)]), f"path-{depth}")
+        places = written(follow(places, SAMPLED[min(depth, len(SAMPLED) - 1)], depth == 0), f"path-{depth}")
         members = F.bit_xor(F.xxhash64("node", F.lit(1))), F.bit_xor(F.xxhash64("node", F.lit(2)))
         counts = places.groupBy("path").agg(F.count("*").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(members)], F.min("node").alias("least")).filter("n > 1")
         # Nodes with the same sets are one, but in runs of their own: these tell how well a run finds.
@@ -229,7 +231,8 @@ def candidate_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
         else:
             once = counts.select("path", "n")
         once = written(once, f"once-{depth}")
-        leaves.append(written(places.join(once.filter(F.col("n") <= LEAF).select("path"), "path").select("node", "run", "path"), f"leaves-{depth}"))
+        # Most places are of nodes with one set. What has more is broadcast if it is short enough, so the places aren't dealt out again.
+        leaves.append(written(places.join(_small(once.filter(F.col("n") <= LEAF).select("path")), "path").select("node", "run", "path"), f"leaves-{depth}"))
         large = once.filter(F.col("n") > LEAF)
         if large.isEmpty():
             release(places, once)
@@ -237,13 +240,14 @@ def candidate_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
         # A large node has REPRESENTATIVES of them, whose sketches its members get in parts, so no path is a hot key.
         parts = F.floor(F.col("n") / 2048).cast("int") + 1
         large = large.select("path", parts.alias("parts"))
-        inside = places.join(large, "path")
-        heads = inside.groupBy("path", "parts", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("k")).agg(F.min("node").alias("head"))
-        heads = heads.join(sets.select(F.col("node").alias("head"), F.col("sketch").alias("of_head")), "head")
+        inside = places.join(_small(large), "path")
+        inside = written(inside if depth else inside.join(sets.select("node", "sketch"), "node"), f"inside-{depth}")
+        heads = inside.groupBy("path", "parts", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("k")).agg(F.min_by(F.struct(F.col("node").alias("head"), F.col("sketch").alias("of_head")), "node").alias("h"))
+        heads = heads.select("path", "parts", "h.*")
         heads = heads.groupBy("path", "parts").agg(F.array_sort(F.collect_list(F.struct("head", "of_head"))).alias("heads"))
         heads = written(heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), f"heads-{depth}")
         met = inside.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
-        met = met.join(sets.select("node", "sketch"), "node").join(heads.select("path", "part", "heads"), ["path", "part"])
+        met = met.join(heads.select("path", "part", "heads"), ["path", "part"])
         met = met.withColumn("near", F.transform("heads", lambda h: _similarity(F.col("sketch"), h["of_head"])))
         like = F.filter(F.transform("heads", lambda h, i: F.when(F.get("near", i) >= LIKE, h["head"])), lambda h: h.isNotNull())
         met = written(met.select("node", "sketch", "run", "path", "used", like.alias("like"), F.array_max("near").alias("nearest")), f"met-{depth}")
@@ -251,7 +255,7 @@ def candidate_edges(sets: DataFrame, runs: list[int]) -> DataFrame:
         own = met.filter((F.size("like") > 0) & (F.col("node") != F.get("like", F.lit(0)))).select(F.col("node").alias("a"), F.get("like", F.lit(0)).alias("b"))
         shared = met.filter(F.size("like") > 1).select("like").distinct().select(F.explode(F.slice("like", 2, REPRESENTATIVES)).alias("a"), F.get("like", F.lit(0)).alias("b"))
         edges.append(written(own.union(shared).distinct().select("a", "b", F.lit(-1).alias("run"), F.lit(1.0).alias("similarity")), f"edges-{depth}"))
-        release(places, once, heads)
+        release(places, once, heads, inside)
         scratch.append(met)
         places = met.filter(F.col("nearest") < EQUAL).select("node", "sketch", "run", "path", "used")
     else:  # Sets that share all tokens of so long a path are candidates together; the exact comparison decides.
