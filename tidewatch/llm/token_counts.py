@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import load
+from .common import free_name, load
 from .vocabulary import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -193,16 +193,17 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     """Each row of docs, but for the text, with n_words and n_tokens (long).
 
     Words are runs of characters other than blanks and \\t to \\r. A null or empty text has none.
-    Repeated rows are counted alike. Columns that clash with the made ones are replaced.
+    Repeated rows are counted alike. Columns that clash with the made ones, in any case of letters, are replaced.
     """
     path = vocabulary or vocabulary_path(VOCABULARY)
 
     def count(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(trie_of(path).texts(text), columns=["n_words", "n_tokens"])
 
-    both = docs.select("*", F.pandas_udf(count, "n_words long, n_tokens long")(F.col(text_col)).alias("__counts"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_words", "n_tokens")]
-    return both.select(*keep, F.col("__counts.n_words").alias("n_words"), F.col("__counts.n_tokens").alias("n_tokens"))
+    made = free_name(docs.columns, "counts")
+    both = docs.select("*", F.pandas_udf(count, "n_words long, n_tokens long")(F.col(f"`{text_col}`")).alias(made))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c.lower() not in ("n_words", "n_tokens")]
+    return both.select(*keep, F.col(f"{made}.n_words").alias("n_words"), F.col(f"{made}.n_tokens").alias("n_tokens"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
