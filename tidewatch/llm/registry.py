@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality_rules, secret_scan, token_counts, warc_archive
+from . import bpe_codec, decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, secret_scan, token_counts, warc_archive
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,9 +15,10 @@ QUERIES = {
     "op8_bpe_codec": bpe_codec.op8_bpe_codec,
     "op9_language_id": language_id.op9_language_id,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op13_packing": packing.op13_packing,
 }
 
-#: Operators 2, 8, 9 and 10 can't be put in SQL; tests hold them against brute force, a library or known results.
+#: Operators 2, 8, 9, 10 and 13 can't be put in SQL; tests hold them against brute force, a library or known results.
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op3_warc": warc_archive.ORACLE_SQL,
