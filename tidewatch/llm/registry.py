@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, secret_scan, token_counts, vector_codes, warc_archive
+from . import bpe_codec, conversation_repair, decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, secret_scan, token_counts, vector_codes, warc_archive
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_packing": packing.op13_packing,
 }
 
@@ -28,4 +29,5 @@ ORACLES = {
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op7_secret_scan": secret_scan.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
 }
