@@ -9,7 +9,9 @@ from tidewatch.functions import scores, text, urls
 from tidewatch.operators import alerts, entities, fingerprints, posts as P, trends
 from tidewatch.operators.trends import TrendOptions
 from tidewatch.sources import flatten, normalize
+from tidewatch.operators.store import VersionedTables
 from tidewatch.streaming import live
+from tidewatch.streaming.ingest import archived, ingest_into, trend_series
 
 NOW = 1_760_000_000_000
 
@@ -71,8 +73,6 @@ def test_history_and_log(spark):
     new = spark.createDataFrame([("x", 5, False), ("y", 2, False), ("z", 2, False)], log.schema)
     got = alerts.alert_log(log, new, spark.createDataFrame([("z",)], "id string"), 2).collect()
     assert [(r.id, r.created_ms, r.read) for r in got] == [("y", 2, False), ("z", 2, True)]
-    heat = spark.createDataFrame([("a", 1, "quiet"), ("a", 2, "rising"), ("a", 3, "fading")], "topic string, evaluated_at int, state string")
-    assert [r.escalated for r in trends.escalations(heat).orderBy("evaluated_at").collect()] == [False, True, False]
 
 
 def test_batches_of_texts(spark):
@@ -156,13 +156,16 @@ def test_ingest_end_to_end(spark, stream, tmp_path):
     add([post(i, quake) for i in (2, 3, 12, 13)])
     rules = spark.createDataFrame([("quake", "keyword", True, "harbour", -5.0, 1, None, 60_000_000)], alerts.RULE)
     now = 1_760_000_400_000
-    ingest = live.ingest_into(str(tmp_path / "store"), lambda: now, rules, TrendOptions())
-    raw = read(flatten.RAW.replace("published_at timestamp", "published_at timestamp"))
+    told = []
+    ingest = ingest_into(str(tmp_path / "store"), lambda: now, rules, TrendOptions(), listener=lambda t, e: told.append((t.count(), e.count())))
+    raw = read(flatten.RAW)
     assert live.ingest_stream(raw, ingest, str(tmp_path / "c")).awaitTermination(300)
-    table = lambda name, n: spark.read.parquet(str(tmp_path / "store" / name / f"version={n}"))
-    assert (table("posts", 0).count(), table("posts", 1).count()) == (7, 9)
-    by_topic = {r.topic: r["count"] for r in table("posts", 1).groupBy("topic").count().collect()}
-    assert sorted(by_topic.values()) == [1, 8] and table("topics", 1).count() == 2
-    best = table("trends", 1).orderBy(F.desc("volume")).first()
+    store = VersionedTables(spark, str(tmp_path / "store"))
+    assert (store.read("posts", 0).count(), store.read("posts", 1).count()) == (7, 9) and store.versions() == [0, 1]
+    by_topic = {r.topic: r["count"] for r in archived(store, now).groupBy("topic").count().collect()}
+    assert sorted(by_topic.values()) == [1, 8] and store.read("topics").count() == 2
+    best = store.read("trends").orderBy(F.desc("volume")).first()
     assert best.title == quake and best.volume == 8 and best.coverage == 4
-    assert (table("events", 0).count(), table("events", 1).count()) == (1, 0)
+    assert (store.read("events", 0).count(), store.read("events", 1).count()) == (1, 1) and told == [(2, 1), (2, 0)]
+    assert [(r.fetched, r.inserted, r.duplicates) for r in store.read("reports").orderBy("inserted").collect()] == [(4, 2, 2), (7, 7, 0)]
+    assert trend_series(store).count() == 2

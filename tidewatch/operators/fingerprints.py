@@ -8,7 +8,8 @@ from ..functions.text import fnv1a64
 from .posts import token_rows
 
 
-def _assembled(votes: list[Column]) -> Column:
+def assembled(votes: list[Column]) -> Column:
+    """64 bits, the lowest first, as one long."""
     out = F.lit(0).cast("long")
     for bit, vote in enumerate(votes):
         out = out.bitwiseOR(F.shiftleft(vote.cast("long"), bit))
@@ -24,14 +25,14 @@ def simhash(posts: DataFrame, text: str = "body") -> DataFrame:
     votes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(pair) * F.col("n")).alias(f"v{b}") for b in range(32)]
     summed = counts.join(hashes, "token").groupBy("id").agg(F.sum("n").alias("n"), *votes)
     ones = [F.col(f"v{b}").bitwiseAND(F.lit(0xFFFFFFFF)) for b in range(32)] + [F.shiftrightunsigned(f"v{b}", 32) for b in range(32)]
-    return summed.select("id", _assembled([2 * x > F.col("n") for x in ones]).alias("simhash"))
+    return summed.select("id", assembled([2 * x > F.col("n") for x in ones]).alias("simhash"))
 
 
 def centroids(members: DataFrame) -> DataFrame:
     """(topic, centroid) for rows of (topic, simhash): a bit is set where at least half have it."""
     ones = [F.sum(F.bit_get("simhash", F.lit(b)).cast("long")).alias(f"v{b}") for b in range(64)]
     summed = members.groupBy("topic").agg(F.count("*").alias("n"), *ones)
-    return summed.select("topic", _assembled([F.col(f"v{b}") * 2 >= F.col("n") for b in range(64)]).alias("centroid"))
+    return summed.select("topic", assembled([F.col(f"v{b}") * 2 >= F.col("n") for b in range(64)]).alias("centroid"))
 
 
 def top_keywords(posts: DataFrame, k: int = 6, text: str = "body", corpus: DataFrame | None = None) -> DataFrame:

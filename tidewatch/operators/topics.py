@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import jaccard, simhash_similarity
 from ..session import release, written
-from .fingerprints import centroids, simhash
+from .fingerprints import assembled, centroids, simhash
 from .posts import token_rows
 
 ACTIVE_MS = 6 * 3_600_000
@@ -18,12 +18,15 @@ JOIN_AT, MERGE_AT = 0.45, 0.62
 KEYWORDS, TOPIC_KEYWORDS, TOPIC_ENTITIES = 5, 8, 12
 
 
-def features(posts: DataFrame, text: str = "body") -> DataFrame:
-    """posts (id, published_at, source, entities) with what topics look at; a post without tokens has empty ones and simhash 0."""
+def features(posts: DataFrame, text: str = "body", hash_text: str | None = None) -> DataFrame:
+    """posts (id, published_at, source, entities) with what topics look at; a post without tokens has empty ones and simhash 0.
+
+    Simhashes may be of another text than tokens and keywords, such as one with the title twice.
+    """
     none = F.array().cast("array<string>")
     tokens = token_rows(posts, text).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "token"))).alias("t"))
     tokens = tokens.select("id", F.col("t.token").alias("tokens"), F.slice("t.token", 1, KEYWORDS).alias("keywords"))
-    both = posts.select("id", "published_at", "source", F.coalesce("entities", none).alias("entities")).join(tokens, "id", "left").join(simhash(posts, text), "id", "left")
+    both = posts.select("id", "published_at", "source", F.coalesce("entities", none).alias("entities")).join(tokens, "id", "left").join(simhash(posts, hash_text or text), "id", "left")
     return both.withColumns({"tokens": F.coalesce("tokens", none), "keywords": F.coalesce("keywords", none), "simhash": F.coalesce("simhash", F.lit(0))})
 
 
@@ -91,6 +94,49 @@ def roll_up(members: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, none) for c in ("keywords", "entities")})
 
 
+def topic_states(members: DataFrame) -> DataFrame:
+    """Like roll_up(), in a form that merge_states() can add to: first terms with their place, and sums of the simhashes' bits."""
+    once = members.groupBy("topic", "id").agg(F.count("*").alias("n"), F.min_by(F.struct("published_at", "source", "keywords", "entities", "simhash"), "published_at").alias("p"), F.max("published_at").alias("seen"))
+    once = once.select("topic", "id", "n", "seen", "p.*")
+    bits = F.array(*[F.sum(F.bit_get("simhash", F.lit(b)).cast("long")) for b in range(64)])
+    whole = once.groupBy("topic").agg(
+        F.count("*").alias("posts"), (F.sum("n") - F.count("*")).alias("corroborations"), F.min("published_at").alias("first_seen"), F.max("seen").alias("last_seen"), F.array_sort(F.collect_set("source")).alias("sources"), bits.alias("bits"),
+    )
+
+    def firsts(column: str, most: int) -> DataFrame:
+        terms = once.select("topic", "published_at", "id", F.posexplode(column).alias("at", "term")).groupBy("topic", "term").agg(F.min(F.struct("published_at", "id", "at")).alias("first"))
+        best = terms.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("first", "term"))).filter(F.col("place") <= most)
+        return best.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias(column))
+
+    out = whole.join(firsts("keywords", TOPIC_KEYWORDS), "topic", "left").join(firsts("entities", TOPIC_ENTITIES), "topic", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("keywords", "entities")})
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state for each topic of states over different posts. A term that is among the first of all is among those of its batch."""
+    both = states[0]
+    for more in states[1:]:
+        both = both.unionByName(more)
+
+    def firsts(column: str, most: int) -> Column:
+        terms = F.array_sort(F.flatten(F.collect_list(column)))
+        return F.slice(F.filter(terms, lambda x, i: F.array_position(F.transform(terms, lambda t: t["term"]), x["term"]) == i + 1), 1, most)
+
+    sums = [F.sum(F.get("bits", F.lit(b))).alias(f"b{b}") for b in range(64)]
+    merged = both.groupBy("topic").agg(
+        F.sum("posts").alias("posts"), F.sum("corroborations").alias("corroborations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), firsts("keywords", TOPIC_KEYWORDS).alias("keywords"), firsts("entities", TOPIC_ENTITIES).alias("entities"), *sums,
+    )
+    return merged.select("topic", "posts", "corroborations", "first_seen", "last_seen", "sources", F.array(*[F.col(f"b{b}") for b in range(64)]).alias("bits"), "keywords", "entities")
+
+
+def topics_of(states: DataFrame) -> DataFrame:
+    """What roll_up() says of the posts that the states stand for."""
+    centroid = assembled([F.get("bits", F.lit(b)) * 2 >= F.col("posts") for b in range(64)])
+    terms = {c: F.transform(c, lambda t: t["term"]) for c in ("keywords", "entities")}
+    return states.select("topic", "posts", "corroborations", "first_seen", "last_seen", "sources", centroid.alias("centroid"), *[v.alias(c) for c, v in terms.items()])
+
+
 def _openers(posts: DataFrame) -> DataFrame:
     """Posts that are the earliest with at least half of their keywords and with their set of entities; of any posts with keywords there is one."""
     words = F.transform("keywords", lambda k: F.struct(F.lit("k").alias("kind"), F.xxhash64(k).alias("term")))
@@ -108,7 +154,7 @@ def open_topics(posts: DataFrame, rounds: int = 4, join_at: float = JOIN_AT, act
     left opens its own, and merge_topics unites twins. Work grows with the posts: no pairs of posts
     with a common word are made.
     """
-    left, out = posts, None
+    left, out, made = posts, None, []
     for step in range(rounds):
         opened = _openers(left).select(F.col("id").alias("topic"), "keywords", "entities", F.col("simhash").alias("centroid"), F.col("published_at").alias("last_seen"))
         opened = written(opened, f"opened-{step}")
@@ -118,10 +164,13 @@ def open_topics(posts: DataFrame, rounds: int = 4, join_at: float = JOIN_AT, act
         done = joined.filter("topic IS NOT NULL")
         out = done if out is None else out.union(done)
         left = written(left.join(done.select("id"), "id", "left_anti"), f"left-{step}")
+        made += [opened, joined, left]
         if left.isEmpty():
-            return out
+            break
     own = left.select("id", F.col("id").alias("topic"))
-    return own if out is None else out.union(own)
+    found = written(own if out is None else out.union(own), "open-topics")
+    release(*made)
+    return found
 
 
 def twin_pairs(topics: DataFrame, merge_at: float = MERGE_AT) -> DataFrame:

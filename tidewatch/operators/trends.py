@@ -56,8 +56,12 @@ def score_topics(posts: DataFrame, now_ms: int, options: TrendOptions = TrendOpt
 
     Rounded as shown to readers; growth and velocity decide state and reason before rounding, and stay as velocity_x and growth_x.
     """
+    return score_sources(by_source(posts, now_ms, options), now_ms, options)
+
+
+def score_sources(per_source: DataFrame, now_ms: int, options: TrendOptions = TrendOptions()) -> DataFrame:
+    """The same from sums by topic and source."""
     n, half = options.buckets, options.buckets // 2
-    per_source = by_source(posts, now_ms, options)
     share = F.when(F.col("volume") > 0, F.struct((-F.col("volume")).alias("order"), F.col("source"), F.col("volume").alias("count")))
     topics = per_source.groupBy("topic").agg(
         *[F.sum(c).alias(c) for c in ("items", "volume", "baseline", "engagement", *[f"b{i}" for i in range(n)])],
@@ -116,17 +120,18 @@ def highlights(trends: DataFrame, n: int = 5) -> DataFrame:
     return trends.filter("state <> 'quiet'").orderBy(F.desc("score"), F.desc("volume"), "topic").limit(n)
 
 
-def hot(trends: DataFrame, announced: DataFrame | None = None) -> DataFrame:
-    """Breaking and emerging trends; with announced (topic) only those that are not in it."""
+def hot(trends: DataFrame, announced: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Breaking and emerging trends; with announced (topic) only those that are not in it, with most the best by score."""
     out = trends.filter(F.col("state").isin("breaking", "emerging"))
-    return out.join(announced.select("topic"), "topic", "left_anti") if announced is not None else out
+    out = out.join(announced.select("topic"), "topic", "left_anti") if announced is not None else out
+    return out.orderBy(F.desc("score"), F.desc("volume"), "topic").limit(most) if most is not None else out
 
 
 def matching(trends: DataFrame, words: str) -> DataFrame:
-    """Trends with the words in their title, a keyword or an entity; all if there are none."""
+    """Trends with the words in their title or a keyword, whatever the case; words of less than two letters match none."""
     needle = words.strip().lower()
-    inside = lambda c: F.exists(c, lambda x: F.contains(F.lower(x), F.lit(needle)))
-    return trends.filter(F.contains(F.lower("title"), F.lit(needle)) | inside("keywords") | inside("entities")) if needle else trends
+    inside = F.exists("keywords", lambda x: F.contains(F.lower(x), F.lit(needle)))
+    return trends.filter((F.contains(F.lower("title"), F.lit(needle)) | inside) if len(needle) >= 2 else F.lit(False))
 
 
 def representatives(posts: DataFrame, now_ms: int, options: TrendOptions = TrendOptions(), first: int = 24, order: str = "ingested_at") -> DataFrame:
@@ -192,6 +197,12 @@ def retain_trends(trends: DataFrame, now_ms: int, days: float = 30) -> DataFrame
     return trends.filter(~(old & F.coalesce("acknowledged", F.lit(False))))
 
 
+def retain_topics(cells: DataFrame, now_ms: int, days: float = 30) -> DataFrame:
+    """Cells of the topics that have a post within so many days."""
+    last = cells.groupBy("topic").agg(F.max("last_ms").alias("last")).filter(F.col("last") >= now_ms - int(days * 86_400_000))
+    return cells.join(last.select("topic"), "topic", "left_semi")
+
+
 def by_last_seen(topics: DataFrame) -> DataFrame:
     return topics.orderBy(F.desc("last_seen"), "topic")
 
@@ -241,9 +252,3 @@ def newest_posts(posts: DataFrame, n: int = 8) -> DataFrame:
     ranks = Window.partitionBy("topic").orderBy(F.desc("published_at"), "id")
     return posts.select("topic", "id", "published_at", F.row_number().over(ranks).alias("place")).filter(F.col("place") <= n)
 
-
-def escalations(history: DataFrame) -> DataFrame:
-    """Each evaluation of a topic with the state before it and whether it got hotter; a first one has if it isn't quiet."""
-    heat = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, ("fading", "quiet", "rising", "emerging", "breaking"))), c), F.lit(0))
-    before = F.lag("state").over(Window.partitionBy("topic").orderBy("evaluated_at"))
-    return history.withColumn("previous_state", before).withColumn("escalated", F.when(F.col("previous_state").isNull(), F.col("state") != "quiet").otherwise(heat(F.col("state")) > heat(F.col("previous_state"))))

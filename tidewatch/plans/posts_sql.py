@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import STOP_WORDS, detect_language
 from ..operators import activity, entities, fingerprints
 from ..operators.posts import FeedQuery, document_posts, feed, last_write_wins, search, top_tokens, upsert_posts
-from ..session import load
+from ..operators.store import VersionedTables
+from ..session import load, scratch_folder
 from ..sources.flatten import ingest_report
 
 
@@ -75,11 +76,27 @@ def entity_mentions(spark, sf_dir):
     return _mentions(spark, sf_dir).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("posts"))
 
 
+def _again(spark, sf_dir):
+    """Two thirds of the posts, and all even ones again with another body and more or fewer likes."""
+    posts = document_posts(spark, sf_dir).select("id", "doc_id", "source", "body", "likes", "published_at")
+    changed = F.concat(F.lit("new "), F.coalesce("body", F.lit("")))
+    return posts.filter("doc_id % 3 <> 0"), posts.filter("doc_id % 2 = 0").withColumn("body", changed).withColumn("likes", F.col("likes") + F.col("doc_id") % 5 - 2)
+
+
 def archive_upsert(spark, sf_dir):
-    """Two thirds of the posts are stored; all even ones come again with another body and more or fewer likes."""
-    posts = document_posts(spark, sf_dir).select("id", "doc_id", "source", F.length("body").cast("string").alias("body"), "likes", "published_at")
-    fresh = posts.filter("doc_id % 2 = 0").withColumn("body", F.lit("new")).withColumn("likes", F.col("likes") + F.col("doc_id") % 5 - 2)
-    return upsert_posts(posts.filter("doc_id % 3 <> 0"), fresh).select("doc_id", "body", "likes")
+    stored, fresh = _again(spark, sf_dir)
+    return upsert_posts(stored, fresh).select("doc_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "likes")
+
+
+def upsert_partitions(spark, sf_dir):
+    """The same in a store of parts by id: two batches are committed, of which the second rewrites the parts that it touches."""
+    stored, fresh = _again(spark, sf_dir)
+    store = VersionedTables(spark, scratch_folder(spark, "store"))
+    for number, rows in enumerate((stored, fresh)):
+        batch = store.batch(number)
+        batch.upsert("posts", rows, upsert_posts, parts=16)
+        batch.commit()
+    return store.read("posts").select("doc_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "likes")
 
 
 def archive_trends(spark, sf_dir):
@@ -100,7 +117,7 @@ def translation_list(spark, sf_dir):
     return entities.untranslated(texts, cache, detect_language(F.col("text")), "en").select(F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-_ALL = (feed_recent, feed_bookmarked, search_posts, conversation_topics, hot_keywords, keyword_counts, post_tokens, post_keywords, simhashes, language_centroids, post_entities, entity_mentions, archive_upsert, archive_trends, ingest_counts, translation_list)
+_ALL = (feed_recent, feed_bookmarked, search_posts, conversation_topics, hot_keywords, keyword_counts, post_tokens, post_keywords, simhashes, language_centroids, post_entities, entity_mentions, archive_upsert, upsert_partitions, archive_trends, ingest_counts, translation_list)
 QUERIES = {f.__name__: f for f in _ALL}
 
 NORM = "trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(strip_accents({0})), 'https?://[^\\s]+', ' ', 'g'), '‘’“”', ''''''''''), '[^a-z0-9''\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -114,6 +131,8 @@ _WHOLE = "(s - CASE WHEN s >= 9223372036854775808::HUGEINT THEN 1844674407370955
 _ALIAS = "(VALUES ('erth', 'erth'), ('tion', 'tion'), ('tion', 'tions'), ('that-the', 'that the'), ('that-the', 'the that'), ('quell', 'que le'), ('und', 'und'), ('ciónue', 'cionue'), ('ciónue', 'ciones')) e(slug, alias)"
 _HIT = f"{_DOCS}, m AS (SELECT DISTINCT id, slug FROM (SELECT id, ' ' || {NORM.format('text')} || ' ' AS t FROM d), {_ALIAS} WHERE contains(t, ' ' || alias || ' '))"
 _HOT = f"SELECT word, count(*) AS posts, count(DISTINCT source) AS sources, count(DISTINCT lang) AS topics FROM (SELECT id, source, lang, unnest(list_distinct({TOKENS.format('text', 4)})) AS word FROM d) GROUP BY word"
+_UPSERTED = """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'new ' || coalesce(text, '') ELSE text END) AS body_md5,
+  CASE WHEN doc_id % 2 <> 0 THEN likes WHEN doc_id % 3 <> 0 THEN greatest(likes, likes + doc_id % 5 - 2) ELSE likes + doc_id % 5 - 2 END AS likes FROM d WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0"""
 ORACLES = {
     "feed_recent": f"WITH {_DOCS} SELECT doc_id, source FROM d WHERE ms >= 1706637600000 AND source IN ('src0', 'src3', 'src7') AND doc_id % 3 <> 0",
     "feed_bookmarked": f"WITH {_DOCS} SELECT doc_id, likes FROM d WHERE doc_id % 10 = 0",
@@ -127,8 +146,8 @@ ORACLES = {
     "language_centroids": f"WITH {_BITS}, c AS (SELECT lang AS topic, b, 2 * count(*) FILTER (on_) >= count(*) AS on_ FROM v JOIN d USING (id) GROUP BY lang, b), w AS (SELECT topic, sum(CASE WHEN on_ THEN (2::HUGEINT ** b)::HUGEINT ELSE 0 END)::HUGEINT AS s FROM c GROUP BY topic) SELECT topic, {_WHOLE} AS centroid FROM w",
     "post_entities": f"WITH {_HIT} SELECT id, string_agg(slug, ',' ORDER BY slug) AS entities FROM m GROUP BY id",
     "entity_mentions": f"WITH {_HIT} SELECT slug AS entity, count(*) AS posts FROM m GROUP BY slug",
-    "archive_upsert": f"""WITH {_DOCS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE length(text)::VARCHAR END AS body,
-  CASE WHEN doc_id % 2 <> 0 THEN likes WHEN doc_id % 3 <> 0 THEN greatest(likes, likes + doc_id % 5 - 2) ELSE likes + doc_id % 5 - 2 END AS likes FROM d WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""",
+    "archive_upsert": f"WITH {_DOCS} {_UPSERTED}",
+    "upsert_partitions": f"WITH {_DOCS} {_UPSERTED}",
     "archive_trends": f"WITH {_DOCS} SELECT source, arg_max(doc_id, (ms, doc_id)) AS doc_id, min(ms) AS first_ms FROM d GROUP BY source",
     "ingest_counts": f"WITH {_DOCS} SELECT count(*) AS fetched, count(*) FILTER (doc_id % 3 <> 0) AS inserted, count(*) FILTER (doc_id % 3 = 0) AS duplicates, 0::INT AS errors FROM d WHERE doc_id % 2 = 0",
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import activity, alerts, trends
+from ..operators import activity, alerts, running, trends
 from ..operators.posts import dedup_posts, event_posts, latest_ms, retain
 from ..operators.trends import TrendOptions
+from ..session import written
 
 #: The stream covers a month, so that all times of the defaults are sixty times as long.
 OPTIONS = TrendOptions(window_ms=108_000_000, bucket_ms=7_200_000, buckets=15, baseline_ms=1_296_000_000, age_scale=60)
@@ -49,6 +50,18 @@ def trend_ranks(spark, sf_dir):
     return t.select("rank", *_shown(t))
 
 
+def running_trends(spark, sf_dir):
+    """All topics scored from cells: three batches are added up and retired, then every fifth post comes again with twice its likes."""
+    posts, grain = _topics(spark, sf_dir), 1000
+    at, cells = running.whole(_now(posts), grain), None
+    for k in range(3):
+        fresh = running.count_cells(posts.filter(F.col("id") % 3 == k), grain)
+        cells = written(running.retire_cells(running.merge_cells(fresh, *([cells] if cells else [])), at, OPTIONS), f"cells-{k}")
+    again = posts.filter("id % 5 = 0")
+    cells = running.merge_cells(cells, running.count_cells(again, grain, -1), running.count_cells(again.withColumn("likes", F.col("likes") * 2), grain))
+    return running.score_cells(running.retire_cells(cells, at, OPTIONS), at, OPTIONS).select(*_shown(cells))
+
+
 def trend_sources(spark, sf_dir):
     return _scored(spark, sf_dir).select("topic", F.explode("sources").alias("s")).select("topic", "s.source", F.round("s.share", 9).alias("share"), F.col("s.count").alias("posts"))
 
@@ -123,7 +136,7 @@ def hourly_counts(spark, sf_dir):
     return w.select(F.unix_millis("window.start").alias("start_ms"), "topic", "source", "posts")
 
 
-QUERIES = {f.__name__: f for f in (radar, trend_ranks, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
+QUERIES = {f.__name__: f for f in (radar, trend_ranks, running_trends, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
 
 _POSTS = """p AS (SELECT event_id AS id, event_type AS kind, event_type || '-' || (json_extract_string(props, '$.k')::BIGINT % 20) AS topic, 's' || (user_id % 6) AS source, user_id AS author, epoch_us(ts) // 1000 AS ms, floor(value)::BIGINT AS likes FROM events),
 n AS (SELECT max(ms) AS now FROM p)"""
@@ -141,6 +154,7 @@ t AS (SELECT topic, items, volume, coverage, baseline, gr, ve, age_min, first_ms
   CASE WHEN items < 2 THEN 1.0 ELSE floor(least(greatest(1 - items / greatest(span, 1) / 12, 0), 1) * 100 + 0.5) / 100 END::DOUBLE AS cohesion FROM s),
 parts AS (SELECT topic, source, count(*) AS c FROM a WHERE inside GROUP BY ALL),
 buckets AS (SELECT topic, i AS bucket, coalesce(c, 0)::BIGINT AS posts FROM (SELECT topic, unnest(range(15)) AS i FROM t) LEFT JOIN (SELECT topic AS tt, b, count(*) AS c FROM a WHERE inside AND age >= 0 GROUP BY ALL) ON tt = topic AND b = i)"""
+_TWICE = _SCORED.replace("floor(value)::BIGINT AS likes", "floor(value)::BIGINT * CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS likes").replace("SELECT max(ms) AS now FROM p", "SELECT (max(ms) + 999) // 1000 * 1000 AS now FROM p")
 _DAILY = _SCORED.replace("(json_extract_string(props, '$.k')::BIGINT % 20)", "strftime(ts, '%d')")
 ORACLES = {
     "radar": f"""WITH {_SCORED}
@@ -149,6 +163,9 @@ SELECT topic, score, state, reason, velocity, growth, volume, coverage, engageme
 FROM (SELECT * FROM t ORDER BY score DESC, last_ms DESC, topic LIMIT 40) t WHERE volume > 0""",
     "trend_ranks": f"""WITH {_SCORED}
 SELECT row_number() OVER (ORDER BY score DESC, volume DESC, topic) AS rank, topic, score, state, reason, velocity, growth, volume, coverage, engagement, novelty, cohesion,
+  (SELECT string_agg(posts::VARCHAR, ',' ORDER BY bucket) FROM buckets b WHERE b.topic = t.topic) AS sparkline, coalesce((SELECT string_agg(source || ':' || c, ',' ORDER BY c DESC, source) FROM parts q WHERE q.topic = t.topic), '') AS sources FROM t""",
+    "running_trends": f"""WITH {_TWICE}
+SELECT topic, score, state, reason, velocity, growth, volume, coverage, engagement, novelty, cohesion,
   (SELECT string_agg(posts::VARCHAR, ',' ORDER BY bucket) FROM buckets b WHERE b.topic = t.topic) AS sparkline, coalesce((SELECT string_agg(source || ':' || c, ',' ORDER BY c DESC, source) FROM parts q WHERE q.topic = t.topic), '') AS sources FROM t""",
     "trend_sources": f"WITH {_SCORED} SELECT topic, source, round(c / volume, 9) AS share, c AS posts FROM parts JOIN t USING (topic)",
     "trend_series": f"WITH {_SCORED} SELECT topic, bucket, posts FROM buckets",

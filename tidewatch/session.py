@@ -43,14 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
 _LIVE: dict[str, None] = {}
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; it stays until release_since() is called for it."""
+    path = f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}"
+    _LIVE[path] = None
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and survives lost executors.
 
     The folder stays until release() or release_since() is called for it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}"
-    _LIVE[path] = None
+    path = scratch_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_to = path

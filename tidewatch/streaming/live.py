@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import primary_language
-from ..session import release, written
 
 COMMIT = "did string, time_us long, kind string, commit struct<operation:string,collection:string,rkey:string,record:struct<text:string,langs:array<string>,createdAt:string>>"
 
@@ -105,51 +104,3 @@ def newest_of_batch(most: int = 400, counted: Callable[[int, int], None] | None
             batch.unpersist()
 
     return take
-
-
-def ingest_into(folder: str, now_ms: Callable[[], int], rules: DataFrame, options, aliases: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """For ingest_stream: normalises a batch of raw records, gives each post a topic, stores it once, scores all topics and lets rules fire.
-
-    Tables are versions below the folder, one for each batch, so a batch that is run again writes the same version
-    again; it reads the newest version before its own. Tables: posts, topics, trends, events, fired.
-    """
-    from ..operators import alerts, topics as T, trends
-    from ..sources.normalize import normalize_items
-
-    names = ("posts", "topics", "trends", "events", "fired")
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark, now = batch.sparkSession, now_ms()
-        path = lambda name, n: f"{folder}/{name}/version={n}"
-        before = number - 1 if number else None
-        read = lambda name: spark.read.parquet(path(name, before)) if before is not None else None
-        stored = read("posts")
-        fresh = normalize_items(batch.dropDuplicates(["source", "external_id", "url"]), now, aliases, hashes=False)
-        if stored is not None:
-            fresh = fresh.join(stored.select("id"), "id", "left_anti")
-        featured = written(T.features(fresh.withColumn("body", F.concat_ws(" ", "title", "title", "body"))), "ingest-features")
-        known = read("topics")
-        assigned = T.assign_topics(featured, known) if known is not None else featured.select("id", F.lit(None).cast("string").alias("topic"))
-        assigned = written(assigned.select("id", "topic"), "ingest-assigned")
-        opened = T.open_topics(featured.join(assigned.filter("topic IS NULL").select("id"), "id", "left_semi"))
-        placed = written(assigned.filter("topic IS NOT NULL").union(opened), "ingest-placed")
-        posts = fresh.join(placed, "id").join(featured.select("id", "tokens", "keywords", "simhash"), "id")
-        posts = posts if stored is None else stored.unionByName(posts)
-        posts.write.mode("overwrite").parquet(path("posts", number))
-        posts = spark.read.parquet(path("posts", number))
-        T.roll_up(posts).write.mode("overwrite").parquet(path("topics", number))
-        rolled = spark.read.parquet(path("topics", number))
-        names_of = spark.createDataFrame([], "slug string, name string")
-        scored = trends.described(trends.score_topics(posts, now, options), rolled, posts, names_of, now, options)
-        earlier = read("trends")
-        scored = trends.acknowledged_kept(scored, earlier) if earlier is not None else scored.withColumn("acknowledged", F.lit(False))
-        scored.write.mode("overwrite").parquet(path("trends", number))
-        fired = read("fired")
-        fired = fired if fired is not None else spark.createDataFrame([], "rule_id string, topic string, at_ms long")
-        alerts.evaluate_rules(rules, spark.read.parquet(path("trends", number)), now, fired, posts).write.mode("overwrite").parquet(path("events", number))
-        events = spark.read.parquet(path("events", number))
-        alerts.fired_after(fired, events, now).write.mode("overwrite").parquet(path("fired", number))
-        release(featured, assigned, placed)
-
-    run.tables = names
-    return run
