@@ -1,6 +1,7 @@
 """What the queries don't show: options, authors, JSON columns, logs, histories, batches, and the streams end to end."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,32 @@ def test_rules_on_entities_and_texts(spark):
     got = {(r.rule_id, r.topic) for r in alerts.evaluate_rules(rules, rows, NOW, None, posts).collect()}
     assert got == {("text", "t1"), ("tag", "t1"), ("tag", "t2"), ("ent", "t1")}
     assert {r.rule_id for r in alerts.evaluate_rules(rules, rows, NOW).collect()} == {"ent"}
+    kinds = [(k, k, k != "off", "  " if k == "keyword" else None, 1.0, None, None, None) for k in ("multi_source", "global_breaking", "topic_surge", "project_velocity", "unheard_of", "keyword")] + [("null", None, True, None, 9.0, None, None, None), ("far", "project_velocity", True, None, None, 1, ["x"], None)]
+    some = rows.withColumn("state", F.when(F.col("topic") == "t1", "rising").otherwise("breaking")).withColumn("coverage", F.when(F.col("topic") == "t1", 3).otherwise(2))
+    got = {(r.rule_id, r.topic) for r in alerts.evaluate_rules(spark.createDataFrame(kinds, alerts.RULE), some, NOW, None, posts).collect()}
+    assert got == {("multi_source", "t1"), ("global_breaking", "t2"), ("topic_surge", "t1"), ("topic_surge", "t2"), ("project_velocity", "t1"), ("project_velocity", "t2"), ("unheard_of", "t1"), ("unheard_of", "t2"), ("keyword", "t1"), ("keyword", "t2")}
+
+
+def test_needles_against_all_pairs(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcü \n") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", "𝒳y"]
+    needles = ["".join(rng.choice("abcü ") for _ in range(rng.randint(0, 6))) for _ in range(150)] + ["𝒳", "zzz", "ab"]
+    frames = spark.createDataFrame(list(enumerate(texts)), "key long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string")
+    want = {(n, k) for n in needles for k, t in enumerate(texts) if n and t and n in t}
+    assert {tuple(r) for r in alerts.needles_in(*frames).collect()} == want
+    assert alerts.needles_in(frames[0], frames[1].limit(0)).count() == 0 and alerts.needles_in(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_very_many_rules(spark, tmp_path):
+    made = spark.range(120_000).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("keyword").alias("kind"), F.lit(True).alias("enabled"), F.concat(F.lit("needle number "), F.col("id").cast("string"), F.lit("!")).alias("query"), F.lit(None).cast("double").alias("min_growth"), F.lit(None).cast("int").alias("min_sources"), F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("long").alias("cooldown_ms"))
+    trend = "topic string, title string, keywords array<string>, entities array<string>, score long, state string, reason string, velocity double, growth double, volume long, coverage long, sources array<struct<source:string>>"
+    rows = spark.createDataFrame([(f"t{i}", f"Title {i}", [], [], 1, "quiet", "sustained", 1.0, 5.0, 9, 2, [("s",)]) for i in range(50)], trend)
+    posts = spark.range(500).select((F.concat(F.lit("t"), F.col("id") % 50)).alias("topic"), F.concat(F.lit("A NEEDLE number "), F.col("id") * 200, F.lit("! is here")).alias("title"))
+    made.write.parquet(str(tmp_path / "rules"))
+    events = alerts.evaluate_rules(spark.read.parquet(str(tmp_path / "rules")), rows, NOW, None, posts)
+    assert events.count() == 500
+    plan = events._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_search_index_of_files(spark, tmp_path):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import release, written
+
 RULE = "id string, kind string, enabled boolean, query string, min_growth double, min_sources int, sources array<string>, cooldown_ms long"
 # The three rules that everyone starts with.
 DEFAULT_RULES = [
@@ -27,73 +29,113 @@ def rules_of_watched(watched: DataFrame) -> DataFrame:
     )
 
 
-def applies(has_text: Column | None = None) -> Column:
-    """Whether rule r fires for trend t (with title, keywords, entities); has_text says that a post of the topic holds a keyword rule's query."""
-    r, t = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"t.{c}"))
-    needle = F.lower(F.trim(r("query")))
-    gates = r("enabled") & (t("growth") >= F.coalesce(r("min_growth"), F.lit(1.0))) & (t("coverage") >= F.coalesce(r("min_sources"), F.lit(1)))
-    own = F.transform(t("sources"), lambda s: s["source"])
-    gates = gates & (r("sources").isNull() | (F.size(r("sources")) == 0) | F.arrays_overlap(own, r("sources")))
-    holds = lambda c: F.exists(t(c), lambda x: F.contains(x, needle))
-    in_text = F.contains(F.lower(t("title")), needle) | holds("keywords") | holds("entities")
-    in_text = in_text | F.coalesce(has_text, F.lit(False)) if has_text is not None else in_text
-    kind = (
-        F.when(r("kind") == "multi_source", t("coverage") >= F.coalesce(r("min_sources"), F.lit(3)))
-        .when(r("kind") == "global_breaking", t("state").isin("breaking", "emerging"))
-        .when(r("kind") == "topic_surge", t("state") != "quiet")
-        .when(r("kind") == "watched_entity", F.coalesce(F.array_contains(t("entities"), needle), F.lit(False)))
-        .when(r("kind") == "keyword", F.coalesce(r("query") != "", F.lit(False)) & F.coalesce(in_text, F.lit(False)))
-        .when(r("kind") == "project_velocity", t("volume") >= 5)
-        .otherwise(True)
-    )
-    return gates & kind
+def gates() -> Column:
+    """Whether trend t may fire rule r at all: growth, coverage and sources."""
+    own = F.transform(F.col("t.sources"), lambda s: s["source"])
+    passed = F.col("r.enabled") & (F.col("t.growth") >= F.coalesce("r.min_growth", F.lit(1.0))) & (F.col("t.coverage") >= F.coalesce("r.min_sources", F.lit(1)))
+    return passed & (F.col("r.sources").isNull() | (F.size("r.sources") == 0) | F.arrays_overlap(own, F.col("r.sources")))
 
 
-def text_hits(rules: DataFrame, posts: DataFrame) -> DataFrame:
-    """(rule_id, topic) where a post of the topic has the query of an enabled keyword rule in its title, body or tags."""
-    words = rules.filter("enabled AND kind = 'keyword' AND trim(query) <> ''").select(F.col("id").alias("rule_id"), F.lower(F.trim("query")).alias("needle"))
-    columns = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in ("title", "body") if c in posts.columns]
-    columns += [F.coalesce(F.array_join("tags", "\n"), F.lit(""))] if "tags" in posts.columns else []
-    text = posts.select("topic", F.concat_ws("\n", *columns).alias("text"))
-    return text.join(_checked(words), F.contains("text", F.col("needle"))).select("rule_id", "topic").distinct()
+#: A needle's grams have so many characters; shorter needles are grams themselves.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct runs of characters of the given sizes; letters are cut once, so a text costs its length."""
+    letters = F.split(text, "")
+
+    def of(n: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(letters))
+        return F.filter(F.transform(at, lambda i: F.array_join(F.slice(letters, i, n), "")), lambda g: F.length(g) == n)
 
+    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(F.transform(sizes, of)))).otherwise(F.array().cast("array<string>"))
 
-#: Rules are broadcast up to this number; what people write stays far below. More are dealt by kind.
-MOST_RULES = 100_000
 
+def needles_in(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """Distinct (needle, key) where a text (key, text) contains a needle (needle); empty needles are in none.
 
-def _checked(rules: DataFrame) -> DataFrame:
-    if rules.count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; evaluate them in parts")
-    return F.broadcast(rules)
+    Of each needle the gram that fewest texts have is its key in an index; texts meet needles by their grams, and
+    what meets is compared as a whole. Neither texts nor needles are broadcast, and a gram that many
+    texts have is met only by needles that have none that is rarer.
+    """
+    grams = needles.filter("length(needle) > 0").select("needle").distinct().withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
+    wanted = written(grams.select("needle", F.explode(_grams(F.col("needle"), F.array("size"))).alias("gram")), "needle-grams")
+    sizes = wanted.agg(F.array_sort(F.collect_set(F.length("gram"))).alias("sizes")).first().sizes  # at most GRAM numbers
+    if not sizes:
+        return texts.select(F.lit("").alias("needle"), "key").limit(0)
+    numbered = written(texts.filter("text IS NOT NULL").select("key", "text", F.monotonically_increasing_id().alias("row")), "texts")
+    own = numbered.select("row", F.explode(_grams(F.col("text"), F.array(*map(F.lit, sizes)))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    own = written(own, "text-grams")
+    counts = own.groupBy("gram").agg(F.count("*").alias("n"))
+    # A needle with a gram that no text has is in none; its least count is then zero.
+    rarest = wanted.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("g")).filter("g.n > 0").select("needle", "g.gram")
+    met = own.join(rarest, "gram").select("row", "needle").join(numbered, "row").filter(F.contains("text", F.col("needle")))
+    found = written(met.select("needle", "key").distinct(), "needle-hits")
+    release(wanted, numbered, own)
+    return found
+
+
+def _needles(rules: DataFrame) -> DataFrame:
+    return rules.filter("enabled AND kind = 'keyword' AND query <> ''").withColumn("needle", F.lower(F.trim("query")))
+
+
+def text_hits(rules: DataFrame, posts: DataFrame) -> DataFrame:
+    """(rule_id, topic) where a post of the topic has the query of an enabled keyword rule in its title, body or tags."""
+    columns = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in ("title", "body") if c in posts.columns]
+    columns += [F.coalesce(F.array_join("tags", "\n"), F.lit(""))] if "tags" in posts.columns else []
+    hits = needles_in(posts.select(F.col("topic").alias("key"), F.concat_ws("\n", *columns).alias("text")), _needles(rules))
+    return _needles(rules).select(F.col("id").alias("rule_id"), "needle").join(hits.withColumnRenamed("key", "topic"), "needle").select("rule_id", "topic").distinct()
+
+
+def trend_hits(rules: DataFrame, trends: DataFrame) -> DataFrame:
+    """(rule_id, topic) where the title, a keyword or an entity of a trend has the query of an enabled keyword rule."""
+    parts = F.explode(F.concat(F.array(F.lower("title")), "keywords", "entities"))
+    hits = needles_in(trends.select(F.col("topic").alias("key"), parts.alias("text")), _needles(rules))
+    named = _needles(rules).select(F.col("id").alias("rule_id"), "needle")
+    return named.join(hits.withColumnRenamed("key", "topic"), "needle").select("rule_id", "topic").distinct()
+
+
+def _by_numbers(rules: DataFrame, trends: DataFrame) -> DataFrame:
+    """(r, t) of rules that look at a trend's numbers alone. Rules of equal conditions are judged once, and meet only trends that their kind fires for."""
+    known = ("multi_source", "global_breaking", "topic_surge", "project_velocity")
+    kind = F.when(F.col("kind").isin(*known), F.col("kind")).otherwise("other")
+    conditions = ["kind_", "enabled", "min_growth", "min_sources", "sources"]
+    keyed = rules.withColumn("kind_", kind).withColumn("same", F.xxhash64(F.to_json(F.struct(*conditions))))
+    judged = keyed.select(*conditions, "same").dropDuplicates(["same", *conditions])
+    hot = F.col("state").isin("breaking", "emerging")
+    fires = F.array_compact(F.array(F.lit("multi_source"), F.lit("other"), F.when(hot, "global_breaking"), F.when(F.col("state") != "quiet", "topic_surge"), F.when(F.col("volume") >= 5, "project_velocity")))
+    able = trends.withColumn("kind_", F.explode(fires)).alias("t").join(judged.alias("r"), (F.col("t.kind_") == F.col("r.kind_")) & gates() & ((F.col("r.kind_") != "multi_source") | (F.col("t.coverage") >= F.coalesce("r.min_sources", F.lit(3)))))
+    able = able.select(F.struct("t.*").alias("t"), F.struct(*[f"r.{c}" for c in ("same", *conditions)]).alias("c"))
+    equal = F.col("c.same") == F.col("r.same")
+    for c in conditions:
+        equal = equal & F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return able.join(keyed.alias("r"), equal).select(F.struct(*[f"r.{c}" for c in rules.columns]).alias("r"), "t")
 
 
 def evaluate_rules(rules: DataFrame, trends: DataFrame, now_ms: int, fired: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
     """Events of the rules that fire now. fired: (rule_id, topic, at_ms) of what fired before. posts: texts for keyword rules.
 
-    Rules that watch an entity, one for each, meet trends by that entity; the others are few, are counted and broadcast.
-    A trend without a title has its topic for one; without keywords or entities it has none.
+    Rules that watch an entity meet trends by that entity, keyword rules by the grams of their query, and the
+    others, judged once for equal conditions, by what their kind fires for; rules may be as many as trends. A
+    trend without a title has its topic for one; without keywords or entities it has none.
     """
     none = F.array().cast("array<string>")
     missing = {"title": F.col("topic"), "keywords": none, "entities": none}
-    trends = trends.withColumns({c: v for c, v in missing.items() if c not in trends.columns})
+    trends = trends.withColumns({c: v for c, v in missing.items() if c not in trends.columns}).withColumns({c: F.coalesce(c, none) for c in ("keywords", "entities") if c in trends.columns})
     exact = rules.filter("kind = 'watched_entity'").withColumn("needle", F.lower(F.trim("query")))
-    others = rules.filter("kind <> 'watched_entity' OR kind IS NULL")
     by_entity = trends.withColumn("entity_", F.explode(F.array_distinct("entities")))
-    watched = by_entity.alias("t").join(exact.alias("r"), (F.col("t.entity_") == F.col("r.needle")) & applies())
-    has_text = None
-    left = trends.alias("t")
-    rest = left.crossJoin(_checked(others).alias("r"))
-    if posts is not None:
-        rest = rest.join(text_hits(rules, posts).withColumn("hit", F.lit(True)).alias("h"), (F.col("h.rule_id") == F.col("r.id")) & (F.col("h.topic") == F.col("t.topic")), "left")
-        has_text = F.col("h.hit")
-    rest = rest.filter(applies(has_text))
+    watched = by_entity.alias("t").join(exact.alias("r"), (F.col("t.entity_") == F.col("r.needle")) & gates())
+    hits = trend_hits(rules, trends)
+    hits = hits.union(text_hits(rules, posts)).distinct() if posts is not None else hits
+    words = hits.alias("h").join(rules.filter("kind = 'keyword'").alias("r"), F.col("h.rule_id") == F.col("r.id")).join(trends.alias("t"), F.col("h.topic") == F.col("t.topic")).filter(gates())
+    blank = "kind = 'keyword' AND query <> '' AND trim(query) = ''"  # such a query is in every text
+    numbers = _by_numbers(rules.filter(f"kind IS NULL OR kind NOT IN ('watched_entity', 'keyword') OR {blank}"), trends)
     key = F.concat_ws("::", "r.id", "t.topic")
     made = [
         F.concat(F.lit("alert:"), key, F.lit(f":{now_ms}")).alias("id"), F.col("r.id").alias("rule_id"), F.col("r.kind").alias("kind"), F.col("t.topic").alias("topic"), F.col("t.title").alias("title"), F.col("t.reason").alias("reason"),
         F.lit(now_ms).alias("created_ms"), F.lit(False).alias("read"), F.struct("t.score", "t.velocity", "t.growth", "t.coverage", "t.volume", "t.sources").alias("snapshot"), F.coalesce("r.cooldown_ms", F.lit(COOLDOWN_MS)).alias("cooldown_ms"),
     ]
-    events = watched.select(*made).union(rest.select(*made))
+    events = watched.select(*made).union(words.select(*made)).union(numbers.select(*made))
     if fired is not None:
         last = fired.groupBy("rule_id", "topic").agg(F.max("at_ms").alias("at_ms"))
         events = events.join(last, ["rule_id", "topic"], "left").filter(F.col("at_ms").isNull() | (F.lit(now_ms) - F.col("at_ms") >= F.col("cooldown_ms"))).drop("at_ms")

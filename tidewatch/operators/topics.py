@@ -42,17 +42,65 @@ def _terms(rows: DataFrame, key: str, words: str) -> DataFrame:
     return rows.select(key, F.explode(F.concat(*kinds)).alias("t")).select(key, "t.*")
 
 
-def candidate_topics(posts: DataFrame, topics: DataFrame, active_ms: int = ACTIVE_MS, most: int = 24) -> DataFrame:
+#: Topics of each term, those that can weigh most, whose weights give a post's bound.
+FIRST_LOOK = 64
+
+
+def _first_places(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """The first `most` topics of each term; tasks sort out the others before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("kind", "term").orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("kind", "term", "topic")
+
+
+def _from_rarest(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Terms of each row with rest, the weight of the term and of the row's commoner ones."""
+    later = Window.partitionBy(key).orderBy("df", "kind", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return rows.join(counts, ["kind", "term"]).withColumn("rest", F.sum("kind").over(later)).drop("df")
+
+
+def candidate_pairs(posts: DataFrame, topics: DataFrame, most: int = 24, look: int = FIRST_LOOK) -> DataFrame:
+    """Distinct (id, topic) that hold each post's best `most` topics by shared terms, ties by topic, and few others.
+
+    Terms are ordered by rarity among topics. A post and a topic that meet first by a term weigh no more than the
+    rest of either from that term on. The weights of some promising topics of each term give a bound: the
+    `most`-th largest of a post is what a topic must be able to reach, and postings that can't are not joined. Where the
+    term is the last of either, all weigh its weight, and of these the least `most` topics by name are enough.
+    """
+    terms = _terms(topics, "topic", "keywords")
+    counts = written(terms.groupBy("kind", "term").agg(F.count("*").alias("df")), "term-counts")
+    placed = written(_from_rarest(terms, counts, "topic"), "postings")
+    own = written(_from_rarest(_terms(posts, "id", "tokens"), counts, "id"), "post-terms")
+    some = _first_places(placed, [F.desc("rest"), "topic"], look)
+    known = _weighed(own.select("id", "kind", "term").join(some, ["kind", "term"]).select("id", "topic").distinct(), posts, topics)
+    bound = known.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight")))).filter(F.col("place") == most).select("id", F.col("weight").alias("bound"))
+    last = _first_places(placed.filter("rest = kind"), ["topic"], most).withColumns({"of_last": F.lit(True), "of_all": F.lit(False)})
+    least = _first_places(placed, ["topic"], most).withColumns({"of_last": F.lit(False), "of_all": F.lit(True)})
+    flags = last.union(least).groupBy("kind", "term", "topic").agg(F.max("of_last").alias("of_last"), F.max("of_all").alias("of_all"))
+    lists = placed.join(flags, ["kind", "term", "topic"], "left").filter("rest > kind OR of_last OR of_all").alias("l")
+    bounded = own.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(0))).alias("p")
+    same = (F.col("p.kind") == F.col("l.kind")) & (F.col("p.term") == F.col("l.term")) & (F.col("p.rest") >= F.col("p.bound")) & (F.col("l.rest") >= F.col("p.bound"))
+    enough = F.expr("CASE WHEN p.rest = p.kind THEN coalesce(l.of_all, false) WHEN l.rest = l.kind THEN coalesce(l.of_last, false) ELSE true END")
+    found = written(bounded.join(lists, same & enough).select("p.id", "l.topic").distinct(), "candidate-pairs")
+    release(counts, placed, own)
+    return found
+
+
+def _weighed(pairs: DataFrame, posts: DataFrame, topics: DataFrame) -> DataFrame:
+    """pairs (id, topic) with weight and times."""
+    seen = topics.select("topic", "keywords", F.col("entities").alias("about"), F.unix_millis("last_seen").alias("seen"))
+    both = pairs.join(posts.select("id", "tokens", "entities", F.unix_millis("published_at").alias("now")), "id").join(seen, "topic")
+    weight = F.size(F.array_intersect("tokens", "keywords")) + 3 * F.size(F.array_intersect("entities", "about"))
+    return both.select("id", "topic", weight.cast("long").alias("weight"), "now", "seen")
+
+
+def candidate_topics(posts: DataFrame, topics: DataFrame, active_ms: int = ACTIVE_MS, most: int = 24, look: int = FIRST_LOOK) -> DataFrame:
     """(id, topic, weight): the topics that share most with a post, a token counting one, an entity three.
 
-    The best `most` are taken first, then those idle for too long go. The index of topics is small
-    beside the posts; where it isn't, the join is shuffled and Spark splits its frequent terms.
+    The best `most` are taken first, then those idle for too long go. posts and topics are read several times and should be written.
     """
-    shared = _terms(posts, "id", "tokens").join(_terms(topics, "topic", "keywords"), ["kind", "term"]).groupBy("id", "topic").agg(F.sum("kind").alias("weight"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "topic"))
-    best = shared.withColumn("place", place).filter(F.col("place") <= most)
-    times = posts.select("id", F.unix_millis("published_at").alias("now")), topics.select("topic", F.unix_millis("last_seen").alias("seen"))
-    return best.join(times[0], "id").join(times[1], "topic").filter(F.col("now") - F.col("seen") <= active_ms).select("id", "topic", "weight")
+    best = _weighed(candidate_pairs(posts, topics, most, look), posts, topics).withColumn("place", place).filter(F.col("place") <= most)
+    return best.filter(F.col("now") - F.col("seen") <= active_ms).select("id", "topic", "weight")
 
 
 def assign_topics(posts: DataFrame, topics: DataFrame, join_at: float = JOIN_AT, active_ms: int = ACTIVE_MS, most: int = 24) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
-#: Folders that written() made and that were not released yet, in the order they were made.
-_LIVE: dict[str, None] = {}
+class _Live(threading.local):
+    """Folders of this thread that were made here and not released yet, in the order they were made."""
+
+    def __init__(self):
+        self.paths: dict[str, None] = {}
+
+
+_LIVE = _Live()
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one; it stays until release_since() is called for it."""
     path = f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}"
-    _LIVE[path] = None
+    _LIVE.paths[path] = None
     return path
 
 
@@ -64,7 +71,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    _LIVE.pop(path, None)
+    _LIVE.paths.pop(path, None)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -76,13 +83,13 @@ def release(*frames: DataFrame) -> None:
 
 
 def live_folders() -> frozenset[str]:
-    return frozenset(_LIVE)
+    return frozenset(_LIVE.paths)
 
 
 def release_since(spark: SparkSession, before: frozenset[str], keep: tuple[DataFrame, ...] = ()) -> None:
     """Delete what written() has made since live_folders() gave `before`, but for the frames to keep."""
     kept = {df.written_to for df in keep}
-    for path in [p for p in _LIVE if p not in before and p not in kept]:
+    for path in [p for p in _LIVE.paths if p not in before and p not in kept]:
         _delete(spark, path)
 
 

@@ -19,7 +19,7 @@ from ..operators.posts import dedup_posts, retain, upsert_posts
 from ..operators.running import count_cells, merge_cells, retire_cells, score_cells, whole
 from ..operators.store import VersionedTables
 from ..operators.trends import TrendOptions, age_ms
-from ..session import release, written
+from ..session import live_folders, release_since, written
 from ..sources.normalize import normalize_items
 
 RETENTION_DAYS, GRAIN_MS, KEEP_POINTS = 30.0, 1000, 720
@@ -71,11 +71,10 @@ def ingest_into(
                 listener(made.now("trends"), made.added("events"))
 
     def _take_up(made, batch: DataFrame, now: int) -> None:
-        spark, at, scratch = batch.sparkSession, whole(now, grain_ms), []
+        spark, at, scratch = batch.sparkSession, whole(now, grain_ms), live_folders()
 
         def kept(rows: DataFrame, label: str) -> DataFrame:
-            scratch.append(written(rows, f"ingest-{label}"))
-            return scratch[-1]
+            return written(rows, f"ingest-{label}")
 
         tie = F.xxhash64("title", "body", "url")
         raw = normalize_items(batch, now, aliases, hashes=False).withColumn("tie_", tie)
@@ -94,7 +93,6 @@ def ingest_into(
         placed = T.assign_topics(featured, active).select("id", "topic") if stored is not None else featured.select("id", F.lit(None).cast("string").alias("topic"))
         placed = kept(placed, "assigned")
         opened = T.open_topics(featured.join(placed.filter("topic IS NULL").select("id"), "id", "left_semi"))
-        scratch.append(opened)
         placed = kept(placed.filter("topic IS NOT NULL").union(opened), "placed")
 
         of_all = placed if alive is None else placed.union(alive)
@@ -135,6 +133,6 @@ def ingest_into(
         known = 0 if stored is None else before.count()
         n = items.agg(F.sum("seen").alias("fetched"), F.count("*").alias("ids"))
         made.append("reports", n.select(F.lit(now).alias("at_ms"), F.coalesce("fetched", F.lit(0)).cast("long").alias("fetched"), (F.col("ids") - known).alias("inserted"), (F.coalesce("fetched", F.lit(0)) - F.col("ids") + known).cast("long").alias("duplicates")))
-        release(*scratch)
+        release_since(spark, scratch)
 
     return run
