@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def docs(spark):
     """With extra columns named like what the operators make or use inside."""
     frame = spark.createDataFrame(ROWS, SCHEMA)
-    for c in ("row", "n_words", "kept", "spans", "hash", "words", "set", "n", "score", "labels", "base", "found", "live", "first", "class_id", "path", "text_", "g1", "failed"):
+    for c in ("row", "n_words", "kept", "spans", "hash", "words", "set", "n", "score", "labels", "base", "found", "live", "first", "class_id", "path", "text_", "g1", "failed", "a.b", "__found", "__row", "N_Words", "N_Tokens", "Score", "Decoded"):
         frame = frame.withColumn(c, F.lit("own"))
     return frame
 
@@ -36,6 +36,8 @@ CASES = {
     "secrets": lambda d, i: secret_scan.secret_scan(d),
     "redact": lambda d, i: secret_scan.redact(d),
     "bpe": lambda d, i: bpe_codec.bpe_encode(d),
+    "decoded": lambda d, i: bpe_codec.bpe_decode(bpe_codec.bpe_encode(d)),
+    "near": lambda d, i: jaccard_join.drop_near_copies(d),
     "language": lambda d, i: language_id.identify_language(d, *language_id.learn_prototypes(d)),
 }
 
@@ -43,7 +45,8 @@ CASES = {
 @pytest.mark.parametrize("case", sorted(CASES))
 def test_edges(spark, docs, items, case):
     got = CASES[case](docs, items).collect()
-    assert len(got) == (4 if case == "clean" else len(ROWS))
+    assert len(got) == {"clean": 4, "near": 5}.get(case, len(ROWS))
+    assert len({c.lower() for c in got[0].asDict()}) == len(got[0].asDict())
     if case == "license":
         assert {(r.doc_id, r.n_base, r.first_word, r.last_word) for r in got} == {(1, 2, 4, 8), (None, 2, 4, 8), (2, 0, None, None), (3, 0, None, None), (4, 0, None, None), (5, 0, None, None)}
     if case.startswith("benchmark"):
@@ -55,7 +58,26 @@ def test_edges(spark, docs, items, case):
         assert {r.doc_id: r.n_words for r in got}[4] == 60_000
     if case == "language":
         assert {r.doc_id: r.lang_pred for r in got} == {1: "en", None: "en", 2: "und", 3: "und", 4: "en", 5: "und"}
-    assert all(r["path"] == "own" for r in got)
+    if case == "decoded":
+        assert {r.doc_id: r.decoded for r in got}[3] == "" and all(r.decoded.split(" ") == [x for x in r.decoded.split(" ") if x] for r in got if r.decoded)
+    assert all(r["path"] == "own" and r["a.b"] == "own" for r in got)
+
+
+def test_passing_rows(spark, docs):
+    """Plain rows stay with all their columns; null, empty and short ones go, and so do texts that repeat themselves."""
+    plain = [(100 + i, " ".join(f"word{(i * 7 + k) % 400} stands{k % 61}." for k in range(60 + i)), "en", "a") for i in range(40)]
+    columns = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
+    more = spark.createDataFrame([*plain, (1, "again and again " * 60, "en", "a")], SCHEMA).select("*", *[F.lit("own").alias(c) for c in columns])
+    got = quality_rules.keep_passing(docs.filter("doc_id IS NULL OR doc_id <> 4").unionByName(more)).collect()
+    assert {r.doc_id for r in got} <= {p[0] for p in plain} and len(got) >= 36
+    assert all(r["a.b"] == "own" and r.text for r in got)
+    assert quality_rules.keep_passing(docs.limit(0)).count() == 0
+
+
+def test_unknown_owners(spark):
+    rows = [("h", "1", None), ("h", "2", ""), ("h", "3", "b"), ("g", None, None), ("g", None, None)]
+    got = {r.hash: (r.n_repositories, r.n_owners, r.live) for r in secret_scan.ownership(spark.createDataFrame(rows, "hash string, repository string, owner string")).collect()}
+    assert got == {"h": (3, 3, False), "g": (1, 1, True)}
 
 
 @pytest.mark.parametrize("case", sorted(CASES))

@@ -20,7 +20,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import load, written
+from .common import load
 from .vocabulary import byte_letters, read_word_bpe, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -55,7 +55,8 @@ class WordTrie:
         self.fits: dict[tuple[str, str], bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         # A special token stands in the list of words as (None, its text).
-        self.special_words = {(None, t): (1, str(i), t) for t, i in self.special_ids.items()}
+        self.special_words = {(None, t): (1, str(i)) for t, i in self.special_ids.items()}
+        self.text_of = {str(i): t for i, t in self.texts.items()}
         self.words, self.older = dict(self.special_words), {}
         self._clear()
 
@@ -126,13 +127,13 @@ class WordTrie:
             node = self.before[node]
         return tokens[::-1]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """How many tokens a word has, its ids, and its tokens, both joined by spaces."""
+    def word(self, word: str) -> tuple[int, str]:
+        """How many tokens a word has, and its ids joined by spaces."""
         found = self.words.get(word) or self.older.get(word)
         if found is None:
             letters = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode("utf-8")])
             tokens = self.encode(letters)
-            found = (len(tokens), " ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens))
+            found = (len(tokens), " ".join([str(self.ids[t]) for t in tokens]))
         if len(self.words) > self.max_words:
             self.words, self.older = dict(self.special_words), self.words
         self.words[word] = found
@@ -149,14 +150,23 @@ class WordTrie:
                 out += _words(piece)
         return out
 
-    def text(self, text: str | None) -> tuple[int, str, str]:
-        """n tokens, ids and decoded text of a whole text; a null text is empty."""
+    def text(self, text: str | None) -> tuple[int, str]:
+        """n tokens and ids of a whole text; a null text is empty."""
         words = self.split(text) if text else []
         if not words:
-            return 0, "", ""
+            return 0, ""
         get, word = self.words.get, self.word
-        n, ids, tokens = zip(*[get(w) or word(w) for w in words])
-        return sum(n), " ".join(ids), " ".join(tokens)
+        n, ids = zip(*[get(w) or word(w) for w in words])
+        return sum(n), " ".join(ids)
+
+    def decode(self, ids: str) -> str:
+        """The text that ids, joined by spaces, stand for: their tokens joined by spaces. Ids that no token has stand for nothing."""
+        if not ids:
+            return ""
+        try:
+            return " ".join(map(self.text_of.__getitem__, ids.split(" ")))
+        except KeyError:
+            return " ".join([self.text_of[i] for i in ids.split(" ") if i in self.text_of])
 
 
 @lru_cache(1)
@@ -189,40 +199,41 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None =
     With digests, ids_sha256 and decoded_sha256 (of the ids joined by spaces, and of the decoded
     text) stand in their place, so that large results needn't leave the task. A null text is
     encoded like an empty one: no tokens. Repeated rows are encoded alike. Columns that clash with
-    the made ones are replaced.
+    the made ones, in any case of letters, are replaced.
     """
     path = vocabulary or vocabulary_path(VOCABULARY)
 
     def encode(text: pd.Series) -> pd.DataFrame:
         trie = trie_of(path)
-        rows = [trie.text(x) for x in text]
-        if digests:
-            sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-            rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in rows]
+        sha = (lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()) if digests else (lambda s: s)
+        # What is decoded are the ids that were made, and nothing else of the text.
+        rows = [(n, sha(ids), sha(trie.decode(ids))) for n, ids in map(trie.text, text)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
 
     keep = [c for c in docs.columns if c != text_col or copy_text]
-    both = docs.select(F.struct(*keep).alias("kept"), F.pandas_udf(encode, ENCODED)(F.col(text_col)).alias("e")).select("kept", "e.*")
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.pandas_udf(encode, ENCODED)(F.col(f"`{text_col}`")).alias("e")).select("kept", "e.*")
     if digests:
         both = both.select("kept", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
     else:
         both = both.select("kept", "n_tokens", F.filter(F.split("ids", " "), lambda x: x != "").cast("array<int>").alias("ids"), "decoded")
     made = [c for c in both.columns if c != "kept"]
-    return both.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep if c not in made], *made)
+    return both.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep if c.lower() not in made], *made)
 
 
 def bpe_decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """encoded with decoded: the tokens of the ids joined by spaces; null ids give null, unknown ids nothing.
+    """encoded with decoded: the tokens of the ids joined by spaces; null ids give null, unknown and null ones nothing.
 
-    The vocabulary has a fixed size and is broadcast as a table.
+    Repeated rows are decoded alike; a column called decoded, in any case of letters, is replaced.
     """
-    trie = trie_of(vocabulary or vocabulary_path(VOCABULARY))
-    pairs = F.broadcast(encoded.sparkSession.createDataFrame(sorted(trie.texts.items()), "id int, token string"))
-    rows = written(encoded.withColumn("__row", F.monotonically_increasing_id()), "encoded")
-    tokens = rows.select("__row", F.posexplode(ids_col).alias("__at", "id")).join(pairs, "id")
-    texts = tokens.groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "token"))), lambda t: t["token"]), " ").alias("decoded"))
-    back = rows.drop("decoded").join(texts, "__row", "left")
-    return back.withColumn("decoded", F.when(F.col(ids_col).isNotNull(), F.coalesce("decoded", F.lit("")))).drop("__row")
+    path = vocabulary or vocabulary_path(VOCABULARY)
+
+    def decode(ids: pd.Series) -> pd.Series:
+        trie = trie_of(path)
+        return pd.Series([None if x is None else trie.decode(x) for x in ids])
+
+    joined = F.array_join(F.col(f"`{ids_col}`").cast("array<string>"), " ")
+    keep = [F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"]
+    return encoded.select(*keep, F.pandas_udf(decode, "string")(joined).alias("decoded"))
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import load
+from .common import free_name, load
 
 #: Letters are told apart up to this code point; those beyond share the numbers up to SYMBOLS.
 DISTINCT, SYMBOLS = 0x250, 1024
@@ -116,7 +116,7 @@ def identify_language(docs: DataFrame, languages: list[str], prototypes: np.ndar
 
     A null text, one without letters, and every text if no language was learned is `und`, score 0.
     Of equal cosines the first language in order wins. Repeated rows are judged alike. Columns that
-    clash with the made ones are replaced.
+    clash with the made ones, in any case of letters, are replaced.
     """
     norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
     unit = (prototypes / np.where(norms == 0, 1, norms)).T.astype(np.float32)
@@ -133,9 +133,10 @@ def identify_language(docs: DataFrame, languages: list[str], prototypes: np.ndar
             out.append((languages[best], round(min(max(float(cosines[best]), 0.0), 1.0), 6)))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    both = docs.select("*", F.pandas_udf(predict, "lang_pred string, score double")(F.col(text_col)).alias("__found"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    return both.select(*keep, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
+    made = free_name(docs.columns, "found")
+    both = docs.select("*", F.pandas_udf(predict, "lang_pred string, score double")(F.col(f"`{text_col}`")).alias(made))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c.lower() not in ("lang_pred", "score")]
+    return both.select(*keep, F.col(f"{made}.lang_pred").alias("lang_pred"), F.col(f"{made}.score").alias("score"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

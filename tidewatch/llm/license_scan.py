@@ -55,7 +55,7 @@ def license_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     own = docs.sparkSession.sql("SELECT CAST(NULL AS INT) AS template, CAST(NULL AS STRING) AS label, CAST(NULL AS BOOLEAN) AS phrase, CAST(NULL AS INT) AS grams, 1 AS k, 0 AS at, array('') AS gram, 0L AS key")
     places = own.unionByName(places)
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept"), F.concat(F.array(F.lit("")), words_column(F.col(text_col))).alias("words"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.concat(F.array(F.lit("")), words_column(F.col(f"`{text_col}`"))).alias("words"))
     # Each step below runs in the scan's task, in generated code; the words are referred to, not copied.
     rows = texts.select("row", "kept", "words", F.posexplode_outer("words").alias("pos", "word"))
     rows = rows.withColumn("hash", F.when(F.col("pos") == 0, F.lit(0)).otherwise(pair("words", F.col("pos"))))
@@ -75,9 +75,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", cover: float = 0.6, dr
     base_labels and labels: sorted, distinct, joined by commas. score: 1 for a whole passage, 0.5
     at least for a phrase, 0 for nothing found.
 
-    A null or empty text has no words and finds nothing. Repeated rows stay repeated. Columns of
-    docs whose names clash with those made here are carried inside a struct until the end and then
-    win no name: the operator's columns replace them.
+    A null or empty text has no words and finds nothing. Repeated rows stay repeated. Columns that
+    clash with the made ones, in any case of letters, are replaced.
     """
     votes = license_votes(docs, text_col)
     by_text = Window.partitionBy("row", "template").orderBy("diagonal")
@@ -99,7 +98,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", cover: float = 0.6, dr
         F.array_sort(F.collect_list(F.when(passage, span))).alias("spans"), F.coalesce(F.max(F.when(passage, F.round(share, 6)).when(base, F.lit(0.5))), F.lit(0.0)).alias("score"),
     )
     made = [c for c in found.columns if c not in ("row", "kept")]
-    return found.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns if c != text_col and c not in made], *made)
+    return found.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns if c != text_col and c.lower() not in made], *made)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,8 @@ def ownership(candidates: DataFrame, max_owners: int = 2) -> DataFrame:
     Counts are of distinct values; a null repository or owner counts as one value of its own.
     Repeats are dropped before the shuffle, so a value copied everywhere is no hot key.
     """
-    pairs = candidates.select("hash", F.coalesce(F.col("repository").cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner")).distinct()
+    named = lambda c: F.struct(F.col(c).isNull().alias("unknown"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("name")).alias(c)
+    pairs = candidates.select("hash", named("repository"), named("owner")).distinct()
     by_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
     return counts.withColumn("live", F.col("n_owners") <= max_owners)
@@ -171,7 +172,7 @@ s AS (SELECT r, rank, kind, least, value, list_reduce(list_transform(whole, lamb
   lambda acc, x: list_append(acc, {{'w': x[1].w, 'start': acc[len(acc)].stop + instr(substring(t, acc[len(acc)].stop + 1), x[1].w) - 1, 'stop': acc[len(acc)].stop + instr(substring(t, acc[len(acc)].stop + 1), x[1].w) - 1 + length(x[1].w)}}),
   [{{'w': '', 'start': 0::BIGINT, 'stop': 0::BIGINT}}]) AS places FROM m),
 p AS (SELECT r, rank, kind, places[i + 1].start AS start, places[i + 1].stop AS stop, value[i] AS value FROM (SELECT *, unnest(range(1, len(value) + 1)) AS i FROM s) WHERE length(value[i]) >= least),
-o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM p JOIN d USING (r) GROUP BY value),
+o AS (SELECT value, count(DISTINCT (source IS NULL, coalesce(source, ''))) AS owners FROM p JOIN d USING (r) GROUP BY value),
 k AS (SELECT p.*, rank < 3 AS base, owners <= 2 AS live FROM p JOIN o USING (value) WHERE rank < 3 OR owners <= 2),
 a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (base) AS base,
