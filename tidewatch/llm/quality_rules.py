@@ -62,7 +62,7 @@ def fences(counted: DataFrame, group: tuple[str, str], prior: int) -> DataFrame:
     """(the group's columns, rows, <measure>_low, <measure>_high) for each group with texts that pass the fixed rules.
 
     A fence of a group, a first column or the corpus lies `reach` times the distance from the median to the
-    tail beyond the median. A group's fence is weighed with that of its first column, and this with the
+    tail beyond the median, bins counting whole, so that texts in the median's own bin are never outside. A group's fence is weighed with that of its first column, and this with the
     corpus's, by rows against `prior`: a group of few rows has nearly the fence above it, one of many its own.
     """
     first, second = group
@@ -82,7 +82,8 @@ def fences(counted: DataFrame, group: tuple[str, str], prior: int) -> DataFrame:
         at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("edge")))
         out = ranked.groupBy(*keys, "measure").agg(F.max("all").alias("rows"), at(100 - tail).alias("down"), at(F.lit(50)).alias("mid"), at(tail).alias("up"))
         out = out.withColumn("reach", reach)
-        low, high = F.expr("greatest(mid - reach * (mid - down) div 10, 0)"), F.expr("mid + reach * (up - mid) div 10")
+        top = lambda edge: f"({edge} + shiftleft(1L, greatest(length(bin({edge})) - 6, 0)) - 1)"  # noqa: E731  the largest value of a bin
+        low, high = F.expr(f"greatest(mid - reach * ({top('mid')} - down) div 10, 0)"), F.expr(f"mid + reach * ({top('up')} - mid) div 10")
         return out.select(*keys, "measure", "rows", low.cast("long").alias("low"), high.cast("long").alias("high"))
 
     def weighed(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,6 +155,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES = "string_split(coalesce(text, ''), chr(10))"
 _EDGE = "greatest(length(bin(value)) - 6, 0)"
+_TOP = "({0} + (1::BIGINT << greatest(length(bin({0})) - 6, 0)) - 1)"
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
   list_filter({_LINES}, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -171,7 +173,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORD
 q AS (SELECT level, lang, source, measure, max(n) AS n, CASE WHEN measure IN ('word_length', 'symbols') THEN 90 ELSE 99 END AS tail, CASE WHEN measure IN ('word_length', 'symbols') THEN 50 ELSE 15 END AS reach,
   min(edge) FILTER (i * 100 >= n * (100 - (CASE WHEN measure IN ('word_length', 'symbols') THEN 90 ELSE 99 END))) AS down, min(edge) FILTER (i * 2 >= n) AS mid,
   min(edge) FILTER (i * 100 >= n * (CASE WHEN measure IN ('word_length', 'symbols') THEN 90 ELSE 99 END)) AS up FROM h GROUP BY level, lang, source, measure),
-f AS (SELECT level, lang, source, measure, n, greatest(mid - reach * (mid - down) // 10, 0) AS low, mid + reach * (up - mid) // 10 AS high FROM q),
+f AS (SELECT level, lang, source, measure, n, greatest(mid - reach * ({_TOP.format('mid')} - down) // 10, 0) AS low, mid + reach * ({_TOP.format('up')} - mid) // 10 AS high FROM q),
 f1 AS (SELECT a.lang, a.measure, (a.n * a.low + 200 * z.low) // (a.n + 200) AS low, (a.n * a.high + 200 * z.high) // (a.n + 200) AS high FROM f a JOIN f z ON z.level = 0 AND z.measure = a.measure WHERE a.level = 1),
 f2 AS (SELECT a.lang, a.source, a.measure, (a.n * a.low + 200 * z.low) // (a.n + 200) AS low, (a.n * a.high + 200 * z.high) // (a.n + 200) AS high
   FROM f a JOIN f1 z ON z.measure = a.measure AND z.lang IS NOT DISTINCT FROM a.lang WHERE a.level = 2),
