@@ -41,6 +41,8 @@ def make_posts(spark, ages, sources=6, topic="t", likes=0):
         (lambda: text.detect_language(F.lit("xyz")), "und"),
         (lambda: urls.canonical_url(F.lit("https://www.Example.org:8080/story/?utm_source=a&id=7&ref=b#top")), "https://example.org/story?id=7"),
         (lambda: urls.canonical_url(F.lit("  no url ")), "no url"),
+        (lambda: urls.canonical_url(F.lit("http://a.example/x?q=a%20b&z")), "http://a.example/x?q=a+b&z="),
+        (lambda: urls.canonical_query(F.lit("a=1=2&&=v&%zz=+&b=%C3%A9%2B&_HSx=1")), "a=1%3D2&=v&%25zz=+&b=%C3%A9%2B"),
         (lambda: urls.is_safe(F.lit("javascript:alert(1)")), False),
         (lambda: urls.matches_domain(F.lit("evilsite.com"), F.lit("site.com")), False),
         (lambda: urls.matches_domain(F.lit("old.site.com"), F.lit("site.com")), True),

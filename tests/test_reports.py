@@ -76,6 +76,12 @@ def test_history_and_log(spark):
     assert [(r.id, r.created_ms, r.read) for r in got] == [("y", 2, False), ("z", 2, True)]
 
 
+def test_words_in_trends(spark):
+    rows = spark.createDataFrame([("a", "Big News", ["rust"], ["spark"]), ("b", "Other", ["News"], [])], "topic string, title string, keywords array<string>, entities array<string>")
+    found = lambda words: {r.topic for r in trends.matching(rows, words).collect()}
+    assert found(" NEWS ") == {"a", "b"} and found("rust") == {"a"} and found("spark") == found("n") == found("  ") == set()
+
+
 def test_batches_of_texts(spark):
     texts = spark.createDataFrame([(f"t{i}",) for i in range(3000)], "text string")
     sizes = entities.translation_batches(texts, 4).groupBy("part", "batch").count()

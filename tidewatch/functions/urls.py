@@ -16,10 +16,22 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(_part(url, "HOST"), F.lit(""))), r"^www\.", "")
 
 
+def _decoded(part: Column) -> Column:
+    """A form-encoded name or value as text; what isn't well encoded stays, but for its plus signs."""
+    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+
+
+def canonical_query(query: Column) -> Column:
+    """A query's pairs written anew as forms are (a blank is a plus sign, a name alone has an empty value), without tracking keys."""
+    named = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p))).otherwise(F.lit(""))).alias("value"))
+    pairs = F.transform(F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: p != ""), named)
+    kept = F.filter(pairs, lambda p: ~p["name"].rlike(TRACKING))
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
+
+
 def canonical_url(url: Column) -> Column:
-    """Without fragment, www, port, user, tracking keys and last slash; what can't be parsed is only trimmed."""
-    pairs = F.filter(F.split(F.coalesce(_part(url, "QUERY"), F.lit("")), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
-    query = F.array_join(pairs, "&")
+    """Without fragment, www, port, user, tracking keys and last slash, the query written anew; what can't be parsed is only trimmed."""
+    query = canonical_query(_part(url, "QUERY"))
     path = F.regexp_replace(F.coalesce(_part(url, "PATH"), F.lit("")), "/$", "")
     whole = F.concat(F.lower(_part(url, "PROTOCOL")), F.lit("://"), host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.coalesce(F.when(_part(url, "HOST").isNotNull(), whole), F.trim(url))

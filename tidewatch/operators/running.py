@@ -69,3 +69,23 @@ def cells_by_source(cells: DataFrame, now_ms: int, options: TrendOptions = Trend
 def score_cells(cells: DataFrame, now_ms: int, options: TrendOptions = TrendOptions()) -> DataFrame:
     """score_topics() of the posts that were counted; now_ms must be a whole multiple of the grain."""
     return score_sources(cells_by_source(cells, now_ms, options), now_ms, options)
+
+
+def distinct_sketches(posts: DataFrame, column: str, bucket_ms: int, bits: int = 12) -> DataFrame:
+    """(topic, at_ms, sketch): a HyperLogLog of the column's values in each topic and bucket, of 2**bits cells at most."""
+    at = F.floor(F.unix_millis("published_at") / bucket_ms) * bucket_ms
+    return posts.groupBy("topic", at.alias("at_ms")).agg(F.hll_sketch_agg(F.col(column), bits).alias("sketch"))
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    """One sketch for each topic and bucket of sketches over any split of the posts, also where posts repeat."""
+    both = sketches[0]
+    for more in sketches[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("topic", "at_ms").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_since(sketches: DataFrame, since_ms: int) -> DataFrame:
+    """(topic, n): about how many distinct values each topic has in the buckets from a time on; off by 1.6 percent, as a rule, at 12 bits."""
+    inside = sketches.filter(F.col("at_ms") >= since_ms)
+    return inside.groupBy("topic").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))

@@ -47,6 +47,12 @@ def unannounced_trends(spark, sf_dir):
     return trends.hot(t, t.filter("topic LIKE 'c%'").select("topic")).select("topic", "score")
 
 
+def announced_next(spark, sf_dir):
+    """The report of the two hot trends that are told next."""
+    t = _daily(spark, sf_dir)
+    return trends.hot(t, t.filter("topic LIKE 'c%'").select("topic"), 2).select("topic", "score")
+
+
 def acknowledged_trends(spark, sf_dir):
     t = _scored(spark, sf_dir)
     return trends.acknowledged_kept(t, t.filter("topic LIKE '%-3'").select("topic", F.lit(True).alias("acknowledged"))).select("topic", "acknowledged")
@@ -179,7 +185,7 @@ def ingest_totals(spark, sf_dir):
 
 
 _ALL = (
-    trend_titles, trend_list, trend_matches, unannounced_trends, acknowledged_trends, kept_trends, stale_topics, unread, keyword_weights, source_health, activity_report, upserted_points, upserted_topics, flags,
+    trend_titles, trend_list, trend_matches, unannounced_trends, announced_next, acknowledged_trends, kept_trends, stale_topics, unread, keyword_weights, source_health, activity_report, upserted_points, upserted_topics, flags,
     items, token_search, topic_feed, watched_feed, entity_feed, listed_posts, entity_list, ingest_totals,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -200,6 +206,7 @@ SELECT topic, CASE WHEN num < 5 AND kind <> 'view' THEN CASE kind WHEN 'click' T
 FROM t JOIN best USING (topic) JOIN e USING (topic) LEFT JOIN l USING (topic)""",
     "trend_list": f"WITH {_SCORED} SELECT topic, state, score FROM t WHERE score >= 10 AND state <> 'quiet'",
     "trend_matches": f"WITH {_SCORED} SELECT topic FROM t WHERE contains(topic, 'click-1')",
+    "announced_next": f"WITH {_DAILY} SELECT topic, score FROM t WHERE state IN ('breaking', 'emerging') AND topic NOT LIKE 'c%' ORDER BY score DESC, volume DESC, topic LIMIT 2",
     "unannounced_trends": f"WITH {_DAILY} SELECT topic, score FROM t WHERE state IN ('breaking', 'emerging') AND topic NOT LIKE 'c%'",
     "acknowledged_trends": f"WITH {_SCORED} SELECT topic, topic LIKE '%-3' AS acknowledged FROM t",
     "kept_trends": f"WITH {_SCORED} SELECT topic FROM t WHERE NOT (last_ms < now - 4320000 AND regexp_matches(topic, '[02468]$'))",

@@ -37,6 +37,12 @@ def canonical_urls(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", urls.canonical_url(u).alias("canonical"), urls.host_of(u).alias("host"), urls.is_safe(u).alias("safe"))
 
 
+def canonical_queries(spark, sf_dir):
+    """Addresses of pages with a query of each kind of pair: encoded, plus signs, a name alone, tracking in capitals, signs that forms leave."""
+    u = F.concat(F.lit("https://www.example.org/p/?q=a%20b+c&z&%55TM_x=1&ref=2&n%C3%BC=%C3%A9~*-._&page="), F.col("page_id").cast("string"), F.lit("&at="), F.url_encode(F.coalesce("url", F.lit(""))), F.lit("#top"))
+    return load(spark, sf_dir, "pages").select("page_id", urls.canonical_url(u).alias("canonical"))
+
+
 def url_ids(spark, sf_dir):
     """Pages without an id of their own: the hash of the canonical address tells them apart."""
     return load(spark, sf_dir, "pages").select("page_id", urls.stable_id(F.lit("web"), F.lit(""), F.col("url")).alias("id"))
@@ -54,14 +60,16 @@ def page_networks(spark, sf_dir):
     return networks_of(load(spark, sf_dir, "pages").select("page_id", "url"), "url", domains, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (normalized_texts, text_tokens, headlines, guessed_languages, source_languages, canonical_urls, url_ids, page_texts, page_networks)}
+QUERIES = {f.__name__: f for f in (normalized_texts, text_tokens, headlines, guessed_languages, source_languages, canonical_urls, canonical_queries, url_ids, page_texts, page_networks)}
 
 _LINE = "trim(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ''))"
 _SLUG = "substring(regexp_replace(trim(regexp_replace(replace({0}, '''', ''), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 64)"
 _COUNT = {lang: " + ".join(f"contains(t, '{m}')::INT" for m in ms) for lang, ms in text.LANGUAGE_MARKERS.items()}
 _URL = """u AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', '') AS host,
   regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/$', '') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages),
-c AS (SELECT *, list_aggregate(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_|ref|ref_src|fbclid|gclid|igshid|mc_cid|mc_eid|_hs)')), 'string_agg', '&') AS q FROM u),
+np AS (SELECT *, list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''), lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), url_decode(replace(CASE WHEN contains(p, '=') THEN substring(p, instr(p, '=') + 1) ELSE '' END, '+', ' '))]) AS named FROM u),
+c AS (SELECT *, list_aggregate(list_transform(list_filter(named, lambda p: NOT regexp_matches(p[1], '(?i)^(utm_|ref|ref_src|fbclid|gclid|igshid|mc_cid|mc_eid|_hs)')),
+  lambda p: replace(replace(replace(url_encode(p[1]) || '=' || url_encode(p[2]), '%20', '+'), '~', '%7E'), '%2A', '*')), 'string_agg', '&') AS q FROM np),
 f AS (SELECT page_id, url, host, lower(scheme) || '://' || host || path || CASE WHEN coalesce(q, '') <> '' THEN '?' || q ELSE '' END AS canonical, lower(scheme) IN ('http', 'https') AS safe FROM c)"""
 _GUESSES = f"SELECT doc_id, CASE WHEN greatest(es, en) = 0 THEN 'und' WHEN es >= en THEN 'es' ELSE 'en' END AS guess FROM (SELECT doc_id, {_COUNT['es']} AS es, {_COUNT['en']} AS en FROM (SELECT doc_id, ' ' || {NORM.format('text')} || ' ' AS t FROM documents))"
 _MARKS = ", ".join(f"('{lang}', '{w}')" for lang, ws in text.SOURCE_MARKERS.items() for w in ws)
@@ -77,6 +85,7 @@ SELECT doc_id, guess FROM documents LEFT JOIN o USING (doc_id)""",
     "headlines": f"SELECT doc_id, line, {_SLUG.format(NORM.format('line'))} AS slug FROM (SELECT doc_id, CASE WHEN length(l) > 90 THEN rtrim(substring(l, 1, 89)) || '…' ELSE l END AS line FROM (SELECT doc_id, {_LINE} AS l FROM documents))",
     "guessed_languages": _GUESSES,
     "translation_list": f"WITH g AS ({_GUESSES}) SELECT DISTINCT md5(text) AS text_md5 FROM documents JOIN g USING (doc_id) WHERE guess <> 'en' AND text NOT IN (SELECT text FROM documents WHERE doc_id % 7 = 0)",
+    "canonical_queries": "SELECT page_id, 'https://example.org/p?q=a+b+c&z=&n%C3%BC=%C3%A9%7E*-._&page=' || page_id || '&at=' || replace(replace(replace(url_encode(coalesce(url, '')), '%20', '+'), '~', '%7E'), '%2A', '*') AS canonical FROM pages",
     "canonical_urls": f"WITH {_URL} SELECT page_id, canonical, host, safe FROM f",
     "url_ids": f"""WITH {_URL} SELECT page_id, 'web:' || lower(printf('%x', (h - CASE WHEN h >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END)::BIGINT)) AS id FROM (SELECT page_id,
   list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(canonical, ''), lambda c: ascii(c)::HUGEINT)), lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM f)""",

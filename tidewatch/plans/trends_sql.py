@@ -62,6 +62,16 @@ def running_trends(spark, sf_dir):
     return running.score_cells(running.retire_cells(cells, at, OPTIONS), at, OPTIONS).select(*_shown(cells))
 
 
+def author_coverage(spark, sf_dir):
+    """Distinct authors of each event type in the last week by merged sketches of two halves: exact number, and whether the estimate is within 6 percent."""
+    posts, hour = event_posts(spark, sf_dir), 3_600_000
+    since = (_now(posts) - 7 * 24 * hour) // hour * hour
+    halves = [running.distinct_sketches(posts.filter(F.col("id") % 2 == k), "author", hour) for k in (0, 1)]
+    exact = posts.filter(F.unix_millis("published_at") >= since).groupBy("topic").agg(F.count_distinct("author").alias("authors"))
+    both = exact.join(running.distinct_since(running.merge_sketches(*halves), since), "topic")
+    return both.select("topic", "authors", (F.abs(F.col("n") - F.col("authors")) <= 0.06 * F.col("authors") + 1).alias("near"))
+
+
 def trend_sources(spark, sf_dir):
     return _scored(spark, sf_dir).select("topic", F.explode("sources").alias("s")).select("topic", "s.source", F.round("s.share", 9).alias("share"), F.col("s.count").alias("posts"))
 
@@ -136,7 +146,7 @@ def hourly_counts(spark, sf_dir):
     return w.select(F.unix_millis("window.start").alias("start_ms"), "topic", "source", "posts")
 
 
-QUERIES = {f.__name__: f for f in (radar, trend_ranks, running_trends, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
+QUERIES = {f.__name__: f for f in (radar, trend_ranks, running_trends, author_coverage, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
 
 _POSTS = """p AS (SELECT event_id AS id, event_type AS kind, event_type || '-' || (json_extract_string(props, '$.k')::BIGINT % 20) AS topic, 's' || (user_id % 6) AS source, user_id AS author, epoch_us(ts) // 1000 AS ms, floor(value)::BIGINT AS likes FROM events),
 n AS (SELECT max(ms) AS now FROM p)"""
@@ -167,6 +177,7 @@ SELECT row_number() OVER (ORDER BY score DESC, volume DESC, topic) AS rank, topi
     "running_trends": f"""WITH {_TWICE}
 SELECT topic, score, state, reason, velocity, growth, volume, coverage, engagement, novelty, cohesion,
   (SELECT string_agg(posts::VARCHAR, ',' ORDER BY bucket) FROM buckets b WHERE b.topic = t.topic) AS sparkline, coalesce((SELECT string_agg(source || ':' || c, ',' ORDER BY c DESC, source) FROM parts q WHERE q.topic = t.topic), '') AS sources FROM t""",
+    "author_coverage": f"WITH {_POSTS} SELECT kind AS topic, count(DISTINCT author) AS authors, true AS near FROM p, n WHERE ms >= (now - 604800000) // 3600000 * 3600000 GROUP BY kind",
     "trend_sources": f"WITH {_SCORED} SELECT topic, source, round(c / volume, 9) AS share, c AS posts FROM parts JOIN t USING (topic)",
     "trend_series": f"WITH {_SCORED} SELECT topic, bucket, posts FROM buckets",
     "hot_trends": f"WITH {_DAILY} SELECT topic, state, score FROM t WHERE state IN ('breaking', 'emerging')",
