@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import activity, alerts, running, trends
 from ..operators.posts import dedup_posts, event_posts, latest_ms, retain
 from ..operators.trends import TrendOptions
-from ..session import written
+from ..session import scratch_folder, written
+from ..streaming import late
 
 #: The stream covers a month, so that all times of the defaults are sixty times as long.
 OPTIONS = TrendOptions(window_ms=108_000_000, bucket_ms=7_200_000, buckets=15, baseline_ms=1_296_000_000, age_scale=60)
@@ -146,7 +147,21 @@ def hourly_counts(spark, sf_dir):
     return w.select(F.unix_millis("window.start").alias("start_ms"), "topic", "source", "posts")
 
 
-QUERIES = {f.__name__: f for f in (radar, trend_ranks, running_trends, author_coverage, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts)}
+def late_windows(spark, sf_dir):
+    """Counts by two hours of a stream in three batches: every seventh post of the first two comes with the third, along with repeated ones; late ones correct closed windows."""
+    posts, hour = event_posts(spark, sf_dir), 3_600_000
+    ends = posts.agg(F.min(F.unix_millis("published_at")).alias("lo"), F.max(F.unix_millis("published_at")).alias("hi")).first()
+    width = ((ends.hi or 0) - (ends.lo or 0)) // 3 + 1
+    third, delayed = F.floor((F.unix_millis("published_at") - F.lit(ends.lo).cast("long")) / width), F.col("id") % 7 == 0
+    folder = scratch_folder(spark, "late-windows")
+    take = late.count_windows(folder, 2 * hour, 6 * hour)
+    for k in range(3):
+        take(posts.filter((third == k) & ~delayed if k < 2 else (third == k) | delayed | (F.col("id") % 11 == 0)), k)
+        late.correct_closed(spark, folder)
+    return late.window_counts(spark, folder, 2 * hour).select("start_ms", "topic", "source", "posts", "late_posts", "closed")
+
+
+QUERIES = {f.__name__: f for f in (radar, trend_ranks, running_trends, author_coverage, trend_sources, trend_series, hot_trends, trend_points, newest_posts, alert_events, activity_rates, source_liveness, posts_per_source, posts_per_topic, author_maxima, retained, hourly_counts, late_windows)}
 
 _POSTS = """p AS (SELECT event_id AS id, event_type AS kind, event_type || '-' || (json_extract_string(props, '$.k')::BIGINT % 20) AS topic, 's' || (user_id % 6) AS source, user_id AS author, epoch_us(ts) // 1000 AS ms, floor(value)::BIGINT AS likes FROM events),
 n AS (SELECT max(ms) AS now FROM p)"""
@@ -198,5 +213,8 @@ SELECT rule_id, kind, topic, topic AS title, reason, score, volume, coverage AS
     "posts_per_topic": f"WITH {_POSTS} SELECT topic, count(*) AS posts FROM p GROUP BY topic",
     "author_maxima": f"WITH {_POSTS} SELECT author AS id, arg_min(kind, (ms, id)) AS topic, arg_min(source, (ms, id)) AS source, max(likes) AS likes, count(*) AS seen FROM p GROUP BY author",
     "retained": f"WITH {_POSTS} SELECT id, kind AS topic FROM p, n WHERE ms >= now - 604800000",
+    "late_windows": f"""WITH {_POSTS}, e AS (SELECT min(ms) AS lo, (max(ms) - min(ms)) // 3 + 1 AS w FROM p), b AS (SELECT p.*, least((ms - lo) // w, 2) AS third, id % 7 = 0 AS delayed, ms // 7200000 * 7200000 AS start_ms FROM p, e),
+m AS (SELECT max(ms) FILTER (third < 2 AND NOT delayed) - 21600000 AS mark, max(ms) - 21600000 AS last FROM b)
+SELECT start_ms, kind AS topic, source, count(*) AS posts, count(*) FILTER (delayed AND start_ms + 7200000 <= mark) AS late_posts, start_ms + 7200000 <= any_value(last) AS closed FROM b, m GROUP BY start_ms, kind, source""",
     "hourly_counts": f"WITH {_POSTS} SELECT ms // 7200000 * 7200000 AS start_ms, kind AS topic, source, count(*) AS posts FROM p GROUP BY ALL",
 }
