@@ -33,11 +33,17 @@ def _raw(frame: DataFrame, source: str, **columns: Column) -> DataFrame:
     return frame.select(*[columns.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+def _moment(seconds: Column) -> Column:
+    """A time of seconds since 1970; null outside the years 1 to 9999."""
+    inside = seconds.between(-62_135_596_800, 253_402_300_799)
+    return F.timestamp_millis((F.when(inside, seconds) * 1000).cast("long"))
+
+
 def hackernews(items: DataFrame, site: str = "https://news.ycombinator.com/item?id=") -> DataFrame:
     live = items.filter(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False)) & F.col("type").isin("story", "job"))
     return _raw(
         live, "hackernews", external_id=F.col("id"), url=F.coalesce("url", F.concat(F.lit(site), F.col("id").cast("string"))), title=F.col("title"), body=strip_html(F.col("text")),
-        author=F.col("by"), published_at=F.timestamp_seconds("time"), score=F.col("score"), comments=F.col("descendants"), origin=F.lit("api"),
+        author=F.col("by"), published_at=_moment(F.col("time")), score=F.col("score"), comments=F.col("descendants"), origin=F.lit("api"),
     )
 
 
@@ -55,7 +61,7 @@ def reddit(listings: DataFrame) -> DataFrame:
     p = listings.select(F.explode("data.children").alias("c")).select("c.data.*").filter(~F.coalesce("over_18", F.lit(False)))
     return _raw(
         p, "reddit", external_id=F.col("id"), url=F.concat(F.lit("https://www.reddit.com"), "permalink"), title=F.col("title"), body=F.substring("selftext", 1, 1500), author=F.col("author"),
-        published_at=F.timestamp_millis((F.col("created_utc") * 1000).cast("long")), score=F.col("score"), comments=F.col("num_comments"), tags=F.array_compact(F.array("subreddit", "link_flair_text")), origin=F.col("subreddit"),
+        published_at=_moment(F.col("created_utc")), score=F.col("score"), comments=F.col("num_comments"), tags=F.array_compact(F.array("subreddit", "link_flair_text")), origin=F.col("subreddit"),
     )
 
 

@@ -5,7 +5,7 @@ grows with topics: their states and cells. All tables of a batch are seen at onc
 committed, and a batch that is run again does nothing new.
 
 Tables: posts, recent (those of the window), topics (states), cells, merged (topic, merged), trends,
-points, events, fired, reports.
+points, events, fired, errors (source, record, message, at_ms), reports.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..operators.store import VersionedTables
 from ..operators.trends import TrendOptions, age_ms
 from ..session import live_folders, release_since, written
 from ..sources.normalize import normalize_items
+from ..sources.records import told_apart
 
 RETENTION_DAYS, GRAIN_MS, KEEP_POINTS = 30.0, 1000, 720
 
@@ -52,7 +53,9 @@ def ingest_into(
     folder: str, now_ms: Callable[[], int], rules: DataFrame, options: TrendOptions = TrendOptions(), aliases: DataFrame | None = None, names: DataFrame | None = None,
     days: float = RETENTION_DAYS, grain_ms: int = GRAIN_MS, parts: int = 64, listener: Callable[[DataFrame, DataFrame], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """For ingest_stream: takes up a batch of raw records below the folder.
+    """For ingest_stream: takes up a batch of raw records below the folder, failed ones among them (see records.py) or not.
+
+    A record that can't be taken up goes to errors and keeps no other back.
 
     A post that is stored and whose topic is alive keeps it, and its metrics rise; the others join a topic or
     open one. Then twins are merged, topics without posts within retention leave, all topics are scored,
@@ -77,7 +80,10 @@ def ingest_into(
             return written(rows, f"ingest-{label}")
 
         tie = F.xxhash64("title", "body", "url")
-        raw = normalize_items(batch, now, aliases, hashes=False).withColumn("tie_", tie)
+        good, failed = told_apart(batch)
+        made.append("errors", failed.withColumn("at_ms", F.lit(now)))
+        errors = made.added("errors").count()
+        raw = normalize_items(good, now, aliases, hashes=False).withColumn("tie_", tie)
         items = kept(dedup_posts(raw, tie="tie_").drop("tie_"), "items")
         stored = made.stored("posts", items)
         links = made.stored("merged")
@@ -131,8 +137,8 @@ def ingest_into(
         made.append("events", alerts.evaluate_rules(rules, scored, now, fired, recent))
         made.replace("fired", alerts.fired_after(fired, made.added("events"), now))
         known = 0 if stored is None else before.count()
-        n = items.agg(F.sum("seen").alias("fetched"), F.count("*").alias("ids"))
-        made.append("reports", n.select(F.lit(now).alias("at_ms"), F.coalesce("fetched", F.lit(0)).cast("long").alias("fetched"), (F.col("ids") - known).alias("inserted"), (F.coalesce("fetched", F.lit(0)) - F.col("ids") + known).cast("long").alias("duplicates")))
+        n = items.agg(F.coalesce(F.sum("seen"), F.lit(0)).cast("long").alias("seen"), F.count("*").alias("ids"))
+        made.append("reports", n.select(F.lit(now).alias("at_ms"), (F.col("seen") + errors).alias("fetched"), (F.col("ids") - known).alias("inserted"), (F.col("seen") - F.col("ids") + known).alias("duplicates"), F.lit(errors).cast("long").alias("errors")))
         release_since(spark, scratch)
 
     return run
