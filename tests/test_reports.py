@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scores, text, urls
-from tidewatch.operators import alerts, entities, fingerprints, posts as P, trends
+from tidewatch.operators import activity, alerts, entities, fingerprints, posts as P, trends
 from tidewatch.operators.trends import TrendOptions
 from tidewatch.sources import flatten, normalize
 from tidewatch.operators.store import VersionedTables
@@ -202,3 +202,47 @@ def test_ingest_end_to_end(spark, stream, tmp_path):
     assert (store.read("events", 0).count(), store.read("events", 1).count()) == (1, 1) and told == [(2, 1), (2, 0)]
     assert [(r.fetched, r.inserted, r.duplicates) for r in store.read("reports").orderBy("inserted").collect()] == [(4, 2, 2), (7, 7, 0)]
     assert trend_series(store).count() == 2
+
+
+def test_activity_by_ingest_time(spark):
+    none = spark.createDataFrame([], "source string, topic string, published_at timestamp, ingested_at timestamp, body string")
+    some = spark.createDataFrame([("a", "t", NOW - 60_000, "harbour news"), ("b", "t", NOW - 7_200_000, "harbour")], "source string, topic string, ms long, body string").withColumn("published_at", F.timestamp_millis("ms")).withColumn("ingested_at", F.timestamp_millis(F.col("ms") + 20_000))
+    trend = spark.createDataFrame([], "topic string, title string, state string, score long, velocity double, coverage long, volume long")
+    config = lambda *rows: spark.createDataFrame(list(rows), "source string, enabled boolean, last_error string")
+    fine = config(("a", True, None), ("b", False, "off"))
+
+    def shot(posts, configs=fine, **more):
+        return activity.activity_snapshot(posts, F.col("body"), trend, configs, NOW, **more).first()
+
+    for age, level, seconds in ((20_000, "live", None), (300_000, "recent", None), (1_800_000, "stale", 1800), (7_200_000, "quiet", None)):
+        one = shot(some, last_ingest_ms=NOW - age)
+        assert (one.level, one.note.code, one.note.seconds) == (level, level, seconds)
+    one = shot(some, alerts=3)
+    assert (one.last_ingest_ms, one.level, one.totals.sources, one.totals.alerts, one.first_error) == (NOW - 40_000, "live", 1, 3, None)
+    assert [(k.word, k.posts, k.sources, k.topics) for k in one.keywords] == [("harbour", 2, 2, 1), ("news", 1, 1, 1)]
+    one = shot(none)
+    assert (one.level, one.note.code, one.last_ingest_ms, one.keywords, one.highlights) == ("quiet", "no_data", None, [], [])
+    assert shot(none, last_ingest_ms=NOW).note.code == "live"
+    one = shot(some, config(("b", True, "HTTP 403"), ("a", True, "HTTP 503")))
+    assert (one.note.code, one.note.sources, one.first_error) == ("all_sources_failed", 2, "HTTP 503")
+    assert shot(none, config(("x", True, "E"), ("y", True, None))).first_error == "E" and shot(some, fine.limit(0)).note.code == "live"
+
+
+def test_members_of_lists(spark):
+    posts = spark.createDataFrame([(1, "web", "@Ana", "web:7", ["ai"]), (2, "hn", "ana", None, None), (3, "hn", None, "hn:x", ["AI", "ai"])], "id long, source string, handle string, author_id string, entities array<string>")
+    of = lambda *members: sorted(r.id for r in P.posts_of_list(posts, spark.createDataFrame([("l", m) for m in members], "list string, member string")).collect())
+    assert of("ANA") == [1, 2] and of("hn:@ana") == of("hn:ana", "HN:Ana") == [2] and of("web:7") == [1] and of("ai", "@ana") == [1, 2, 3] and of("hn:x", "AI") == [1, 3] and of("nobody", None) == []
+    bare = posts.select("id", "handle")
+    assert [r.id for r in P.posts_of_list(bare, spark.createDataFrame([("l", "@ana")], "list string, member string")).orderBy("id").collect()] == [1, 2]
+
+
+def test_limit_of_a_feed(spark):
+    item = lambda i: f"<item><title>T{i}</title><link>http://a.example/{i}</link></item>"
+    rss = f"<rss><channel><title>A</title>{''.join(map(item, range(30)))}</channel></rss>"
+    one = f"<rss><channel>{item(99)}<item><title>none</title></item></channel></rss>"
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>E</title><id>e1</id><link rel="alternate" href="http://b.example/1"/><updated>2025-01-01T00:00:00Z</updated></entry></feed>'
+    docs = spark.createDataFrame([("f1", rss), ("f2", one), ("f3", atom), ("f4", "no feed"), ("f5", "<a/>"), ("f6", None)], "feed_url string, value string")
+    got = flatten.CONNECTORS["feeds"](docs).select("origin", "title", "published_at").collect()
+    assert [r.title for r in got if r.origin == "f1"] == [f"T{i}" for i in range(25)]
+    assert sorted((r.origin, r.title) for r in got if r.origin != "f1") == [("f2", "T99"), ("f3", "E")]
+    assert {r.published_at for r in got if r.origin != "f3"} == {None} and flatten.feeds(docs, most=2).count() == 4

@@ -41,11 +41,24 @@ def source_liveness(posts: DataFrame, configs: DataFrame, now_ms: int, hour_ms:
     return configs.join(recent, "source", "left").withColumn("recent", F.coalesce("recent", F.lit(0))).withColumn("ok", F.col("last_error").isNull())
 
 
-def activity_note(liveness: DataFrame, rate: DataFrame) -> DataFrame:
-    """One row with the note's code: all sources failed, no data, or the level."""
-    health = liveness.agg(F.count_if("enabled").alias("enabled"), F.count_if(F.col("enabled") & ~F.col("ok")).alias("failing"))
+def ingest_level(last_ingest_ms: Column, now_ms: int, scale: int = 1) -> Column:
+    """How fresh the last ingest is; quiet without one."""
+    return F.coalesce(level_of((F.lit(now_ms) - last_ingest_ms) / 1000 / scale), F.lit("quiet"))
+
+
+def activity_note(liveness: DataFrame, rate: DataFrame, now_ms: int) -> DataFrame:
+    """rate (one row: posts of the window, last_ingest_ms, level) with the note: its code, failing sources where all enabled ones fail, seconds where stale.
+
+    first_error is the error of the failing source with most recent posts, ties by name.
+    """
+    failing = F.col("enabled") & ~F.col("ok")
+    first = F.min_by(F.when(failing, F.col("last_error")), F.when(failing, F.struct((-F.col("recent")).alias("order"), F.col("source"))))
+    health = liveness.agg(F.count_if("enabled").alias("enabled"), F.count_if(failing).alias("failing"), first.alias("first_error"))
     both = rate.crossJoin(F.broadcast(health))  # one row each
-    return both.withColumn("note", F.when((F.col("enabled") > 0) & (F.col("failing") == F.col("enabled")), "all_sources_failed").when(F.col("posts") == 0, "no_data").otherwise(F.col("level")))
+    all_failed = (F.col("enabled") > 0) & (F.col("failing") == F.col("enabled"))
+    code = F.when(all_failed, "all_sources_failed").when((F.col("posts") == 0) & F.col("last_ingest_ms").isNull(), "no_data").otherwise(F.col("level"))
+    seconds = F.greatest(F.lit(1), F.floor((F.lit(now_ms) - F.col("last_ingest_ms")) / 1000 + 0.5)).cast("long")
+    return both.withColumn("note", F.struct(code.alias("code"), F.when(all_failed, F.col("failing")).alias("sources"), F.when(code == "stale", seconds).alias("seconds")))
 
 
 def shares(posts: DataFrame, key: str) -> DataFrame:
@@ -67,21 +80,30 @@ def keyword_weights(trends: DataFrame, limit: int | None = 18) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
-def activity_snapshot(posts: DataFrame, text: Column, trends: DataFrame, configs: DataFrame, now_ms: int, scale: int = 1, scan_ms: int = SCAN_MS) -> DataFrame:
-    """One row: time, level, note, rates, totals, hot keywords, sources by recent posts, and highlights.
+def activity_snapshot(
+    posts: DataFrame, text: Column, trends: DataFrame, configs: DataFrame, now_ms: int, scale: int = 1, scan_ms: int = SCAN_MS, last_ingest_ms: int | None = None, alerts: int = 0,
+) -> DataFrame:
+    """One row: time, level, note, last ingest, newest post, rates, totals, hot keywords, sources by recent posts, highlights, first error.
 
-    Only posts of the last scan_ms count for rates, keywords and sources. scale lengthens minutes and hours.
+    Level and note tell how long ago the last ingest was: last_ingest_ms, or else the newest ingested_at of the posts if they
+    have it. Only posts of the last scan_ms count for rates, keywords and sources. scale lengthens minutes and hours.
+    configs: (source, enabled, last_error) and, if known, last_ok_at.
     """
     inside = posts.filter(F.col("published_at") >= moment(now_ms - scan_ms * scale))
-    rate = rates(inside, now_ms, scale)
+    seen = F.unix_millis(F.max("ingested_at")) if "ingested_at" in posts.columns else F.lit(None).cast("long")
+    totals = posts.agg(F.count("*").alias("items"), F.count_distinct("topic").alias("clusters"), F.coalesce(F.lit(last_ingest_ms).cast("long"), seen).alias("last_ingest_ms")).crossJoin(trends.agg(F.count("*").alias("trends")))
+    rate = rates(inside, now_ms, scale).drop("level").crossJoin(totals).withColumn("level", ingest_level(F.col("last_ingest_ms"), now_ms, scale))
     live = source_liveness(inside, configs, now_ms, 3_600_000 * scale)
-    note = activity_note(live, rate.select("posts", "level"))
+    one = activity_note(live, rate, now_ms)
     listed = lambda rows, order, name: rows.agg(F.array_sort(F.collect_list(F.struct(*order, *rows.columns))).alias(name))  # noqa: E731  short reports
-    words = listed(hot_keywords(inside, text).select("word", "posts"), [(-F.col("posts")).alias("order")], "keywords")
-    sources = listed(live.select("source", "recent", "ok", "enabled"), [(-F.col("recent")).alias("order")], "sources")
-    best = highlights(trends).select("topic", "state", "score", "velocity", "coverage", "volume")
+    words = listed(hot_keywords(inside, text).select("word", "posts", "sources", "topics"), [(-F.col("posts")).alias("o1"), (-F.col("sources")).alias("o2")], "keywords")
+    known = [c for c in ("last_ok_at", "last_error") if c in live.columns]
+    sources = listed(live.select("source", "recent", "ok", "enabled", *known), [(-F.col("recent")).alias("order")], "sources")
+    shown = [c for c in ("title",) if c in trends.columns]
+    best = highlights(trends).select("topic", *shown, "state", "score", "velocity", "coverage", "volume")
     best = listed(best, [(-F.col("score")).alias("o1"), (-F.col("volume")).alias("o2")], "highlights")
-    totals = posts.agg(F.count("*").alias("items"), F.count_distinct("topic").alias("clusters")).crossJoin(trends.agg(F.count("*").alias("trends")))
-    one = rate.select("newest", "level", F.struct("last_minute", "last_five_minutes", "last_hour").alias("rate")).crossJoin(note.select("note"))
-    one = one.crossJoin(totals.select(F.struct("items", "clusters", "trends").alias("totals"))).crossJoin(words).crossJoin(sources).crossJoin(best)  # one row each
-    return one.select(F.lit(now_ms).alias("at_ms"), "*")
+    one = one.select(
+        F.lit(now_ms).alias("at_ms"), "level", "note", "last_ingest_ms", "newest", F.struct("last_minute", "last_five_minutes", "last_hour").alias("rate"),
+        F.struct("items", "clusters", "trends", F.lit(alerts).cast("long").alias("alerts"), F.col("enabled").alias("sources")).alias("totals"), "first_error",
+    )
+    return one.crossJoin(words).crossJoin(sources).crossJoin(best)  # one row each

@@ -124,11 +124,24 @@ def entity_timeline(posts: DataFrame, entity: str, limit: int | None = None) ->
     return feed(posts, FeedQuery(entities=(entity,), limit=limit))
 
 
-def posts_of_list(posts: DataFrame, members: DataFrame) -> DataFrame:
-    """Posts by the members (list, handle) of user lists, with the list; handles match without case and a leading @."""
-    bare = lambda c: F.lower(F.regexp_replace(c, "^@", ""))
-    named = members.select("list", bare(F.col("handle")).alias("handle_")).distinct()
-    return posts.withColumn("handle_", bare(F.col("handle"))).join(named, "handle_").drop("handle_")
+def posts_of_list(posts: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """Posts by or about the members (list, member) of user lists, with the list, each post once a list.
+
+    A member is source:author, a handle with or without a leading @, or the slug of an entity, whatever the case.
+    posts have a unique key, handle, and source, author_id and entities where they are known.
+    """
+    folded = lambda c: F.lower(F.regexp_replace(F.trim(c), "^@", ""))
+    handle = folded(F.col("handle"))
+    names = [F.array(handle)]
+    if "source" in posts.columns:
+        names.append(F.array(F.concat_ws(":", F.lower("source"), handle)))
+    if "author_id" in posts.columns:
+        names.append(F.array(F.lower("author_id")))
+    if "entities" in posts.columns:
+        names.append(F.transform(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.lower(e)))
+    named = members.select("list", F.regexp_replace(folded(F.col("member")), ":@", ":").alias("name_")).distinct()
+    found = posts.select(key, F.explode(F.array_distinct(F.array_compact(F.concat(*names)))).alias("name_")).join(named, "name_").select("list", key).distinct()
+    return posts.join(found, key)
 
 
 def moment(ms: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import STOP_WORDS, detect_language
+from ..functions.text import STOP_WORDS, detect_language, detect_source_language
 from ..operators import activity, entities, fingerprints
 from ..operators.posts import FeedQuery, document_posts, feed, last_write_wins, search, top_tokens, upsert_posts
 from ..operators.store import VersionedTables
@@ -117,7 +117,16 @@ def translation_list(spark, sf_dir):
     return entities.untranslated(texts, cache, detect_language(F.col("text")), "en").select(F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-_ALL = (feed_recent, feed_bookmarked, search_posts, conversation_topics, hot_keywords, keyword_counts, post_tokens, post_keywords, simhashes, language_centroids, post_entities, entity_mentions, archive_upsert, upsert_partitions, archive_trends, ingest_counts, translation_list)
+def translation_batches(spark, sf_dir):
+    """Texts that aren't known to be English, each with whether its batch is within sixteen and all other batches of its part but one are full."""
+    docs = load(spark, sf_dir, "documents")
+    todo = entities.untranslated(docs.select("text"), docs.filter("doc_id % 7 = 0").select("text"), detect_source_language(F.col("text")), "en")
+    dealt = entities.translation_batches(todo, 16)
+    sizes = dealt.groupBy("part", "batch").agg(F.count("*").alias("n")).groupBy("part").agg(((F.max("n") <= 16) & (F.count_if(F.col("n") < 16) <= 1)).alias("full"))
+    return dealt.join(sizes, "part").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "full")
+
+
+_ALL = (feed_recent, feed_bookmarked, search_posts, conversation_topics, hot_keywords, keyword_counts, post_tokens, post_keywords, simhashes, language_centroids, post_entities, entity_mentions, archive_upsert, upsert_partitions, archive_trends, ingest_counts, translation_list, translation_batches)
 QUERIES = {f.__name__: f for f in _ALL}
 
 NORM = "trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(strip_accents({0})), 'https?://[^\\s]+', ' ', 'g'), '‘’“”', ''''''''''), '[^a-z0-9''\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"

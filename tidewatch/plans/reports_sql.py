@@ -93,11 +93,15 @@ def source_health(spark, sf_dir):
 
 
 def activity_report(spark, sf_dir):
-    posts = _topics(spark, sf_dir)
+    """Posts are ingested every six hours, the last ones not yet."""
+    posts, cycle = _topics(spark, sf_dir), 21_600_000
     now = _now(posts)
-    one = activity.activity_snapshot(posts, F.col("topic"), trends.score_topics(posts, now, OPTIONS), _configs(posts), now, 60)
+    due = F.unix_millis("published_at") - F.unix_millis("published_at") % cycle + cycle
+    posts = posts.withColumn("ingested_at", F.when(due <= now, F.timestamp_millis(due)))
+    one = activity.activity_snapshot(posts, F.col("topic"), trends.score_topics(posts, now, OPTIONS), _configs(posts), now, 60, alerts=7)
     return one.select(
-        "at_ms", "level", "note", "rate.last_minute", "rate.last_hour", "totals.*", F.array_join(F.transform("keywords", lambda k: F.concat_ws(":", k["word"], k["posts"])), ",").alias("keywords"),
+        "at_ms", "level", F.col("note.code").alias("note"), "note.seconds", "last_ingest_ms", "first_error", "rate.last_minute", "rate.last_hour", "totals.items", "totals.clusters", "totals.trends", "totals.alerts", F.col("totals.sources").alias("enabled_sources"),
+        F.array_join(F.transform("keywords", lambda k: F.concat_ws(":", k["word"], k["posts"], k["sources"], k["topics"])), ",").alias("keywords"),
         F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["recent"])), ",").alias("sources"), F.array_join(F.transform("highlights", lambda h: h["topic"]), ",").alias("highlights"),
     )
 
@@ -163,8 +167,9 @@ def entity_feed(spark, sf_dir):
 
 
 def listed_posts(spark, sf_dir):
-    members = spark.createDataFrame([("one", "u3"), ("one", "@U4"), ("two", "U3"), ("two", "nobody")], "list string, handle string")
-    return posts_of_list(_tagged(spark, sf_dir), members).select("list", "doc_id")
+    """Lists of handles, of authors at a source, and of entities."""
+    rows = [("one", "u3"), ("one", "@U4"), ("two", "U3"), ("two", "nobody"), ("three", "src1:@u5"), ("three", "SRC2:U6"), ("four", "E7"), ("four", "u7")]
+    return posts_of_list(_tagged(spark, sf_dir), spark.createDataFrame(rows, "list string, member string"), "doc_id").select("list", "doc_id")
 
 
 def entity_list(spark, sf_dir):
@@ -216,10 +221,12 @@ FROM t JOIN best USING (topic) JOIN e USING (topic) LEFT JOIN l USING (topic)"""
     "source_health": f"WITH {_POSTS} SELECT count(DISTINCT source) FILTER (source <> 's4') AS enabled, count(DISTINCT source) FILTER (source NOT IN ('s4', 's5')) AS ok, round(count(DISTINCT source) FILTER (source NOT IN ('s4', 's5')) / count(DISTINCT source) FILTER (source <> 's4'), 9) AS ratio FROM p",
     "activity_report": f"""WITH {_SCORED}, i AS (SELECT p.* FROM p, n WHERE ms >= now - 1296000000),
 w AS (SELECT kind AS word, count(*) AS posts, count(DISTINCT source) AS so FROM i WHERE length(kind) >= 4 GROUP BY kind),
-v AS (SELECT source, (SELECT count(*) FROM i, n WHERE i.source = q.source AND ms >= now - 216000000) AS recent FROM (SELECT DISTINCT source FROM p) q)
-SELECT (SELECT now FROM n) AS at_ms, 'live' AS level, 'live' AS note, (SELECT count(*) FROM i, n WHERE ms >= now - 3600000) AS last_minute, (SELECT count(*) FROM i, n WHERE ms >= now - 216000000) AS last_hour,
-  (SELECT count(*) FROM p) AS items, (SELECT count(DISTINCT topic) FROM p) AS clusters, (SELECT count(*) FROM t) AS trends,
-  (SELECT string_agg(word || ':' || posts, ',' ORDER BY posts DESC, word) FROM (SELECT word, count(*) AS posts FROM (SELECT DISTINCT id, unnest(CASE WHEN length(topic) >= 4 THEN [topic] ELSE [] END) AS word, source FROM i) GROUP BY word ORDER BY posts DESC, count(DISTINCT source) DESC, word LIMIT 12)) AS keywords,
+v AS (SELECT source, (SELECT count(*) FROM i, n WHERE i.source = q.source AND ms >= now - 216000000) AS recent FROM (SELECT DISTINCT source FROM p) q),
+ingested AS (SELECT max(ms // 21600000 * 21600000 + 21600000) FILTER (ms // 21600000 * 21600000 + 21600000 <= now) AS last FROM p, n),
+freshness AS (SELECT last, (now - last) / 1000.0 AS age, CASE WHEN last IS NULL THEN 'quiet' WHEN now - last <= 5400000 THEN 'live' WHEN now - last <= 36000000 THEN 'recent' WHEN now - last <= 216000000 THEN 'stale' ELSE 'quiet' END AS level FROM ingested, n)
+SELECT (SELECT now FROM n) AS at_ms, (SELECT level FROM freshness) AS level, (SELECT level FROM freshness) AS note, (SELECT CASE WHEN level = 'stale' THEN greatest(1, floor(age + 0.5))::BIGINT END FROM freshness) AS seconds, (SELECT last FROM freshness) AS last_ingest_ms, (SELECT max('timeout') FROM v WHERE source = 's5') AS first_error, (SELECT count(*) FROM i, n WHERE ms >= now - 3600000) AS last_minute, (SELECT count(*) FROM i, n WHERE ms >= now - 216000000) AS last_hour,
+  (SELECT count(*) FROM p) AS items, (SELECT count(DISTINCT topic) FROM p) AS clusters, (SELECT count(*) FROM t) AS trends, 7::BIGINT AS alerts, (SELECT count(*) FROM v WHERE source <> 's4') AS enabled_sources,
+  (SELECT string_agg(concat_ws(':', word, posts, so, tp), ',' ORDER BY posts DESC, so DESC, word) FROM (SELECT word, count(*) AS posts, count(DISTINCT source) AS so, count(DISTINCT topic) AS tp FROM (SELECT DISTINCT id, unnest(CASE WHEN length(topic) >= 4 THEN [topic] ELSE [] END) AS word, source, topic FROM i) GROUP BY word ORDER BY posts DESC, count(DISTINCT source) DESC, word LIMIT 12)) AS keywords,
   (SELECT string_agg(source || ':' || recent, ',' ORDER BY recent DESC, source) FROM v) AS sources,
   (SELECT string_agg(topic, ',' ORDER BY score DESC, volume DESC, topic) FROM (SELECT * FROM t WHERE state <> 'quiet' ORDER BY score DESC, volume DESC, topic LIMIT 5)) AS highlights""",
     "upserted_points": f"""WITH {_POSTS}, m AS (SELECT topic, ms // 60000 * 60000 AS minute_ms, count(*) FILTER (id % 4 > 0) AS old, count(*) FILTER (id % 4 < 3) AS new FROM p GROUP BY ALL)
@@ -240,7 +247,8 @@ SELECT source || ':' || external_id AS id, external_id, token AS url, title, md5
     "topic_feed": "SELECT doc_id FROM documents WHERE lang = 'en' AND (source = 'src1' OR doc_id % 9 = 4)",
     "watched_feed": "SELECT doc_id FROM documents WHERE doc_id % 9 = 2 OR lang = 'fr'",
     "entity_feed": "SELECT doc_id FROM documents WHERE doc_id % 9 = 7",
-    "listed_posts": "SELECT l AS list, doc_id FROM documents JOIN (VALUES ('one', 3), ('one', 4), ('two', 3)) m(l, r) ON doc_id % 11 = r",
+    "listed_posts": """SELECT l AS list, doc_id FROM documents JOIN (VALUES ('one', 3), ('one', 4), ('two', 3)) m(l, r) ON doc_id % 11 = r UNION ALL SELECT 'three', doc_id FROM documents WHERE source = 'src1' AND doc_id % 11 = 5 OR source = 'src2' AND doc_id % 11 = 6
+UNION ALL SELECT 'four', doc_id FROM documents WHERE doc_id % 9 = 7 OR doc_id % 11 = 7""",
     "entity_list": f"WITH {_HIT}, c AS (SELECT slug, CASE slug WHEN 'tion' THEN 'The Tion' WHEN 'und' THEN 'Und' ELSE slug END AS name, count(*) AS posts, slug = 'und' AS watch FROM m GROUP BY slug) SELECT * FROM c WHERE contains(lower(name), 't')",
     "ingest_totals": "SELECT count(*) AS fetched, count(*) FILTER (doc_id % 3 <> 0) AS inserted, count(*) FILTER (doc_id % 3 = 0) AS duplicates, 0::BIGINT AS errors, (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM documents) AS touched FROM documents",
 }

@@ -93,3 +93,4 @@ SELECT doc_id, guess FROM documents LEFT JOIN o USING (doc_id)""",
     "page_networks": f"""WITH {_URL}, n(domain, network) AS (VALUES ('example.com', 'com'), ('example.org', 'org'), ('blog.ththth.example.org', 'blog'), ('ample.net', 'none'))
 SELECT page_id, domain, network FROM (SELECT page_id, domain, network, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC) AS k FROM f JOIN n ON host = domain OR ends_with(host, '.' || domain)) WHERE k = 1""",
 }
+ORACLES["translation_batches"] = f"WITH g AS ({ORACLES['source_languages']}) SELECT DISTINCT md5(text) AS text_md5, true AS full FROM documents JOIN g USING (doc_id) WHERE (guess IS NULL OR guess <> 'en') AND text NOT IN (SELECT text FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL)"

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import squeeze_tags, strip_html
 
@@ -24,6 +25,7 @@ SCHEMAS = {
     "mastodon": "id string, url string, content string, language string, created_at string, account struct<acct:string>, favourites_count long, reblogs_count long, replies_count long, tags array<struct<name:string>>, instance string, _corrupt string",
     "github": "items array<struct<id:long,full_name:string,html_url:string,description:string,language:string,topics:array<string>,stargazers_count:long,open_issues_count:long,created_at:string,owner:struct<login:string>>>, _corrupt string",
     "releases": "repo string, tag_name string, name string, body string, html_url string, prerelease boolean, published_at string, author struct<login:string>, _corrupt string",
+    "feeds": "feed_url string, value string, _corrupt string",
 }
 
 
@@ -102,7 +104,7 @@ RSS_ITEM = "title string, link string, guid string, description string, pubDate
 ATOM_ENTRY = "title string, id string, summary string, content string, published string, updated string, link array<struct<_href:string,_rel:string>>, category array<struct<_term:string>>, author struct<name:string>"
 
 
-def rss(items: DataFrame, feed_url: str, now: Column) -> DataFrame:
+def rss(items: DataFrame, feed_url: str | Column, now: Column) -> DataFrame:
     """Items read by the XML source with rowTag item."""
     return _raw(
         items, "rss", external_id=F.coalesce("guid", "link"), url=F.trim("link"), title=F.trim("title"), body=squeeze_tags(F.col("description"), 2000), author=F.col("creator"),
@@ -110,7 +112,7 @@ def rss(items: DataFrame, feed_url: str, now: Column) -> DataFrame:
     )
 
 
-def atom(entries: DataFrame, feed_url: str, now: Column) -> DataFrame:
+def atom(entries: DataFrame, feed_url: str | Column, now: Column) -> DataFrame:
     """Entries read by the XML source with rowTag entry; the alternate link counts."""
     link = F.get(F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate")), F.lit(0))["_href"]
     return _raw(
@@ -119,8 +121,30 @@ def atom(entries: DataFrame, feed_url: str, now: Column) -> DataFrame:
     )
 
 
+def _struct(columns: str) -> str:
+    """A struct type of columns written as name type, name type."""
+    return "struct<" + StructType.fromDDL(columns).simpleString()[7:]
+
+
+#: Entries that a feed gives at most, the first ones of its document.
+FEED_LIMIT = 25
+
+
+def feeds(documents: DataFrame, now: Column | None = None, most: int = FEED_LIMIT) -> DataFrame:
+    """Whole feeds (feed_url, value: the XML) of either dialect, the first `most` entries of each; entries without a time get now.
+
+    A document that is no feed gives no posts.
+    """
+    schema = f"channel struct<item:array<{_struct(RSS_ITEM)}>>, entry array<{_struct(ATOM_ENTRY)}>"
+    at = now if now is not None else F.lit(None).cast("timestamp")
+    read = documents.select("feed_url", F.from_xml("value", schema, {"mode": "PERMISSIVE", "attributePrefix": "_", "ignoreNamespace": "true"}).alias("f"))
+    entries = lambda c: read.select("feed_url", F.explode(F.slice(c, 1, most)).alias("e")).select("feed_url", "e.*")
+    both = rss(entries(F.col("f.channel.item")), F.col("feed_url"), at).unionByName(atom(entries(F.col("f.entry")), F.col("feed_url"), at))
+    return both.filter("trim(url) <> ''")
+
+
 #: name -> flattening function; further sources are registered by adding to it.
-CONNECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"hackernews": hackernews, "bluesky": bluesky, "reddit": reddit, "mastodon": mastodon, "github": github, "releases": releases}
+CONNECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"hackernews": hackernews, "bluesky": bluesky, "reddit": reddit, "mastodon": mastodon, "github": github, "releases": releases, "feeds": feeds}
 
 
 def read_landed(spark: SparkSession, source: str, path: str) -> DataFrame:
