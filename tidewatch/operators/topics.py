@@ -6,6 +6,9 @@ entities and simhash; a topic has topic, keywords, entities, centroid and last_s
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import jaccard, simhash_similarity
@@ -221,31 +224,110 @@ def open_topics(posts: DataFrame, rounds: int = 4, join_at: float = JOIN_AT, act
     return found
 
 
-def twin_pairs(topics: DataFrame, merge_at: float = MERGE_AT) -> DataFrame:
-    """(a, b, score): pairs of topics that score merge_at or more, a < b.
+def _reach(merge_at: float, base: float) -> int:
+    """Bits in which two centroids may differ for topics whose words and entities give `base` to score merge_at; below 0 none."""
+    return math.floor(64 * (1 - (merge_at - base) / 0.25) + 1e-6)
+
+
+def _bands(key: tuple, differing: int, most: int = 8) -> list[tuple]:
+    """(*key, band, shift, mask): spans of bits of which two hashes that differ in so many share one; one span of no bits beyond `most`."""
+    if differing < 0:
+        return []
+    n = differing + 1
+    if n > most:
+        return [(*key, 0, 0, 0)]
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(*key, i, lo, (1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+
+
+#: Classes that a block may hold before finer blocks take its place.
+LARGE_BLOCK = 256
+
+
+def _class_pairs(nodes: DataFrame, merge_at: float, large: int) -> DataFrame:
+    """Distinct (a, b), a < b: classes that may hold twins.
+
+    Without a common entity twins have equal keywords; with one they have a keyword in common too. So classes meet by all
+    their keywords, or by a keyword and an entity. Where more than `large` classes meet, finer blocks find the same twins: two keywords
+    and the entity, or, as one common keyword leaves little room, the entity, both sizes and a span of the centroid's bits
+    in which the two must agree.
+    """
+    spark, bits = nodes.sparkSession, "shiftrightunsigned(centroid, shift) & mask"
+    sized = nodes.withColumn("size", F.least(F.size("keywords"), F.lit(TOPIC_KEYWORDS)))
+    whole = nodes.filter("size(keywords) > 0").select("class", "centroid", F.xxhash64(F.array_join("keywords", "\n")).alias("block"))
+    both = sized.select("class", "centroid", "size", "keywords", F.explode("keywords").alias("k"), "entities").withColumn("e", F.explode("entities")).drop("entities")
+    both = both.withColumn("block", F.xxhash64("k", "e"))
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of small and of large blocks; few rows of a block leave each task."""
+        held = rows.groupBy("block", "class").count().groupBy("block").agg((F.count("*") > large).alias("large"))
+        told = rows.join(held, "block")
+        return told.filter("NOT large"), told.filter("large")
+
+    few, many = split(whole)
+    rooms = spark.createDataFrame(_bands((), _reach(merge_at, 0.4)) or [(0, 0, 0)], "band int, shift int, mask long")
+    any_side = F.lit(0).alias("side")
+    keys = [few.select("class", "block", any_side), many.crossJoin(F.broadcast(rooms)).select("class", F.xxhash64("block", "band", F.expr(bits)).alias("block"), any_side)]  # eight rows at most
+    few, many = split(both)
+    sizes = range(1, TOPIC_KEYWORDS + 1)
+    made = [row for p in sizes for q in sizes for row in _bands((p, min(p, q), max(p, q)), _reach(merge_at, 0.35 + 0.4 / (p + q - 1)))]
+    rooms = spark.createDataFrame(made, "size int, low int, high int, band int, shift int, mask long")
+    side = F.when(F.col("low") == F.col("high"), 0).when(F.col("size") == F.col("low"), 1).otherwise(2)  # of unequal sizes each meets the other only
+    second = many.withColumn("other", F.explode("keywords")).filter("other <> k")
+    keys += [
+        few.select("class", "block", any_side), second.select("class", F.xxhash64(F.least("k", "other"), F.greatest("k", "other"), "e").alias("block"), any_side),
+        many.join(F.broadcast(rooms), "size").select("class", F.xxhash64("block", "low", "high", "band", F.expr(bits)).alias("block"), side.alias("side")),  # rows by sizes alone
+    ]
+    blocks = written(reduce(DataFrame.union, keys).distinct(), "twin-blocks")
+    other = blocks.select("block", F.col("class").alias("b"), F.col("side").alias("other"))
+    pairs = blocks.withColumnRenamed("class", "a").join(other, "block").filter("a < b AND (side = 0 OR side <> other)").select("a", "b").distinct()
+    found = written(pairs, "class-pairs")
+    release(blocks)
+    return found
+
+
+def twin_links(topics: DataFrame, merge_at: float = MERGE_AT, large: int = LARGE_BLOCK) -> DataFrame:
+    """(a, b): links between topics that connect just those that pairs scoring merge_at or more connect.
 
-    Without a common entity that needs equal keywords (from 0.62 on), with one a common keyword
-    too; so topics meet by the hash of all keywords, or by a keyword and an entity together.
+    Topics of equal keywords and entities are one class, if these alone make them twins; topics that also have equal centroids are one
+    node. Members are linked to the least of their class, and classes are compared instead of topics: by words and entities alone where
+    these decide, by their nodes' centroids where they don't.
     """
-    if merge_at < 0.61:
-        raise ValueError("below 0.61 topics may be twins that share no block")
-    whole = F.when(F.size("keywords") > 0, F.array(F.xxhash64(F.array_join(F.array_sort("keywords"), "\n")))).otherwise(F.array().cast("array<bigint>"))
-    both = F.flatten(F.transform("keywords", lambda k: F.transform("entities", lambda e: F.xxhash64(k, e))))
-    blocks = topics.select("topic", F.explode(F.array_distinct(F.concat(whole, both))).alias("block"))
-    pairs = blocks.select(F.col("topic").alias("a"), "block").join(blocks.select(F.col("topic").alias("b"), "block"), "block").filter("a < b").select("a", "b").distinct()
-    of = lambda side: topics.select(F.col("topic").alias(side), F.struct("keywords", "centroid", "entities").alias(f"{side}_is"))
+    if not 0.61 <= merge_at <= 0.75:
+        raise ValueError("below 0.61 topics may be twins that share no block, above 0.75 equal words and entities don't make twins")
+    none = F.array().cast("array<string>")
+    folded = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    own = topics.select("topic", folded(F.col("keywords")).alias("keywords"), folded(F.col("entities")).alias("entities"), "centroid")
+    words, about = F.size("keywords") > 0, F.size("entities") > 0
+    nodes = own.groupBy("keywords", "entities", "centroid").agg(F.min("topic").alias("node"))
+    least = nodes.filter(words & about).groupBy("keywords", "entities").agg(F.min("node").alias("class"))
+    nodes = written(nodes.join(least, ["keywords", "entities"], "left").withColumn("class", F.coalesce("class", "node")), "twin-nodes")
+    equal = own.join(nodes, ["keywords", "entities", "centroid"]).filter(words & (about | F.lit(merge_at <= 0.65)) & (F.col("topic") != F.col("node")))
+    links = [equal.select(F.col("node").alias("a"), F.col("topic").alias("b")), nodes.filter("class <> node").select(F.col("class").alias("a"), F.col("node").alias("b"))]
+    pairs = _class_pairs(nodes, merge_at, large)
+    classes = nodes.filter("class = node").select("class", "keywords", "entities")
+    of = lambda side: classes.select(F.col("class").alias(side), F.struct("keywords", "entities").alias(f"{side}_is"))
+    base = similarity((F.col("a_is.keywords"), F.col("b_is.keywords")), (F.lit(0), F.lit(-1)), (F.col("a_is.entities"), F.col("b_is.entities")))
+    rated = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", base.alias("base")).filter(F.col("base") + 0.25 >= merge_at - 1e-9), "rated-classes")
+    links.append(rated.filter(F.col("base") >= merge_at).select("a", "b"))
+    node = lambda side: nodes.select(F.col("class").alias(side), F.struct("node", "keywords", "centroid", "entities").alias(f"{side}_is"))
     columns = [(F.col(f"a_is.{c}"), F.col(f"b_is.{c}")) for c in ("keywords", "centroid", "entities")]
-    return pairs.join(of("a"), "a").join(of("b"), "b").withColumn("score", similarity(*columns)).filter(F.col("score") >= merge_at).select("a", "b", "score")
+    near = rated.filter(F.col("base") < merge_at).select("a", "b").join(node("a"), "a").join(node("b"), "b").filter(similarity(*columns) >= merge_at)
+    links.append(near.select(F.col("a_is.node").alias("a"), F.col("b_is.node").alias("b")))
+    found = written(reduce(DataFrame.union, links), "twin-links")
+    release(nodes, pairs, rated)
+    return found
 
 
-def merge_topics(topics: DataFrame, merge_at: float = MERGE_AT) -> DataFrame:
+def merge_topics(topics: DataFrame, merge_at: float = MERGE_AT, large: int = LARGE_BLOCK) -> DataFrame:
     """(topic, merged): every topic and the least topic of those it is one with, over all links.
 
     Each round takes the least label of a topic's neighbours and then the label of that label, so a chain
     of n topics takes about log n rounds.
     """
-    pairs = twin_pairs(topics, merge_at)
+    pairs = twin_links(topics, merge_at, large)
     links = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "twins")
+    release(pairs)
     labels = written(links.select(F.col("a").alias("topic")).distinct().withColumn("merged", F.col("topic")), "merged-0")
     step = 0
     while True:
