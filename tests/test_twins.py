@@ -55,7 +55,8 @@ def test_twenty_thousand_topics_in_one_block(spark):
     others = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000)).cast("string")))
     apart = spark.range(n).select(F.format_string("a%05d", "id").alias("topic"), F.concat(F.array(F.lit("k")), others).alias("keywords"), F.array(F.lit("e")).alias("entities"), F.xxhash64("id").alias("centroid"))
     same = spark.range(n).select(F.format_string("b%05d", "id").alias("topic"), F.array(F.lit("k"), F.lit("l")).alias("keywords"), F.array(F.lit("e")).alias("entities"), F.xxhash64("id").alias("centroid"))
-    nodes = apart.withColumn("class", F.col("topic"))
-    assert topics._class_pairs(nodes, 0.62, topics.LARGE_BLOCK).count() < n * n / 2 / 100
+    nodes = apart.withColumns({"class": F.col("topic"), "node": F.col("topic")})
+    of_classes, of_nodes = topics._candidates(nodes, 0.62, topics.LARGE_BLOCK)
+    assert of_classes.count() + of_nodes.count() < n * n / 2 / 50
     merged = topics.merge_topics(apart.union(same))
     assert merged.filter("topic LIKE 'b%'").select("merged").distinct().count() == 1 and merged.count() == 2 * n

@@ -244,18 +244,18 @@ def _bands(key: tuple, differing: int, most: int = 8) -> list[tuple]:
 LARGE_BLOCK = 256
 
 
-def _class_pairs(nodes: DataFrame, merge_at: float, large: int) -> DataFrame:
-    """Distinct (a, b), a < b: classes that may hold twins.
+def _candidates(nodes: DataFrame, merge_at: float, large: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b: classes that may hold twins, and nodes whose centroids may make them twins.
 
     Without a common entity twins have equal keywords; with one they have a keyword in common too. So classes meet by all
     their keywords, or by a keyword and an entity. Where more than `large` classes meet, finer blocks find the same twins: two keywords
     and the entity, or, as one common keyword leaves little room, the entity, both sizes and a span of the centroid's bits
-    in which the two must agree.
+    in which the two must agree. Nodes, not classes, meet by such spans.
     """
     spark, bits = nodes.sparkSession, "shiftrightunsigned(centroid, shift) & mask"
     sized = nodes.withColumn("size", F.least(F.size("keywords"), F.lit(TOPIC_KEYWORDS)))
-    whole = nodes.filter("size(keywords) > 0").select("class", "centroid", F.xxhash64(F.array_join("keywords", "\n")).alias("block"))
-    both = sized.select("class", "centroid", "size", "keywords", F.explode("keywords").alias("k"), "entities").withColumn("e", F.explode("entities")).drop("entities")
+    whole = nodes.filter("size(keywords) > 0").select("class", "node", "centroid", F.xxhash64(F.array_join("keywords", "\n")).alias("block"))
+    both = sized.select("class", "node", "centroid", "size", "keywords", F.explode("keywords").alias("k"), "entities").withColumn("e", F.explode("entities")).drop("entities")
     both = both.withColumn("block", F.xxhash64("k", "e"))
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,24 +266,25 @@ def _class_pairs(nodes: DataFrame, merge_at: float, large: int) -> DataFrame:
 
     few, many = split(whole)
     rooms = spark.createDataFrame(_bands((), _reach(merge_at, 0.4)) or [(0, 0, 0)], "band int, shift int, mask long")
-    any_side = F.lit(0).alias("side")
-    keys = [few.select("class", "block", any_side), many.crossJoin(F.broadcast(rooms)).select("class", F.xxhash64("block", "band", F.expr(bits)).alias("block"), any_side)]  # eight rows at most
-    few, many = split(both)
+    near = many.crossJoin(F.broadcast(rooms)).select("node", F.xxhash64("block", "band", F.expr(bits)).alias("block"), F.lit(0).alias("side"))  # eight rows at most
+    few_both, many = split(both)
     sizes = range(1, TOPIC_KEYWORDS + 1)
     made = [row for p in sizes for q in sizes for row in _bands((p, min(p, q), max(p, q)), _reach(merge_at, 0.35 + 0.4 / (p + q - 1)))]
     rooms = spark.createDataFrame(made, "size int, low int, high int, band int, shift int, mask long")
     side = F.when(F.col("low") == F.col("high"), 0).when(F.col("size") == F.col("low"), 1).otherwise(2)  # of unequal sizes each meets the other only
+    sized = many.join(F.broadcast(rooms), "size").select("class", "node", "mask", F.xxhash64("block", "low", "high", "band", F.expr(bits)).alias("block"), side.alias("side"))  # rows by sizes alone
     second = many.withColumn("other", F.explode("keywords")).filter("other <> k")
-    keys += [
-        few.select("class", "block", any_side), second.select("class", F.xxhash64(F.least("k", "other"), F.greatest("k", "other"), "e").alias("block"), any_side),
-        many.join(F.broadcast(rooms), "size").select("class", F.xxhash64("block", "low", "high", "band", F.expr(bits)).alias("block"), side.alias("side")),  # rows by sizes alone
-    ]
-    blocks = written(reduce(DataFrame.union, keys).distinct(), "twin-blocks")
-    other = blocks.select("block", F.col("class").alias("b"), F.col("side").alias("other"))
-    pairs = blocks.withColumnRenamed("class", "a").join(other, "block").filter("a < b AND (side = 0 OR side <> other)").select("a", "b").distinct()
-    found = written(pairs, "class-pairs")
-    release(blocks)
-    return found
+    second = second.select("class", F.xxhash64(F.least("k", "other"), F.greatest("k", "other"), "e").alias("block"), F.lit(0).alias("side"))
+    of_classes = [few.select("class", "block", F.lit(0).alias("side")), few_both.select("class", "block", F.lit(0).alias("side")), second, sized.filter("mask = 0").select("class", "block", "side")]
+
+    def met(rows: DataFrame, label: str) -> DataFrame:
+        blocks = written(rows.toDF("a", "block", "side").distinct(), f"{label}-blocks")
+        other = blocks.select("block", F.col("a").alias("b"), F.col("side").alias("other"))
+        found = written(blocks.join(other, "block").filter("a < b AND (side = 0 OR side <> other)").select("a", "b").distinct(), f"{label}-pairs")
+        release(blocks)
+        return found
+
+    return met(reduce(DataFrame.union, of_classes), "class"), met(near.union(sized.filter("mask <> 0").select("node", "block", "side")), "node")
 
 
 def twin_links(topics: DataFrame, merge_at: float = MERGE_AT, large: int = LARGE_BLOCK) -> DataFrame:
@@ -291,7 +292,8 @@ def twin_links(topics: DataFrame, merge_at: float = MERGE_AT, large: int = LARGE
 
     Topics of equal keywords and entities are one class, if these alone make them twins; topics that also have equal centroids are one
     node. Members are linked to the least of their class, and classes are compared instead of topics: by words and entities alone where
-    these decide, by their nodes' centroids where they don't.
+    these decide, by their nodes' centroids where they don't. Two classes with two words in common that neither surely are
+    twins nor surely aren't are compared node by node.
     """
     if not 0.61 <= merge_at <= 0.75:
         raise ValueError("below 0.61 topics may be twins that share no block, above 0.75 equal words and entities don't make twins")
@@ -304,7 +306,7 @@ def twin_links(topics: DataFrame, merge_at: float = MERGE_AT, large: int = LARGE
     nodes = written(nodes.join(least, ["keywords", "entities"], "left").withColumn("class", F.coalesce("class", "node")), "twin-nodes")
     equal = own.join(nodes, ["keywords", "entities", "centroid"]).filter(words & (about | F.lit(merge_at <= 0.65)) & (F.col("topic") != F.col("node")))
     links = [equal.select(F.col("node").alias("a"), F.col("topic").alias("b")), nodes.filter("class <> node").select(F.col("class").alias("a"), F.col("node").alias("b"))]
-    pairs = _class_pairs(nodes, merge_at, large)
+    pairs, close = _candidates(nodes, merge_at, large)
     classes = nodes.filter("class = node").select("class", "keywords", "entities")
     of = lambda side: classes.select(F.col("class").alias(side), F.struct("keywords", "entities").alias(f"{side}_is"))
     base = similarity((F.col("a_is.keywords"), F.col("b_is.keywords")), (F.lit(0), F.lit(-1)), (F.col("a_is.entities"), F.col("b_is.entities")))
@@ -314,8 +316,10 @@ def twin_links(topics: DataFrame, merge_at: float = MERGE_AT, large: int = LARGE
     columns = [(F.col(f"a_is.{c}"), F.col(f"b_is.{c}")) for c in ("keywords", "centroid", "entities")]
     near = rated.filter(F.col("base") < merge_at).select("a", "b").join(node("a"), "a").join(node("b"), "b").filter(similarity(*columns) >= merge_at)
     links.append(near.select(F.col("a_is.node").alias("a"), F.col("b_is.node").alias("b")))
+    own = lambda side: nodes.select(F.col("node").alias(side), F.struct("keywords", "centroid", "entities").alias(f"{side}_is"))
+    links.append(close.join(own("a"), "a").join(own("b"), "b").filter(similarity(*columns) >= merge_at).select("a", "b"))
     found = written(reduce(DataFrame.union, links), "twin-links")
-    release(nodes, pairs, rated)
+    release(nodes, pairs, close, rated)
     return found
 
 
