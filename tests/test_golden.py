@@ -149,12 +149,3 @@ def test_streams(spark, tmp_path):
     q = counted.writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counted").agg(F.sum("posts")).first()[0] == 6  # repeats included, the last open window not
-
-
-def test_streamed_cooldown(spark, tmp_path):
-    rows = [("r", "t", 0), ("r", "t", 60_000), ("r", "t", 1_800_000), ("r", "u", 5)]
-    spark.createDataFrame(rows, "rule_id string, topic string, at_ms long").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("rule_id string, topic string, at_ms long").parquet(str(tmp_path / "in"))
-    q = live.cooled_down(stream).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(tuple(r) for r in spark.table("cooled").collect()) == [("r", "t", 0), ("r", "t", 1_800_000), ("r", "u", 5)]

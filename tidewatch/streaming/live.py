@@ -1,13 +1,11 @@
-"""The operators on streams: live posts, dedup, windows, sessions, cool-down."""
+"""The operators on streams: live posts, dedup, windows, sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import primary_language
 
@@ -59,28 +57,6 @@ def metric_maxima(posts: DataFrame, metrics: list[str]) -> DataFrame:
     return posts.groupBy("id").agg(*[F.max(m).alias(m) for m in metrics])
 
 
-def cooled_down(firings: DataFrame, cooldown_ms: int = 1_800_000, forget_ms: int = 86_400_000) -> DataFrame:
-    """Of firings (rule_id, topic, at_ms) those that come a cool-down after the last one let through; state ends after forget_ms."""
-
-    def let_through(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        times = sorted(t for b in batches for t in b["at_ms"].tolist())
-        out = []
-        for t in times:
-            if last is None or t - last >= cooldown_ms:
-                out.append(t)
-                last = t
-        state.update((last,))
-        state.setTimeoutDuration(forget_ms)
-        if out:
-            yield pd.DataFrame({"rule_id": [key[0]] * len(out), "topic": [key[1]] * len(out), "at_ms": out})
-
-    return firings.groupBy("rule_id", "topic").applyInPandasWithState(let_through, "rule_id string, topic string, at_ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def ingest_stream(posts: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Runs ingest(batch, number) on each micro-batch; without `every` on all there is, and ends."""
     w = posts.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
