@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators.entities import networks_of
-from ..session import load
+from ..session import load, scratch_folder
+from ..sources.landed import logged_posts
 from .posts_sql import NORM, TOKENS
 
 
@@ -60,7 +61,16 @@ def page_networks(spark, sf_dir):
     return networks_of(load(spark, sf_dir, "pages").select("page_id", "url"), "url", domains, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (normalized_texts, text_tokens, headlines, guessed_languages, source_languages, canonical_urls, canonical_queries, url_ids, page_texts, page_networks)}
+def logged_items(spark, sf_dir):
+    """Documents as items that a log holds, their whole text for a title, read back through the log's source and its flattener."""
+    folder = scratch_folder(spark, "landed-log")
+    item = F.struct(F.col("doc_id").alias("id"), F.lit("story").alias("type"), F.col("source").alias("by"), F.col("text").alias("title"), F.length("text").alias("score"))
+    load(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select(F.to_json(item).alias("value")).write.text(f"{folder}/hackernews")
+    posts = logged_posts(spark, folder, "hackernews", block=1 << 22)
+    return posts.select(F.col("external_id").alias("doc_id"), "author", F.md5(F.col("title").cast("binary")).alias("title_md5"), "score", "message")
+
+
+QUERIES = {f.__name__: f for f in (logged_items, normalized_texts, text_tokens, headlines, guessed_languages, source_languages, canonical_urls, canonical_queries, url_ids, page_texts, page_networks)}
 
 _LINE = "trim(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ''))"
 _SLUG = "substring(regexp_replace(trim(regexp_replace(replace({0}, '''', ''), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 64)"
@@ -75,6 +85,7 @@ _GUESSES = f"SELECT doc_id, CASE WHEN greatest(es, en) = 0 THEN 'und' WHEN es >=
 _MARKS = ", ".join(f"('{lang}', '{w}')" for lang, ws in text.SOURCE_MARKERS.items() for w in ws)
 _HINTS = ", ".join(f"('{lang}', '{letters}', {n})" for lang, letters, n in text.LETTER_HINTS)
 ORACLES = {
+    "logged_items": "SELECT doc_id::VARCHAR AS doc_id, source AS author, md5(text) AS title_md5, length(text)::BIGINT AS score, NULL::VARCHAR AS message FROM documents WHERE doc_id IS NOT NULL",
     "source_languages": f"""WITH m(lang, word) AS (VALUES {_MARKS}), k AS (SELECT lang, word, CASE WHEN count(*) OVER (PARTITION BY word) = 1 THEN 2 ELSE 1 END AS n FROM m), h(lang, letters, n) AS (VALUES {_HINTS}),
 w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\s''-]+', ' ', 'g'), '\\s+')) AS word FROM documents WHERE length(trim(text)) >= 12),
 p AS (SELECT doc_id, lang, sum(n) AS n FROM (SELECT doc_id, k.lang, n FROM w JOIN k USING (word) UNION ALL SELECT doc_id, h.lang, n FROM documents JOIN h ON regexp_matches(lower(text), letters) WHERE length(trim(text)) >= 12) GROUP BY ALL),
