@@ -78,3 +78,11 @@ def test_runs_begin_like_an_alias(spark):
     assert {r.id: r.entities for r in entities.extract_entities(posts, aliases, F.col("body")).collect()} == {1: ["a", "c"], 2: ["c"], 4: ["c"]}
     starts = {2: frozenset(r.b for r in spark.range(1).select(words.bucket_of(F.lit("two")).alias("b")).collect())}
     assert {r.id: sorted(r.r) for r in posts.select("id", words.runs_of(F.col("body"), starts).alias("r")).collect()} == {1: ["two words"], 2: [], 3: [], 4: []}
+
+
+def test_hashed_text_is_computed_once(spark):
+    """An address is written anew once for its hash, not for each of its characters."""
+    rows = spark.createDataFrame([("a",), (None,), ("",)], "t string")
+    plan = rows.select(text.fnv1a64(F.concat("t", F.lit("x"))).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") == 1
+    assert [r.h for r in rows.select(text.hex64(text.fnv1a64(F.col("t"))).alias("h")).collect()] == ["af63dc4c8601ec8c", "cbf29ce484222325", "cbf29ce484222325"]
