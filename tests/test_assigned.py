@@ -48,3 +48,13 @@ def test_many_topics_of_a_term_and_repeated_ids(spark):
     few = known[:5]
     twice = topics.assign_topics(held.union(held), spark.createDataFrame(few, TOPIC)).collect()
     assert len(twice) == 2 * len(posts) and {tuple(r) for r in twice} == plain(posts, few)
+
+
+def test_rounds_write_no_tokens(spark, monkeypatch):
+    posts, _ = some(random.Random(4))
+    seen, write = {}, topics.written
+    monkeypatch.setattr(topics, "written", lambda df, label: seen.setdefault(label, df.columns) and write(df, label))
+    rows = spark.createDataFrame([(*p[:4], p[4], sorted(p[2])[:5]) for p in posts], POST + ", keywords array<string>")
+    opened = topics.open_topics(rows)
+    assert {r.id for r in opened.collect()} == {p[0] for p in posts} and opened.count() == len(posts)
+    assert "left-0" in seen and not [label for label, columns in seen.items() if "tokens" in columns]
