@@ -86,3 +86,19 @@ def test_hashed_text_is_computed_once(spark):
     plan = rows.select(text.fnv1a64(F.concat("t", F.lit("x"))).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat(") == 1
     assert [r.h for r in rows.select(text.hex64(text.fnv1a64(F.col("t"))).alias("h")).collect()] == ["af63dc4c8601ec8c", "cbf29ce484222325", "cbf29ce484222325"]
+
+
+def test_only_keywords_leave_the_workers(spark):
+    """Where tokens aren't asked for, features are as with them, and the first of equal counts are those by token."""
+    at = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    rows = [(i, at, "s", " ".join(f"w{(i * j) % 13:02d}" * (1 + j % 7) for j in range(i)), None) for i in range(40)] + [(90, at, "s", None, None), (91, at, "s", " ".join(TEXTS[3:]), ["e"])]
+    posts = spark.createDataFrame(rows, "id long, published_at timestamp, source string, body string, entities array<string>")
+    few = topics.features(posts, whole=False)
+    assert sorted(few.collect()) == sorted(topics.features(posts).drop("tokens").collect()) and "tokens" not in few.columns
+    few, every = (posts.select("id", words.token_counts(F.col("body"), most=n).alias("t")).collect() for n in (3, None))
+    assert [r.t for r in few] == [r.t[:3] for r in every] and max(len(r.t) for r in every) > 3
+
+
+def test_hashes_of_many_words():
+    made = [b"a", b"it's", b"x" * 32, b"y" * 33, b"z" * 1000, b"morning", b"even-ing"]
+    assert words._fnvs(made) == [words._fnv(w) for w in made] and words._fnvs([]) == [] and words._fnvs([b"q" * 40]) == [words._fnv(b"q" * 40)]
